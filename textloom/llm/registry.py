@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op5_exact_dedup": "exact_dedup",
+    "op6_best_fit_packing": "packing",
     "op7_simhash_dedup": "simhash_dedup",
+    "op8_quality_classifier": "quality",
+    "op9_secret_scan": "secrets",
 }
 _SQL = {"op5_exact_dedup": ("exact_dedup", "OP5_SQL")}
 
