@@ -13,6 +13,7 @@ _QUERIES = {
     "op7_simhash_dedup": "simhash_dedup",
     "op8_quality_classifier": "quality",
     "op9_secret_scan": "secrets",
+    "op10_sentencepiece": "sentencepiece_codec",
 }
 _SQL = {"op5_exact_dedup": ("exact_dedup", "OP5_SQL")}
 
