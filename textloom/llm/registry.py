@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
+    "op2_embedding_dedup": "embedding_dedup",
     "op5_exact_dedup": "exact_dedup",
     "op6_best_fit_packing": "packing",
     "op7_simhash_dedup": "simhash_dedup",
@@ -15,7 +16,7 @@ _QUERIES = {
     "op9_secret_scan": "secrets",
     "op10_sentencepiece": "sentencepiece_codec",
 }
-_SQL = {"op5_exact_dedup": ("exact_dedup", "OP5_SQL")}
+_SQL = {"op2_embedding_dedup": ("embedding_dedup", "OP2_SQL"), "op5_exact_dedup": ("exact_dedup", "OP5_SQL")}
 
 
 def _of(module: str, name: str):
