@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op2_embedding_dedup": "embedding_dedup",
+    "op4_html_extraction": "html_extract",
     "op5_exact_dedup": "exact_dedup",
     "op6_best_fit_packing": "packing",
     "op7_simhash_dedup": "simhash_dedup",
