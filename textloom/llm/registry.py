@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
+    "op1_substring_dedup": "substring_dedup",
     "op2_embedding_dedup": "embedding_dedup",
     "op4_html_extraction": "html_extract",
     "op5_exact_dedup": "exact_dedup",
