@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_substring_dedup": "substring_dedup",
     "op2_embedding_dedup": "embedding_dedup",
+    "op3_lm_scoring": "lm_scoring",
     "op4_html_extraction": "html_extract",
     "op5_exact_dedup": "exact_dedup",
     "op6_best_fit_packing": "packing",
@@ -18,7 +19,7 @@ _QUERIES = {
     "op9_secret_scan": "secrets",
     "op10_sentencepiece": "sentencepiece_codec",
 }
-_SQL = {"op2_embedding_dedup": ("embedding_dedup", "OP2_SQL"), "op5_exact_dedup": ("exact_dedup", "OP5_SQL")}
+_SQL = {"op2_embedding_dedup": ("embedding_dedup", "OP2_SQL"), "op3_lm_scoring": ("lm_scoring", "OP3_SQL"), "op5_exact_dedup": ("exact_dedup", "OP5_SQL")}
 
 
 def _of(module: str, name: str):
