@@ -147,7 +147,7 @@ def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
 ), t AS (
   SELECT r, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM d
 ), p AS (
