@@ -18,8 +18,8 @@ from ..plans.catalogue import rules
 
 def arriving_files(spark: SparkSession, directory: str, per_trigger: int = 1000) -> DataFrame:
     """FILES-like rows of a directory's text files as they arrive, with modified, their event time."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(directory)
-    return raw.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("n_bytes"), F.try_validate_utf8("content").alias("text"))
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(directory)
+    return raw.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("n_bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def arriving_lines(spark: SparkSession, directory: str) -> DataFrame:
