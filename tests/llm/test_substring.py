@@ -52,12 +52,31 @@ def test_repeated_rows_are_one_document(spark):
 
 
 def test_locate_is_exact_when_hashes_clash(monkeypatch):
-    monkeypatch.setattr("textloom.llm.substring_dedup._mixed", lambda g: g * np.uint64(0))
+    monkeypatch.setattr("textloom.llm.substring_dedup._poly", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
     segments = [[b"a", b"b", b"c", b"d"], [b"x", b"b", b"c", b"d"], [b"q", b"r", b"s"]]
     got = locate(segments, [1, 1, 1], [(5, 0, 10), (3, 0, 2), (1, 0, 0)], window=3)
     assert got == [{1: (3, 0, 3)}, {1: (3, 0, 3)}, {}]
 
 
+def test_locate_matches_comparing_all_windows():
+    rng = random.Random(8)
+    for _ in range(60):
+        base = [[rng.choice("abcd").encode() for _ in range(14)] for _ in range(3)]
+        segments = []
+        for _ in range(rng.randrange(1, 9)):
+            b = rng.choice(base)
+            a = rng.randrange(4)
+            segments.append(b[a : a + rng.randrange(4, 11)] + [rng.choice("xyz").encode() for _ in range(rng.randrange(3))])
+        times = [rng.choice([1, 1, 2]) for _ in segments]
+        firsts = [(rng.randrange(9), 0, rng.randrange(50)) for _ in segments]
+        where = {}
+        for words, n, (k, x, s) in zip(segments, times, firsts):
+            for o in range(len(words) - 3):
+                where.setdefault(tuple(words[o : o + 4]), []).extend([(k, x, s + o)] * n)
+        want = [{o: min(where[tuple(w[o : o + 4])]) for o in range(len(w) - 3) if len(where[tuple(w[o : o + 4])]) > 1} for w in segments]
+        assert locate(segments, times, firsts, window=4) == want
+
+
 def test_hashes_and_minima():
     h = np.random.default_rng(0).integers(0, 2**63, 200, dtype=np.uint64)
     for n in (1, 3, 8, 20):

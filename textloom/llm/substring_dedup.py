@@ -23,7 +23,7 @@ from .common import bound_batches, drop, free_shuffles, materialise, raw
 
 WINDOW, PHRASE = 20, 8
 #: Occurrences above which a phrase's windows are filed one by one, each under its own words.
-HOT = 1000
+HOT = 8192
 #: Distinct segments in one shard, on average.
 SHARD = 4000
 _MEMO = 400_000
@@ -142,48 +142,88 @@ def _segments(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("k", "x", "t", "again", "hot").mapInArrow(mapped, "key long, digest binary, words binary, k long, x long, start long")
 
 
+#: An odd base and its inverse modulo 2^64.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(1, n), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _passages(hashes: list[np.ndarray], times: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, last window) of the passages: runs of recurring windows that stand together wherever one of them stands.
+
+    Windows are in one run if their occurrences lie on the same diagonals, which a sum over the occurrences
+    tells: an occurrence at position q of segment s adds r(s) * g^q, and dividing by g^o for the window's own
+    position o makes the sums of windows on the same diagonals equal.
+    """
+    sizes = [len(h) for h in hashes]
+    flat = np.concatenate(hashes)
+    owner = np.repeat(np.arange(len(hashes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    _, inverse = np.unique(flat, return_inverse=True)
+    recurs = (np.bincount(inverse, np.minimum(times, 2)[owner]) > 1)[inverse]
+    longest = int(max(sizes, default=0))
+    parts = (_mixed(np.arange(1, len(hashes) + 1, dtype=np.uint64)) | np.uint64(1))[owner] * _powers(_STEP, longest)[place]
+    order = np.argsort(inverse, kind="stable")
+    sums = np.add.reduceat(parts[order], np.flatnonzero(np.diff(inverse[order], prepend=-1)))
+    diagonals = sums[inverse] * _powers(_BACK, longest)[place]
+    joined = np.zeros(len(flat), bool)
+    joined[1:] = recurs[1:] & recurs[:-1] & (owner[1:] == owner[:-1]) & (diagonals[1:] == diagonals[:-1])
+    first = np.flatnonzero(recurs & ~joined)
+    last = np.flatnonzero(recurs & ~np.append(joined[1:], False))
+    return owner[first], place[first], place[last]
+
+
 def locate(segments: list[list[bytes]], times: list[int], firsts: list[tuple], window: int = WINDOW) -> list[dict[int, tuple]]:
     """For each segment, its recurring windows by their start, with the first occurrence in the corpus.
 
     ``times`` has how often a segment occurs, ``firsts`` the (document..., start) of its first occurrence.
-    A window recurs if it occurs twice, in one segment or several.
+    A window recurs if it occurs twice, in one segment or several. The automaton's patterns are the passages
+    that windows with equal hashes suggest; what it finds decides.
     """
     import ahocorasick
 
+    if not segments:
+        return []
     numbers: dict[bytes, int] = {}
     tuples = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in words) for words in segments]
-    # Confirm: windows whose hashes are there once, in a segment that occurs once, cannot recur.
     hashes = [_mixed(_poly(np.array(t, np.uint64), window)) for t in tuples]
-    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    weights = np.repeat(np.minimum(times, 2), [len(h) for h in hashes])
-    _, first_at, inverse = np.unique(flat, return_index=True, return_inverse=True)
-    recurs = np.bincount(inverse, weights) > 1
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    bounds = np.cumsum([0, *(len(h) for h in hashes)])
-    patterns = 0
-    candidates = np.flatnonzero(recurs[inverse])
-    owner = np.searchsorted(bounds, candidates, side="right") - 1
-    for at, s in zip(candidates.tolist(), owner.tolist(), strict=True):
-        o = at - int(bounds[s])
-        # Every candidate is looked at, so two different windows of one hash are two patterns.
-        phrase = tuples[s][o : o + window]
+    lengths: list[int] = []
+    for s, a, b in zip(*(x.tolist() for x in _passages(hashes, times)), strict=True):
+        phrase = tuples[s][a : b + window]
+        # Every suggestion is looked at, so two passages whose windows' hashes are equal are two patterns.
         if not automaton.exists(phrase):
-            automaton.add_word(phrase, patterns)
-            patterns += 1
-    if not patterns:
+            automaton.add_word(phrase, len(lengths))
+            lengths.append(b + 1 - a)
+    if not lengths:
         return [{} for _ in segments]
     automaton.make_automaton()
     seen: list[list[tuple[int, int]]] = []
-    count, best = [0] * patterns, [None] * patterns
+    count, best = [0] * len(lengths), [None] * len(lengths)
     for words, n, first in zip(tuples, times, firsts, strict=True):
-        hits = [(end - window + 1, p) for end, p in automaton.iter(words)]
+        hits = [(end + 1 - window - lengths[p] + 1, p) for end, p in automaton.iter(words)]
         seen.append(hits)
         for o, p in hits:
             count[p] += n
             where = (*first[:-1], first[-1] + o)
             if best[p] is None or where < best[p]:
                 best[p] = where
-    return [{o: best[p] for o, p in hits if count[p] > 1} for hits in seen]
+    out: list[dict[int, tuple]] = []
+    for hits in seen:
+        mine: dict[int, tuple] = {}
+        for o, p in hits:
+            if count[p] > 1:
+                for k in range(lengths[p]):
+                    where = (*best[p][:-1], best[p][-1] + k)
+                    if o + k not in mine or where < mine[o + k]:
+                        mine[o + k] = where
+        out.append(mine)
+    return out
 
 
 def _masks(distinct: DataFrame, shards: int, window: int) -> DataFrame:
