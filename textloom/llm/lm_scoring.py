@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores from n-gram counts of the whole corpus.
 
-Documents are dealt to blocks of about 8 MB. A block sends each distinct n-gram once, with its count, to the
+Documents are dealt to blocks of about 3 MB. A block sends each distinct n-gram once, with its count, to the
 shard that its hash belongs to; a shard adds up its part of the count table and answers each block in the
 block's own order; the answers are joined to the block's n-grams and summed per document. A document is scored
 against all others: its own counts are taken off. N-grams are told apart by 64-bit hashes.
@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop, free_shuffles, materialise, raw
+from .common import bound_batches, free_shuffles, materialise, raw
 from .substring_dedup import _Hashes, _mixed
 
 ALPHA, ORDER = 0.4, 2
 #: Bytes of text in a block, and distinct n-grams of all blocks in a shard, on average.
-BLOCK, SHARD = 8 << 20, 3_000_000
+BLOCK, SHARD = 3 << 20, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +93,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), raw(text_col).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("b")).first()["b"]
     n_blocks = max(1, -(-size // block_bytes))
-    shards = max(1, round(n_blocks * block_bytes / 9 / shard_size))
+    shards = max(1, round(n_blocks * block_bytes / 8 / shard_size))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("t")), F.lit(n_blocks)))
 
     def sent(key: tuple, part: pa.Table) -> pa.Table:
@@ -104,9 +104,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = [int(sizes.sum())] + [0] * (shards - 1)
         return pa.table({"block": pa.array([key[0].as_py()] * shards, pa.int64()), "shard": pa.array(range(shards), pa.int32()), "words": pa.array(words, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
-    tables = materialise(dealt.groupBy("block").applyInArrow(sent, "block long, shard int, words long, blob binary"))
-    free_shuffles(spark)
-    total = tables.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
+    tables = dealt.groupBy("block").applyInArrow(sent, "block long, shard int, words long, blob binary")
 
     def answered(part: pa.Table) -> pa.Table:
         distinct, counts, sizes = [], [], []
@@ -117,15 +115,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             counts.append(x[half:])
             sizes.append(half)
         _, inverse = np.unique(np.concatenate(distinct), return_inverse=True)
-        summed = np.zeros(int(inverse.max(initial=-1)) + 1, np.int64)
-        np.add.at(summed, inverse, np.concatenate(counts).astype(np.int64))
+        del distinct
+        # Sums are exact in doubles up to 2^53.
+        summed = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
         ends = np.cumsum(sizes)
         blobs = [_planes(summed[inverse[e - s : e]].astype(np.uint64)) for s, e in zip(sizes, ends, strict=True)]
-        return pa.table({"block": part["block"], "shard": part["shard"], "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"block": part["block"], "shard": part["shard"], "words": part["words"], "blob": pa.array(blobs, pa.binary())})
 
-    answers = materialise(tables.groupBy("shard").applyInArrow(answered, "block long, shard int, blob binary"))
-    drop(tables)
+    answers = materialise(tables.groupBy("shard").applyInArrow(answered, "block long, shard int, words long, blob binary"))
     free_shuffles(spark)
+    total = answers.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
 
     def scored(mine: pa.Table, replies: pa.Table) -> pa.Table:
         sizes, grams = _grams(mine["t"].to_pylist(), order)
