@@ -140,11 +140,11 @@ def test_catalogue_is_sound():
 
 
 def test_suppression(spark):
-    lines = explode_lines(frame(spark, [("a", "js", "x // NOQA\ny\nz\nubs:ignore"), ("b", "js", "w")], FILES))
+    lines = explode_lines(frame(spark, [("a", "js", "x // NOQA\ny\nz\nscan:ignore"), ("b", "js", "w")], FILES))
     hidden = lambda **k: [r.line for r in L.mark_suppressed(lines, **k).where("suppressed").orderBy("path", "line_no").collect()]
-    assert hidden() == ["x // NOQA", "y", "ubs:ignore"]
-    assert hidden(previous_line=False) == ["x // NOQA", "ubs:ignore"]
-    assert hidden(markers=("ubs:ignore",), ignore_case=False) == ["ubs:ignore"]
+    assert hidden() == ["x // NOQA", "y", "scan:ignore"]
+    assert hidden(previous_line=False) == ["x // NOQA", "scan:ignore"]
+    assert hidden(markers=("scan:ignore",), ignore_case=False) == ["scan:ignore"]
     occ = frame(spark, [("a", 2), ("a", 3), ("b", 1)], "path string, line_no int")
     spans = frame(spark, [("a", 2, 3), ("b", 1, 1)], "path string, s_line int, e_line int")
     assert sorted(tuple(r) for r in L.suppressed_statements(occ, spans, lines).collect()) == [("b", 1)]
@@ -259,7 +259,7 @@ def test_flows(lang, family, bad, good):
     spec = next(s for s in flow_specs() if s.rule_id == f"{lang}.flow.{family}")
     assert trace(bad, spec), (lang, family)
     assert not trace(good, spec), (lang, family)
-    assert not trace(bad.replace("\n", " // ubs:ignore\n"), spec)
+    assert not trace(bad.replace("\n", " // scan:ignore\n"), spec)
 
 
 def test_flow_rounds_and_trails(spark):

@@ -34,7 +34,7 @@ MARKERS: dict[str, tuple[str, ...]] = {
 ALIASES = {"javascript": "js", "typescript": "js", "ts": "js", "py": "python", "c": "cpp", "c++": "cpp", "rs": "rust", "go": "golang", "kotlin": "java", "rb": "ruby", "cs": "csharp", "c#": "csharp", "ex": "elixir"}
 #: Category packs: languages that take part, and the categories each is limited to (empty: all); fixed values.
 PACKS = {"resource-lifecycle": {"python": (16, 19), "golang": (5, 17), "java": (), "swift": (16, 19), "csharp": ()}}
-SUPPRESSION_MARKERS = ("ubs:ignore", "ubs: disable", "nolint", "noqa")
+SUPPRESSION_MARKERS = ("scan:ignore", "scan: disable", "nolint", "noqa")
 MAX_FILE_BYTES, MAX_PROJECT_MB = 25 << 20, 1000
 
 
