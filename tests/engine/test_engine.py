@@ -354,3 +354,15 @@ def test_harmless_changes_leave_the_counts(spark, change):
 def test_empty_scan(spark):
     result = scan(frame(spark, [], "path string, text string"), ScanConfig(only=("js",)))
     assert tuple(result.totals.first()) == (0, 0, 0, 0) and result.exit_code() == 3 and result.findings.where("n > 0").count() == 0
+
+
+def test_user_rules(spark, tmp_path):
+    from textloom.plans.catalogue import read_rules, rules_frame
+
+    (tmp_path / "own.json").write_text('{"rule_id": "own.foo", "lang": "js", "pattern": "foo\\\\(", "tiers": [{"min_n": 1, "severity": "critical"}]}\n{"lang": "js"}\n')
+    own = read_rules(spark, str(tmp_path))
+    assert [(r.rule_id, r.pattern, r.tiers, r.category) for r in own] == [("own.foo", "foo\\(", ((1, "critical"),), 0)]
+    files = frame(spark, [("a.js", "foo(1)\nfoo(2)\n")], "path string, text string")
+    found = scan(files, ScanConfig(only=("js",), rule_globs=("own.*",)), own).findings.collect()
+    assert [(r.rule_id, r.severity, r.n) for r in found] == [("own.foo", "critical", 2)]
+    assert rules_frame(spark, own).first().kind == "line"
