@@ -14,6 +14,7 @@ ARROW_ROWS = 500
 #: White space of the contracts, as a Java or RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -42,11 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    This cuts the lineage: later steps start from files that outlive executors.
+    This cuts the lineage: later steps start from files that outlive executors, so the shuffle files of this
+    one are removed as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
