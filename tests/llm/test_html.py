@@ -73,3 +73,20 @@ def test_odd_rows(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
     assert sorted(len(r["text"]) for r in got.collect()) == [0, 0, 26 * 20_000 - 1]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("before", ["<form><datalist><option value=a>A<option value=b>B</datalist></form>", "<select><option>A<option>B", "<div><svg><text x=1></div>", *(f"<{x} data=y>" for x in "video audio object canvas svg math template noscript select option".split())])
+def test_hidden_elements_without_end_tags(before):
+    page = "<article><h1>A title</h1><p>First part.</p><p>Second part.</p></article>"
+    want = ["A title", "First part.", "Second part."]
+    assert [b.text for b in blocks(before + page)] == want
+    later = "<video>v</video><audio>v</audio><object>v</object><canvas>v</canvas><svg>v</svg><math></math><template>v</template><noscript>v</noscript><select><option>v</select>"
+    assert [b.text for b in blocks(before + page + later)] == want
+
+
+def test_hidden_elements_and_formulas():
+    read = lambda html: [b.text for b in blocks(html)]
+    assert read("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds") == ["so x=1 holds"]
+    assert read("<p>x <video><p>old <b>browser</b></p></video>y <svg><path d=1/><title>t</title><text>u</text></svg>z") == ["x y z"]
+    assert read("<template><p>x</p></template><p>pick <select><option>a<option>b</select> one</p>") == ["pick one"]
+    assert read("<video src=a><p>T.</p><video src=b><p>old</p></video><p>U.") == ["T.", "U."]

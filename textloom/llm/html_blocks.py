@@ -9,12 +9,22 @@ from html import unescape
 
 #: Elements by their role in a page; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select option head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input nobr blink".split())
+#: Elements whose content is not markup: it runs to their end tag, or to the end of the page.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements of markup whose text is not shown. One without its end tag hides nothing, save for CLOSED_BY.
+HIDDEN = frozenset("noscript template svg object canvas audio video select option annotation annotation-xml".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input nobr blink".split()) | MATH
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
 }
-KEEPS_PARAGRAPH = INLINE | frozenset("option optgroup".split())
+KEEPS_PARAGRAPH = INLINE | HIDDEN | frozenset(["optgroup"])
+_BREAKS = frozenset("address article aside blockquote body center dd details dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section table ul".split())
+#: Start tags that end a hidden element: what a list of choices, or a drawing outside foreignObject, cannot hold.
+CLOSED_BY = {
+    "option": _BREAKS | frozenset("option optgroup hr div".split()), "select": _BREAKS,
+    "svg": _BREAKS | frozenset("b big br code div em embed hr i img meta nobr ruby s small span strong strike sub sup tt u var".split()),
+}
 #: Words in class, id or role that name a part of a page, by part; fixed values.
 WORDS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs tabs toolbar pagination pager",
@@ -78,8 +88,15 @@ def blocks(html: str) -> list[Block]:
     Scripts, styles, the head and other elements whose text is not shown are skipped, character references
     decoded, and missing end tags supplied, so any string gives a result.
     """
+    out, unclosed = _read(html, frozenset())
+    return _read(html, frozenset(unclosed))[0] if unclosed else out
+
+
+def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
+    """Blocks, and where the hidden elements without an end tag start; those in ``shown`` do not hide their text."""
     out: list[Block] = []
-    names, bits, paths, links = ["#root"], [0], [()], [0]
+    unclosed: list[int] = []
+    names, bits, paths, links, mute, starts = ["#root"], [0], [()], [0], [False], [0]
     parts: list[tuple[str, bool]] = []
     at, made = 0, 0
 
@@ -87,72 +104,107 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
-                out.append(Block(text, bits[-1], paths[-1], sum(len("".join(t.split())) for t, inside in parts if inside)))
+                top = len(names) - 1
+                while mute[top]:
+                    top -= 1
+                out.append(Block(text, bits[top], paths[top], sum(len("".join(t.split())) for t, inside in parts if inside)))
             parts.clear()
 
-    def close(depth: int) -> None:
-        if any(n not in INLINE for n in names[depth:]):
+    def close(depth: int, ended: bool = False) -> None:
+        if any(not m and n not in INLINE and n not in HIDDEN for n, m in zip(names[depth:], mute[depth:], strict=True)):
             flush()
-        del names[depth:], bits[depth:], paths[depth:], links[depth:]
+        for k in range(depth + ended, len(names)):
+            if names[k] in HIDDEN and names[k] != "option":
+                unclosed.append(starts[k])
+        del names[depth:], bits[depth:], paths[depth:], links[depth:], mute[depth:], starts[depth:]
+
+    def last(*wanted: str) -> int:
+        """Depth of the innermost open element of these names, or 0."""
+        return next((k for k in range(len(names) - 1, 0, -1) if names[k] in wanted), 0)
 
     size = len(html)
     while at < size:
         m = _TAG.search(html, at)
+        if not mute[-1]:
+            text = html[at:] if m is None else html[at : m.start()]
+            if text:
+                parts.append((unescape(text), links[-1] > 0))
         if m is None:
-            parts.append((unescape(html[at:]), links[-1] > 0))
             break
-        if m.start() > at:
-            parts.append((unescape(html[at : m.start()]), links[-1] > 0))
         at = m.end()
-        if m["data"] is not None:
+        if m["data"] is not None and not mute[-1]:
             parts.append((m["data"], links[-1] > 0))
         if not m["name"]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
-            elif name == "p":
+            if depth := last(name):
+                close(depth, True)
+            elif name == "p" and not mute[-1]:
                 flush()
+            if name in ("mtd", "mtr") and not mute[-1]:
+                parts.append((" ", False))
             continue
+        for hidden, tags in CLOSED_BY.items():
+            if name in tags and (depth := last(hidden)) and not (hidden == "svg" and last("foreignobject") > depth):
+                close(depth, True)
         if name == "br":
-            parts.append((" ", False))
+            if not mute[-1]:
+                parts.append((" ", False))
             continue
         attrs = m["attrs"]
-        if name in RAW and not (name == "head" or attrs.rstrip().endswith("/")):
+        slash = attrs.rstrip().endswith("/")
+        if name in RAW and not slash:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             if end is None:
                 break
             stop = html.find(">", end.start())
             at = size if stop < 0 else stop + 1
-            if name not in INLINE:
+            if not mute[-1]:
                 parts.append((" ", False))
             continue
         if name in VOID or name == "head" or name == "html":
-            if name not in INLINE and name in VOID:
+            if name not in INLINE and name in VOID and not mute[-1]:
                 flush()
             continue
         if name == "body":
             bits[-1] |= 0
             continue
-        if name not in KEEPS_PARAGRAPH and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
-        for depth in range(len(names) - 1, 0, -1):
-            if names[depth] in CLOSES.get(name, ()):
+        if slash and (name == "svg" or last("svg", "math")):
+            if not mute[-1]:
+                parts.append((" ", False))
+            continue
+        if name in HIDDEN:
+            if not mute[-1]:
+                parts.append((" ", False))
+            names.append(name)
+            bits.append(bits[-1])
+            paths.append(paths[-1])
+            links.append(links[-1])
+            mute.append(mute[-1] or m.start() not in shown)
+            starts.append(m.start())
+            continue
+        inside = last(*HIDDEN)
+        if name not in KEEPS_PARAGRAPH and last("p") > inside:
+            close(last("p"))
+        if name in CLOSES:
+            depth = last(*CLOSES[name])
+            if depth > max(inside, last("ul", "ol", "table", "dl")):
                 close(depth)
-                break
-            if names[depth] in ("ul", "ol", "table", "dl"):
-                break
         inline = name in INLINE
         if not inline:
-            flush()
+            if not mute[-1]:
+                flush()
             made += 1
         names.append(name)
         own = _attribute_bits(attrs) if attrs else 0
         bits.append(bits[-1] | own if inline else (bits[-1] & ~_OWN) | own | _BIT.get(TAGS.get(name, ""), 0))
         paths.append(paths[-1] if inline else (*paths[-1], made))
         links.append(links[-1] + (name == "a"))
+        mute.append(mute[-1])
+        starts.append(m.start())
         if len(names) > 400:  # deeper markup adds nothing to the context
             close(399)
+    close(1)
     flush()
-    return out
+    return out, unclosed
