@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from textloom.llm.html_blocks import blocks
+from textloom.llm.html_blocks import CONTEXT, blocks
 from textloom.llm.html_extract import _sample_page, block_features, extract_pages, main_text, minimum_cut, trained
 
 
@@ -90,3 +90,10 @@ def test_hidden_elements_and_formulas():
     assert read("<p>x <video><p>old <b>browser</b></p></video>y <svg><path d=1/><title>t</title><text>u</text></svg>z") == ["x y z"]
     assert read("<template><p>x</p></template><p>pick <select><option>a<option>b</select> one</p>") == ["pick one"]
     assert read("<video src=a><p>T.</p><video src=b><p>old</p></video><p>U.") == ["T.", "U."]
+
+
+@pytest.mark.parametrize("deep", ["<div>" * 1000, "<font>" * 1000, "<a name=x>" * 450 + "<section>" * 450])
+def test_context_at_any_depth(deep):
+    found = blocks(f"<article>{deep}<nav><div>menu</div></nav><article><p>inner</p></article><p>outer</p>")
+    named = [(b.text, [x for k, x in enumerate(CONTEXT) if b.context >> k & 1]) for b in found]
+    assert named == [("menu", ["menu", "article"]), ("inner", ["article", "paragraph"]), ("outer", ["article", "paragraph"])]

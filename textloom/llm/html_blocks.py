@@ -53,6 +53,8 @@ _ROLES = {"complementary": "side", "contentinfo": "foot", "dialog": "notice", "a
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<data>.*?)\]\]>|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|[!?/][^>]*+>)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Block elements that a path tells apart; the ones deeper than this share the path of their ancestor.
+_PATH = 400
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -97,6 +99,8 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
     out: list[Block] = []
     unclosed: list[int] = []
     names, bits, paths, links, mute, starts = ["#root"], [0], [()], [0], [False], [0]
+    where: dict[str, list[int]] = {}  # depths of the open elements by name
+    hiding = [0]  # depths of the open hidden elements
     parts: list[tuple[str, bool]] = []
     at, made = 0, 0
 
@@ -113,14 +117,28 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
     def close(depth: int, ended: bool = False) -> None:
         if any(not m and n not in INLINE and n not in HIDDEN for n, m in zip(names[depth:], mute[depth:], strict=True)):
             flush()
-        for k in range(depth + ended, len(names)):
-            if names[k] in HIDDEN and names[k] != "option":
-                unclosed.append(starts[k])
+        for k in range(len(names) - 1, depth - 1, -1):
+            where[names[k]].pop()
+            if names[k] in HIDDEN:
+                hiding.pop()
+                if names[k] != "option" and not (ended and k == depth):
+                    unclosed.append(starts[k])
         del names[depth:], bits[depth:], paths[depth:], links[depth:], mute[depth:], starts[depth:]
 
     def last(*wanted: str) -> int:
         """Depth of the innermost open element of these names, or 0."""
-        return next((k for k in range(len(names) - 1, 0, -1) if names[k] in wanted), 0)
+        return max(open_[-1] if (open_ := where.get(x)) else 0 for x in wanted)
+
+    def push(name: str, bit: int, path: tuple[int, ...], link: int, muted: bool, start: int) -> None:
+        where.setdefault(name, []).append(len(names))
+        if name in HIDDEN:
+            hiding.append(len(names))
+        names.append(name)
+        bits.append(bit)
+        paths.append(path)
+        links.append(link)
+        mute.append(muted)
+        starts.append(start)
 
     size = len(html)
     while at < size:
@@ -145,7 +163,7 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
             if name in ("mtd", "mtr") and not mute[-1]:
                 parts.append((" ", False))
             continue
-        for hidden, tags in CLOSED_BY.items():
+        for hidden, tags in CLOSED_BY.items() if len(hiding) > 1 else ():
             if name in tags and (depth := last(hidden)) and not (hidden == "svg" and last("foreignobject") > depth):
                 close(depth, True)
         if name == "br":
@@ -177,16 +195,11 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
         if name in HIDDEN:
             if not mute[-1]:
                 parts.append((" ", False))
-            names.append(name)
-            bits.append(bits[-1])
-            paths.append(paths[-1])
-            links.append(links[-1])
-            mute.append(mute[-1] or m.start() not in shown)
-            starts.append(m.start())
+            push(name, bits[-1], paths[-1], links[-1], mute[-1] or m.start() not in shown, m.start())
             continue
-        inside = last(*HIDDEN)
-        if name not in KEEPS_PARAGRAPH and last("p") > inside:
-            close(last("p"))
+        inside = hiding[-1]
+        if name not in KEEPS_PARAGRAPH and (depth := last("p")) > inside:
+            close(depth)
         if name in CLOSES:
             depth = last(*CLOSES[name])
             if depth > max(inside, last("ul", "ol", "table", "dl")):
@@ -196,15 +209,10 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
             if not mute[-1]:
                 flush()
             made += 1
-        names.append(name)
         own = _attribute_bits(attrs) if attrs else 0
-        bits.append(bits[-1] | own if inline else (bits[-1] & ~_OWN) | own | _BIT.get(TAGS.get(name, ""), 0))
-        paths.append(paths[-1] if inline else (*paths[-1], made))
-        links.append(links[-1] + (name == "a"))
-        mute.append(mute[-1])
-        starts.append(m.start())
-        if len(names) > 400:  # deeper markup adds nothing to the context
-            close(399)
+        bit = bits[-1] | own if inline else (bits[-1] & ~_OWN) | own | _BIT.get(TAGS.get(name, ""), 0)
+        path = paths[-1] if inline or len(paths[-1]) >= _PATH else (*paths[-1], made)
+        push(name, bit, path, links[-1] + (name == "a"), mute[-1], m.start())
     close(1)
     flush()
     return out, unclosed
