@@ -366,3 +366,24 @@ def test_user_rules(spark, tmp_path):
     found = scan(files, ScanConfig(only=("js",), rule_globs=("own.*",)), own).findings.collect()
     assert [(r.rule_id, r.severity, r.n) for r in found] == [("own.foo", "critical", 2)]
     assert rules_frame(spark, own).first().kind == "line"
+
+
+def test_families_have_an_implementation(spark):
+    from textloom.plans.scan import all_rules
+
+    ids = {r.rule_id for r in all_rules(ScanConfig())}
+    assert {x for x in ids if x.endswith(".narrowing")} == {f"{x}.narrowing" for x in ("java", "js", "csharp", "swift", "rust")}
+    assert {x for x in ids if x.endswith(".async.dropped")} == {f"{x}.async.dropped" for x in ("csharp", "js", "rust", "elixir", "java", "swift", "golang", "cpp", "ruby", "python")}
+    files = [
+        ("a.js", "x = a / b;\ny = a / 2; // c / d\nz = a / Math.PI;\nw = p.q.r.s;\nif (p.q.r.s) {\n  v(p.q.r.s);\n}\n"),
+        ("a.cpp", "".join(f"int x{k} = a / b{k};\n" for k in range(16)) + "std::async(f);\nauto g = std::async(f);\n"),
+        ("a.rs", "let x = a / b;\n"),
+        ("a.rb", "x = a / b\ny = a / 10\nz = p.q.r.s\nw = p&.q.r.s.t\nThread.new { f }\n"),
+        ("b.rb", "a = 3.times.map do |i|\n  Thread.new do\n    f\n  end\nend\na.each(&:join)\n"),
+        ("a.py", "import asyncio\nasync def f():\n    asyncio.create_task(g())\n    t = asyncio.create_task(h())\n    await t\n"),
+        ("a.ex", "        case x do\n" * 11),
+    ]
+    globs = ("*.division", "*.deep_access", "*.deep_nesting", "*.dropped", "*.lifecycle.named")
+    found = {r.rule_id: r.n for r in scan(frame(spark, files, "path string, text string"), ScanConfig(rule_globs=globs)).findings.collect()}
+    want = {"js.division": 1, "js.deep_access": 1, "cpp.division": 16, "cpp.async.dropped": 1, "rust.division": 1, "ruby.division": 1, "ruby.deep_access": 1, "ruby.async.dropped": 1, "python.async.dropped": 1, "elixir.deep_nesting": 11}
+    assert {k: found.get(k) for k in want} == want and not found.get("python.lifecycle.named")

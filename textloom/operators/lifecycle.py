@@ -176,6 +176,8 @@ DROPPED = {
     "java": r"^\s*(?P<name>CompletableFuture\.(?:run|supply)Async)\s*\([^;]*\)\s*;",
     "swift": r"^\s*(?P<name>Task)\s*\{",
     "golang": r"^\s*(?P<name>go)\s+func\s*\(",
+    "cpp": r"^\s*(?P<name>std::async)\s*\(",
+    "ruby": r"^[ \t]*(?P<name>Thread\.(?:new|start|fork))\b(?![\s\S]*(?:\.|&:)(?:join|value)\b)",
 }
 
 

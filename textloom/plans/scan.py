@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
-from ..functions.source import python_matches, regions
+from ..functions.source import python_matches, regex_matches, regions
 from ..functions.text import explode_lines
 from ..operators.aggregate import at_least, counts, exit_code, findings, samples, summary, totals
-from ..operators.correlate import in_context, risky_divisions
+from ..operators.correlate import in_context, outside, risky_divisions
 from ..operators.flow import flow_specs, flows
-from ..operators.lifecycle import issues
+from ..operators.lifecycle import DROPPED, NARROWINGS, issues
 from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
 from ..operators.prune import before_tests, outside_test_directories, prune
 from ..sources.tree import manifest_lines
@@ -32,6 +32,13 @@ STRUCTURAL: list[Rule] = [
     Rule("py.mutated_loop", "python", 3, "match", "", "", ALWAYS_WARNING, "A collection changes under its loop", "Loop over a copy"),
     Rule("py.json_unguarded", "python", 9, "match", "", "", ALWAYS_WARNING, "JSON is read without a handler", "Catch the error"),
 ]
+_DIVISION = r"(?<!return)(?<!typeof)(?<!case)(?<=[\w)\]])[ \t]*(?<![/*])/(?![/*=>])[ \t]*(?P<R>[A-Za-z_$][\w$.:]*(?:[ \t]*\([^()\n]*\))?|\([^()\n]*\))"
+_CHAIN = r"(?<![\w$.?)\]])[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*){3,}"
+#: The same checks by pattern: (rule, pattern in the masked text, pattern of the guards that excuse beside the blocks of an if).
+PATTERNED: list[tuple[Rule, str, str | None]] = [
+    *((Rule(f"{lang}.division", lang, c, "match", "", "", tiers, "Division by something that may be zero", "Check for zero first"), _DIVISION, None) for lang, c, tiers in (("js", 2, ((25, "warning"), (0, "info"))), ("cpp", 6, ((15, "warning"),)), ("rust", 4, ((0, "info"),)), ("ruby", 2, ((25, "warning"), (0, "info"))))),
+    (Rule("js.deep_access", "js", 1, "match", "", "", ((20, "warning"), (0, "info")), "Long attribute chains", "Guard the parts that may be missing"), _CHAIN, r"\bif\s*\([^{};]*|[\w$.]+\s*&&[^;{}\n]*"),
+]
 #: Calls that may not stand in a kind of block: (rule, pattern, kinds of blocks, blocks that excuse).
 CONTEXTUAL: list[tuple[Rule, str, list[str], list[str], str | None]] = [
     (Rule("rust.blocking_in_async", "rust", 20, "context", "", "", ALWAYS_WARNING, "A blocking call in asynchronous code", "Use the asynchronous form"), r"\b(std::)?(thread::sleep|fs::\w+|net::TcpStream::connect)\s*\(", ["async"], ["closure"], None),
@@ -51,15 +58,17 @@ def _issue_rules() -> list[Rule]:
     out = []
     for lang, category in _LIFECYCLE.items():
         out.append(Rule(f"{lang}.lifecycle.named", lang, category, "issue", "", "", ALWAYS_WARNING, "A resource is not released", "Release it in all paths"))
-        out.append(Rule(f"{lang}.narrowing", lang, 1, "issue", "", "", ALWAYS_WARNING, "A value is used in spite of a failed check", "Leave the block, or use another value"))
-        out.append(Rule(f"{lang}.async.dropped", lang, 3, "issue", "", "", ALWAYS_WARNING, "Asynchronous work is started and dropped", "Keep the handle"))
+        if lang in NARROWINGS:
+            out.append(Rule(f"{lang}.narrowing", lang, 1, "issue", "", "", ALWAYS_WARNING, "A value is used in spite of a failed check", "Leave the block, or use another value"))
+        if lang in DROPPED or lang == "python":  # Python's by its syntax, as tasks that nothing takes over
+            out.append(Rule(f"{lang}.async.dropped", lang, 3, "issue", "", "", ALWAYS_WARNING, "Asynchronous work is started and dropped", "Keep the handle"))
     return out
 
 
 def all_rules(config: ScanConfig, extra: list[Rule] | None = None) -> list[Rule]:
     """Rules of every kind that take part in a scan."""
     flow = [Rule(s.rule_id, s.lang, s.category, "flow", "", "", ALWAYS_CRITICAL, s.title, "Validate the value before it is used") for s in flow_specs()]
-    more = [*STRUCTURAL, *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules()]
+    more = [*STRUCTURAL, *(p[0] for p in PATTERNED), *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules()]
     more += [Rule(f"{lang}.unreachable", lang, 10, "next_line", "", "", ((5, "info"),), "Code behind a jump", "Delete it") for lang in ("js", "python", "golang", "java", "csharp")]
     return rules(config, extra) + [r for r in more if config.runs(r.lang, r.category, r.rule_id)]
 
@@ -114,11 +123,19 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
     if by.get("match"):
         found = python_matches(texts)
         found = found.where("rule_id <> 'py.division'").unionByName(risky_divisions(found.where("rule_id = 'py.division'")))
+        wanted = [p for p in PATTERNED if p[0] in by["match"]]
+        if wanted:
+            more = regex_matches(texts, {r.rule_id: (r.lang, p) for r, p, _ in wanted})
+            divided = F.col("rule_id").endswith(".division")
+            found = found.unionByName(risky_divisions(more.where(divided)))
+            guards = {r.rule_id: (r.lang, g) for r, _, g in wanted if g}
+            if guards:
+                places = ["path", "s_line", "s_col", "e_line", "e_col"]
+                excused = regex_matches(texts, guards).select(*places).unionByName(regions(texts).where("kind = 'if'").select(*places))
+                found = found.unionByName(outside(more.where(~divided), excused))
         add(placed(found.select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule_id for r in by["match"]})
     if by.get("context"):
         wanted = [c for c in CONTEXTUAL if c[0] in by["context"]]
-        from ..functions.source import regex_matches
-
         found, blocks = regex_matches(texts, {r.rule_id: (r.lang, p) for r, p, *_ in wanted}), regions(texts)
         parts = [in_context(found.where(F.col("rule_id") == r.rule_id), blocks, kinds, cold, header) for r, _, kinds, cold, header in wanted]
         add(placed(reduce(DataFrame.unionByName, parts).select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule_id for r in by["context"]})
@@ -128,7 +145,7 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         add(placed(found.select("rule_id", "path", "line_no", F.concat_ws("  # ", "code", F.array_join("trail", " -> ")).alias("code"))), ids)
     if by.get("issue"):
         found = issues(texts).join(texts.select(F.col("path").alias("_f"), F.col("lang").alias("_lang")), F.col("path") == F.col("_f"))
-        name = F.when(F.col("kind") == "narrowing", ".narrowing").when(F.col("kind") == "dropped", ".async.dropped").otherwise(".lifecycle.named")
+        name = F.when(F.col("kind") == "narrowing", ".narrowing").when((F.col("kind") == "dropped") | (F.col("_lang") == "python") & (F.col("kind") == "task"), ".async.dropped").otherwise(".lifecycle.named")
         add(placed(found.select(F.concat("_lang", name).alias("rule_id"), "path", "line_no", F.col("message").alias("code"))), {r.rule_id for r in by["issue"]})
     if by.get("next_line"):
         dead = unreachable(lines)
