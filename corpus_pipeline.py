@@ -7,15 +7,15 @@ fingerprints, so ``ORACLE_SQL`` is None and tests compare the stages with plain
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, table
+from textloom.llm.common import SPACE, materialise, table
 from textloom.llm.exact_dedup import exact_groups
 from textloom.llm.packing import packed_documents, tokenizer_path
 from textloom.llm.quality import keep_quality
 from textloom.llm.secrets import redact
-from textloom.llm.simhash_dedup import near_groups
+from textloom.llm.simhash_dedup import near_keepers
 
 ORACLE_SQL = None
 
@@ -26,15 +26,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_groups(docs).where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group of equal texts, whether or not ids are null or repeated."""
+    named = exact_groups(docs).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    kept = materialise(named.groupBy("digest", F.col("keep_id").alias("_kept")).agg(F.count(F.lit(1)).alias("n")))
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.withColumn("_key", F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)))
+    return _one_each(docs, marked, kept.withColumnRenamed("digest", "_of"), F.struct(F.length(text), F.sha2(text, 256)))
+
+
+def _one_each(docs: DataFrame, marked: DataFrame, kept: DataFrame, order: Column) -> DataFrame:
+    """A row of ``marked`` for each row of ``kept(_kept, _of, n)``: the only one with that doc_id and _key, or the last of n such in ``order``."""
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_of"))
+    only = marked.join(kept.where("n = 1"), same, "left_semi").select(*docs.columns)
+    several = marked.join(kept.where("n > 1"), same, "left_semi").groupBy("doc_id", "_key").agg(F.max_by(F.struct(*docs.columns), order).alias("_row"))
+    return only.union(several.select("_row.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    kept = near_groups(docs).where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each near-duplicate group, the one with the smallest id, whether or not ids are null or repeated."""
+    kept = materialise(near_keepers(docs).select(F.col("id").alias("_kept"), F.col("sha").alias("_of"), "n"))
+    marked = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return _one_each(docs, marked, kept, F.coalesce("n_chars", F.lit(-1)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

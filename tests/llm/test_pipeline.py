@@ -87,3 +87,16 @@ def test_stages_match_plain_versions(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_dedup_of_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b.replace(" ", "  ")), (3, c), (None, c), (None, d), (None, d), (None, text()), (5, None), (5, ""), (None, "")]
+    table = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda stage: sorted(((r["doc_id"], r["text"] or "") for r in stage(spark, table, "").collect()), key=str)
+    want = [(1, a), (3, b.replace(" ", "  ")), (3, c), (None, d), (None, rows[9][1]), (5, "")]
+    assert kept(corpus_pipeline.exact) == sorted(want, key=str)
+    near = kept(corpus_pipeline.near)
+    assert [(k, " ".join(t.split())) for k, t in near] == sorted(((k, " ".join(t.split())) for k, t in want), key=str)

@@ -45,16 +45,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(id, fp)`` for every row; fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, hashed: bool = False) -> DataFrame:
+    """``(id, fp)`` for every row; fp is the fingerprint's 64 bits as a signed long. With ``hashed`` also ``sha``, the SHA-256 of the text."""
+    extra = [F.sha2(raw(text_col), 256).alias("sha")] if hashed else []
+    names = ["id", "fp", *(["sha"] if hashed else [])]
     bound_batches(docs.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [_signed(simhash(x.as_py(), shingle, seed)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), raw(text_col).alias("t")).mapInArrow(mapped, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), raw(text_col).alias("t"), *extra).mapInArrow(mapped, "id long, fp long" + ", sha string" * hashed)
 
 
 def hamming_links(fps: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame:
@@ -102,14 +104,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part, but name a component (as null) only if no row of it has an id. Other columns are not read. An
     empty table gives an empty result.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle, seed))
+    rows, named = _named(docs, id_col, text_col, budget, shingle, seed)
+    return rows.join(named, "fp").select("id", "fp", "component")
+
+
+def near_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Return ``(id, sha, n)``, one row of each near-duplicate group: its smallest id (null only if it has no other), then SHA-256 of the text, and how many rows have both."""
+    rows, named = _named(docs, id_col, text_col, budget, shingle, seed, True)
+    placed = rows.groupBy("id", "fp", "sha").agg(F.count(F.lit(1)).alias("n")).join(named, "fp")
+    return placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sha", "n")).alias("k")).select("k.id", "k.sha", "k.n")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, budget: int, shingle: int, seed: int, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and ``(fp, root, component)`` of the distinct ones."""
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle, seed, hashed))
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")))
     found = materialise(hamming_links(nodes.select("fp"), budget))
     free_shuffles(docs.sparkSession)
     roots = components(found)
     rooted = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "root", "component")
+    return rows, named
 
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
