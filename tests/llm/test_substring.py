@@ -58,7 +58,17 @@ def test_locate_is_exact_when_hashes_clash(monkeypatch):
     assert got == [{1: (3, 0, 3)}, {1: (3, 0, 3)}, {}]
 
 
-def test_locate_matches_comparing_all_windows():
+def test_a_very_long_text_is_read_to_its_end(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(60))
+    long = " ".join(f"{rng.randrange(10**9)}" for _ in range(150_000))
+    docs = spark.createDataFrame([(1, f"{long} {passage}"), (2, f"x {passage} y"), (3, long)], "doc_id long, text string")
+    assert sorted((r["id"], r["n_words"], r["n_removed"]) for r in remove_repeats(docs).collect()) == [(1, 150_060, 0), (2, 62, 60), (3, 150_000, 150_000)]
+
+
+@pytest.mark.parametrize("characters", [0, 10**6])
+def test_locate_matches_comparing_all_windows(monkeypatch, characters):
+    monkeypatch.setattr("textloom.llm.substring_dedup._CHARACTERS", characters)
     rng = random.Random(8)
     for _ in range(60):
         base = [[rng.choice("abcd").encode() for _ in range(14)] for _ in range(3)]
