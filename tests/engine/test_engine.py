@@ -153,7 +153,7 @@ def test_suppression(spark):
 def test_balances_missing_partners_and_ratios(spark):
     files = [("a.py", "python", "f = open(x)\ng = open(y)\nf.close()\n"), ("b.py", "python", "with open(x) as f:\n"), ("c.java", "java", "Executors.newFixedThreadPool(1)\n"), ("d.java", "java", "Executors.newFixedThreadPool(1)\npool.shutdown()\n"), ("e.js", "js", "setTimeout(f)\nsetTimeout(g)\nclearTimeout(t)\n")]
     lines = explode_lines(frame(spark, files, FILES))
-    assert [(r.path, r.rule_id, r.acquired, r.released, r.n) for r in L.balances(lines, [r for r in rules() if r.rule_id == "python.balance.file_handle"]).collect()] == [("a.py", "python.balance.file_handle", 2, 1, 1)]
+    assert [(r.path, r.rule_id, r.acquired, r.released, r.n) for r in L.balances(lines, [r for r in rules() if r.rule_id == "python.balance.unclosed_file"]).collect()] == [("a.py", "python.balance.unclosed_file", 2, 1, 1)]
     assert [(r.path, r.rule_id) for r in L.lacking(lines, rules()).collect()] == [("c.java", "java.file_without.executor_without_shutdown")]
     assert [(r.rule_id, r.n) for r in L.ratios(lines, rules()).collect()] == [("js.ratio.timers_cleared", 1)]
 
@@ -320,7 +320,7 @@ def test_scan_and_reports(spark, tmp_path):
     files = frame(spark, [("a.py", bad), ("b.js", "if (a == NaN) {}\n"), ("requirements.txt", "flask\nx==1\n"), ("node_modules/c.js", "eval(x)")], "path string, text string")
     result = scan(files, ScanConfig())
     found = {r.rule_id: r for r in result.findings.collect()}
-    for rule, n in (("python.eval", 1), ("python.flow.sql", 1), ("python.flow.path", 1), ("python.shell", 0), ("python.flow.command", 0), ("js.nan_equality", 1), ("js.eval", 0), ("python.balance.file_handle", 1), ("python.lifecycle.named", 1), ("python.unpinned", 1)):
+    for rule, n in (("python.eval", 1), ("python.flow.sql", 1), ("python.flow.path", 1), ("python.shell", 0), ("python.flow.command", 0), ("js.nan_equality", 1), ("js.eval", 0), ("python.balance.unclosed_file", 1), ("python.lifecycle.named", 1), ("python.unpinned", 1)):
         assert found[rule].n == n, rule
     t = result.totals.first()
     assert t.files == 2 and t.critical >= 5 and result.exit_code() == 1
