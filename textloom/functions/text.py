@@ -18,6 +18,38 @@ def java_regex(pattern: str) -> str:
     return re.sub(r"\[:(\w+):\]", lambda m: _POSIX[m[1]], pattern)
 
 
+def literal_of(pattern: str) -> str:
+    """The longest text that stands in every match of a pattern, as far as it can be told without groups and classes; empty for none."""
+    if "(?i" in pattern:
+        return ""
+    runs, run, depth, k = [], "", 0, 0
+    while k < len(pattern):
+        c, k = pattern[k], k + 1
+        plain = None
+        if c == "\\":
+            c, k = pattern[k], k + 1
+            plain = c if not c.isalnum() else None
+        elif c == "[":
+            k = pattern.index("]", k + 1 + (pattern[k] == "^")) + 1
+            while pattern[k - 2 : k] == ":]" and "]" in pattern[k:]:  # the end of a POSIX class, not of the brackets
+                k = pattern.index("]", k) + 1
+        elif c == "|" and not depth:
+            return ""
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c not in ".^$|*+?{}":
+            plain = c
+        if c == "{" and plain is None:
+            k = pattern.find("}", k) + 1 or len(pattern)
+        if plain is not None and not depth and pattern[k : k + 1] not in ("*", "?", "{"):
+            run += plain
+            if pattern[k : k + 1] == "+":
+                runs, run = [*runs, run], ""
+        else:
+            runs, run = [*runs, run], ""
+    return max([*runs, run], key=len)
+
+
 def matches(column: Column, pattern: str, ignore_case: bool = False, word: bool = False) -> Column:
     """Whether a pattern is found: as it is, without regard to case, or as whole words."""
     pattern = java_regex(pattern)
@@ -65,15 +97,20 @@ def language_of(ext: Column, extensions: dict[str, tuple[str, ...]]) -> Column:
     return F.try_element_at(F.create_map(*pairs), ext)
 
 
-def explode_lines(files: DataFrame, text: str = "text", breaks: str = LINE_BREAK) -> DataFrame:
+def explode_lines(files: DataFrame, text: str = "text", breaks: str = LINE_BREAK, previous: bool = False) -> DataFrame:
     """One row per line of ``files``, numbered from 1 in line_no, without its break.
 
     A break at the end of a text starts no further line; an empty or null text has no lines. Columns other
-    than the text stay.
+    than the text stay. With ``previous`` each line also has the one before it (null for the first), so that
+    nothing need be shuffled to look back by a line.
     """
     parts = F.split(F.regexp_replace(F.col(text), rf"(?:{breaks})\z", ""), breaks, -1)
-    keep = [c for c in files.columns if c not in (text, "line_no", "line")]
-    return files.where(F.length(text) > 0).select(*keep, F.posexplode(parts).alias("_at", "line")).select(*keep, (F.col("_at") + 1).alias("line_no"), "line")
+    keep = [c for c in files.columns if c not in (text, "line_no", "line", "previous")]
+    some = files.where(F.length(text) > 0)
+    if not previous:
+        return some.select(*keep, F.posexplode(parts).alias("_at", "line")).select(*keep, (F.col("_at") + 1).alias("line_no"), "line")
+    split = some.select(*keep, parts.alias("_line")).withColumn("_before", F.concat(F.array(F.lit(None).cast("string")), F.slice("_line", F.lit(1), F.size("_line") - 1)))
+    return split.select(*keep, F.posexplode(F.arrays_zip("_line", "_before")).alias("_at", "_both")).select(*keep, (F.col("_at") + 1).alias("line_no"), F.col("_both._line").alias("line"), F.col("_both._before").alias("previous"))
 
 
 def line_of(text: Column, offset: Column) -> Column:

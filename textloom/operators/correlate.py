@@ -45,9 +45,12 @@ def guard_regions(guards: DataFrame) -> DataFrame:
 
 
 def without_partner(acquired: DataFrame, released: DataFrame) -> DataFrame:
-    """``acquired(path, name, off, ...)`` without a later row of ``released(path, name, off)`` for the same name in the file."""
-    r = released.select(F.col("path").alias("r_path"), F.col("name").alias("r_name"), F.col("off").alias("r_off"))
-    return acquired.join(r, (F.col("path") == F.col("r_path")) & (F.col("name") == F.col("r_name")) & (F.col("r_off") > F.col("off")), "left_anti")
+    """``acquired(path, name, off, ...)`` without a later row of ``released(path, name, off)`` for the same name in the file.
+
+    Only the last release of a name matters, so each acquisition meets one row at most.
+    """
+    last = released.groupBy(F.col("path").alias("r_path"), F.col("name").alias("r_name")).agg(F.max("off").alias("r_off"))
+    return acquired.join(last, (F.col("path") == F.col("r_path")) & (F.col("name") == F.col("r_name")) & (F.col("r_off") > F.col("off")), "left_anti")
 
 
 def latest_open(events: DataFrame) -> DataFrame:

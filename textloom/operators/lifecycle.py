@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.source import Lines, masked
 
-ISSUES = "path string, line_no int, kind string, name string, message string"
+ISSUES = "path string, lang string, line_no int, kind string, name string, message string"
 
 #: (kind, acquisition with the group name, release of that name; {n} stands for it), by language; fixed values.
 RESOURCES: dict[str, list[tuple[str, str, str]]] = {
@@ -190,12 +190,12 @@ def dropped_tasks(text: str, lang: str) -> list[tuple[int, str, str, str]]:
 
 
 def issues(files: DataFrame, checks: tuple = (unreleased, unsafe_after_guard, dropped_tasks)) -> DataFrame:
-    """``(path, line_no, kind, name, message)`` of all checks, file by file."""
+    """``(path, lang, line_no, kind, name, message)`` of all checks, file by file."""
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(path, *x) for path, lang, text in zip(batch["path"], batch["lang"], batch["text"], strict=True) if isinstance(text, str) for check in checks for x in check(text, lang)]
-            yield pd.DataFrame(rows, columns=["path", "line_no", "kind", "name", "message"])
+            rows = [(path, lang, *x) for path, lang, text in zip(batch["path"], batch["lang"], batch["text"], strict=True) if isinstance(text, str) for check in checks for x in check(text, lang)]
+            yield pd.DataFrame(rows, columns=["path", "lang", "line_no", "kind", "name", "message"])
 
     return files.select("path", "lang", "text").mapInPandas(mapped, ISSUES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,31 +10,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import SUPPRESSION_MARKERS
-from ..functions.text import java_regex
+from ..functions.text import java_regex, literal_of
 from ..plans.catalogue import Rule
 
 
 def hit(rule: Rule, line: Column) -> Column:
-    """Whether a rule's pattern is found and its veto is not."""
+    """Whether a rule's pattern is found and its veto is not. A text that every match holds is looked for first."""
     flag = "(?i)" if rule.ignore_case else ""
     found = line.rlike(flag + java_regex(rule.pattern))
+    if not flag and (text := literal_of(rule.pattern)):
+        found = line.contains(text) & found
     return found & ~line.rlike(java_regex(rule.exclude)) if rule.exclude else found
 
 
-def occurrences(lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``(lang, category, rule_id, path, line_no, code)`` and ``lines``' suppressed column: a row per rule and line.
+def _any_hit(rules: list[Rule], line: Column) -> Column:
+    """Whether a line may satisfy one of the rules: plain searches where patterns hold a text, one alternation for the others."""
+    texts = {"" if r.ignore_case else literal_of(r.pattern) for r in rules}
+    tests = [line.contains(t) for t in sorted(texts - {""})]
+    loose = [r for r in rules if r.ignore_case or not literal_of(r.pattern)]
+    if loose:
+        tests.append(line.rlike("|".join(f"(?:{'(?i)' if r.ignore_case else ''}{java_regex(r.pattern)})" for r in loose)))
+    return reduce(lambda a, b: a | b, tests)
 
-    All rules of a language are tried in one pass: a line that the alternation of all patterns does not find
-    is let go at once; the others get the array of the rules they satisfy, which is exploded. Nothing is
-    joined or shuffled.
-    """
-    line, cases = F.col("line"), None
+
+def _satisfied(rules: list[Rule], line: Column, of: Callable[[Rule], Column]) -> Column | None:
+    """For each line the array of what ``of`` gives for the rules of its language that it satisfies; null if none can be."""
+    cases = None
     for lang in dict.fromkeys(r.lang for r in rules):
         mine = [r for r in rules if r.lang == lang]
-        some = "|".join(f"(?:{'(?i)' if r.ignore_case else ''}{java_regex(r.pattern)})" for r in mine)
-        hits = F.array_compact(F.array(*[F.when(hit(r, line), F.struct(F.lit(r.category).alias("category"), F.lit(r.rule_id).alias("rule_id"))) for r in mine]))
-        test = (F.col("lang") == lang) & line.rlike(some)
+        test = (F.col("lang") == lang) & _any_hit(mine, line)
+        hits = F.array_compact(F.array(*[F.when(hit(r, line), of(r)) for r in mine]))
         cases = F.when(test, hits) if cases is None else cases.when(test, hits)
+    return cases
+
+
+def occurrences(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``(lang, category, rule_id, path, line_no, code)`` and ``lines``' suppressed column: a row per rule and line.
+
+    All rules of a language are tried in one pass: a line that holds no text and no pattern of any is let go
+    at once; the others get the array of the rules they satisfy, which is exploded. Nothing is joined or
+    shuffled.
+    """
+    cases = _satisfied(rules, F.col("line"), lambda r: F.struct(F.lit(r.category).alias("category"), F.lit(r.rule_id).alias("rule_id")))
     more = [c for c in ("suppressed",) if c in lines.columns]
     if cases is None:
         return lines.where("false").select("lang", F.lit(0).alias("category"), F.lit("").alias("rule_id"), "path", "line_no", F.col("line").alias("code"), *more)
@@ -41,11 +59,20 @@ def occurrences(lines: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def mark_suppressed(lines: DataFrame, markers: tuple[str, ...] = SUPPRESSION_MARKERS, previous_line: bool = True, ignore_case: bool = True) -> DataFrame:
-    """``lines`` with suppressed: a marker stands on the line, or on the one before it in the file."""
-    text = F.lower("line") if ignore_case else F.col("line")
-    here = reduce(lambda a, b: a | b, (text.contains(m.lower() if ignore_case else m) for m in markers), F.lit(False))
+    """``lines`` with suppressed: a marker stands on the line, or on the one before it in the file.
+
+    Lines that come with the one before them (``previous``) are marked where they are; others are shuffled by file.
+    """
+
+    def marked(name: str) -> Column:
+        text = F.lower(name) if ignore_case else F.col(name)
+        return reduce(lambda a, b: a | b, (text.contains(m.lower() if ignore_case else m) for m in markers), F.lit(False))
+
+    here = marked("line")
     if not previous_line:
         return lines.withColumn("suppressed", here)
+    if "previous" in lines.columns:
+        return lines.withColumn("suppressed", here | F.coalesce(marked("previous"), F.lit(False))).drop("previous")
     before = F.lag(here, 1, False).over(Window.partitionBy("path").orderBy("line_no"))
     return lines.withColumn("suppressed", here | before)
 
@@ -59,10 +86,15 @@ def suppressed_statements(occurrences: DataFrame, regions: DataFrame, lines: Dat
 
 
 def one_pass_counts(lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``(lang, rule_id, n)`` by one conditional aggregation without exploding; rules without a hit have 0."""
-    sums = [F.count(F.when((F.col("lang") == r.lang) & hit(r, F.col("line")), 1)).alias(f"r{k}") for k, r in enumerate(rules)]
-    wide = lines.agg(*sums)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(r.lang).alias("lang"), F.lit(r.rule_id).alias("rule_id"), F.col(f"r{k}").alias("n")) for k, r in enumerate(rules)])).alias("x")).select("x.*")
+    """``(lang, rule_id, n)`` of all rules in one pass: only the rules' numbers are exploded, and the sums are partial; rules without a hit have 0."""
+    spark = lines.sparkSession
+    table = spark.createDataFrame([(k, r.lang, r.rule_id) for k, r in enumerate(rules)], "k int, lang string, rule_id string")
+    numbers = {r.rule_id: k for k, r in enumerate(rules)}
+    cases = _satisfied(rules, F.col("line"), lambda r: F.lit(numbers[r.rule_id]))
+    if cases is None:
+        return table.select("lang", "rule_id", F.lit(0).cast("long").alias("n"))
+    counted = lines.select(F.explode(cases).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
+    return table.join(counted, F.col("k") == F.col("_k"), "left").select("lang", "rule_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def balances(lines: DataFrame, rules: list[Rule]) -> DataFrame:

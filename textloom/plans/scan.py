@@ -17,6 +17,7 @@ from ..operators.flow import flow_specs, flows
 from ..operators.lifecycle import DROPPED, NARROWINGS, issues
 from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
 from ..operators.prune import before_tests, outside_test_directories, prune
+from ..sources.steps import spread, step
 from ..sources.tree import manifest_lines
 from .catalogue import ALWAYS_CRITICAL, ALWAYS_INFO, ALWAYS_WARNING, Rule, rules
 
@@ -96,13 +97,13 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
     """
     config = config or ScanConfig()
     spark = files.sparkSession
-    kept = prune(files, config)
+    kept = spread(prune(files, config))
     if config.exclude_tests:
         kept = outside_test_directories(kept)
     texts = kept.select("path", "lang", "text")
     chosen = all_rules(config, extra)
     by = {kind: [r for r in chosen if r.kind == kind] for kind in {r.kind for r in chosen}}
-    lines = mark_suppressed(explode_lines(texts), config.markers, config.suppress_previous_line)
+    lines = mark_suppressed(explode_lines(texts, previous=True), config.markers, config.suppress_previous_line)
     if config.exclude_tests:
         lines = before_tests(lines)
     seen = [occurrences(lines, by.get("line", []))]
@@ -144,13 +145,14 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         found = flows(texts, [s for s in flow_specs() if s.rule_id in ids], config.markers)
         add(placed(found.select("rule_id", "path", "line_no", F.concat_ws("  # ", "code", F.array_join("trail", " -> ")).alias("code"))), ids)
     if by.get("issue"):
-        found = issues(texts).join(texts.select(F.col("path").alias("_f"), F.col("lang").alias("_lang")), F.col("path") == F.col("_f"))
+        found = issues(texts).withColumnRenamed("lang", "_lang")
         name = F.when(F.col("kind") == "narrowing", ".narrowing").when((F.col("kind") == "dropped") | (F.col("_lang") == "python") & (F.col("kind") == "task"), ".async.dropped").otherwise(".lifecycle.named")
         add(placed(found.select(F.concat("_lang", name).alias("rule_id"), "path", "line_no", F.col("message").alias("code"))), {r.rule_id for r in by["issue"]})
     if by.get("next_line"):
         dead = unreachable(lines)
         seen.append(placed(dead.withColumnRenamed("lang", "_of").select(F.concat("_of", F.lit(".unreachable")).alias("rule_id"), "path", "line_no", F.col("line").alias("code"), "suppressed")).select("lang", "category", "rule_id", "path", "line_no", "code", "suppressed"))
-    every = reduce(DataFrame.unionByName, seen)
+    # Written once: counts, samples and every report start from here, and not from the texts.
+    every = step(reduce(DataFrame.unionByName, seen))
     counted = [counts(every)]
     open_lines = lines.where("NOT suppressed")
     if by.get("balance"):

@@ -1,4 +1,4 @@
-"""Materialised steps of iterated operators, in the folder that driver and executors share."""
+"""How rows are laid out between operators: spread over the cores, and materialised in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -10,5 +10,17 @@ def step(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/textloom-checkpoints"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or "/tmp/textloom-checkpoints")
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores at least, since one file of one row group is read by one task.
+
+    Inputs that have more partitions, as large ones do, stay as they are and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
