@@ -4,11 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans.queries import QUERIES, SQL
+from textloom.plans import checks, queries
+
+QUERIES, SQL = queries.QUERIES | checks.QUERIES, queries.SQL | checks.SQL
 
 SF = "/root/testdata/sf0.001"
 #: One query of each kind; the others differ in parameters.
-SOME = ("rule_occurrences", "rule_findings", "first_samples", "severity_rollup", "category_matrix", "acquire_release", "look_back", "ignored_paths", "unguarded", "open_events", "as_of_events", "dependency_gaps", "report_lines", "sarif_levels", "masked_lengths")
+SOME = ("rule_occurrences", "rule_findings", "first_samples", "severity_rollup", "category_matrix", "acquire_release", "look_back", "ignored_paths", "unguarded", "open_events", "as_of_events", "dependency_gaps", "report_lines", "sarif_levels", "masked_lengths", "number_literals", *checks.QUERIES)
 
 
 @pytest.fixture(scope="module")

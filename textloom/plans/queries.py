@@ -22,6 +22,7 @@ from ..operators import lines as L
 from ..operators import prune as P
 from ..operators.flow import FlowSpec, flows
 from ..sources import sinks
+from ..sources.steps import spread
 from ..sources.tree import table_as_files
 from .catalogue import Rule, variants
 
@@ -43,7 +44,7 @@ MARKERS = ("###", "token =")
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return table_as_files(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang")
+    return table_as_files(_read(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +52,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
-    return L.mark_suppressed(_lines(spark, sf), MARKERS)
+    return L.mark_suppressed(explode_lines(_files(spark, sf).select("path", "lang", "text"), previous=True), MARKERS)
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +60,7 @@ def _found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 _LINES = r"""
@@ -295,8 +296,8 @@ def match_records(spark, sf):
 
 
 def number_literals(spark, sf):
-    token = F.regexp_extract("text", r"([0-9][0-9_.]*)", 1)
-    rows = _read(spark, sf, "documents").select("doc_id", token.alias("t")).where("t <> '' AND length(t) < 15")
+    tokens = F.regexp_extract_all("text", F.lit(r"([0-9][0-9_.]*)"), 1)
+    rows = _read(spark, sf, "documents").select("doc_id", F.explode(tokens).alias("t"))
     return rows.select("doc_id", "t", number_literal(F.col("t")).alias("v"))
 
 
@@ -396,7 +397,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c""",
     "language_sets": "SELECT 'intersect' AS op, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'union', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)",
     "keep_first": "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role",
     "match_records": "SELECT page_id, url AS path, (page_id % 97)::INT AS line_no, 'x: y' AS code FROM pages",
-    "number_literals": "SELECT doc_id, t, TRY_CAST(CASE WHEN regexp_matches(replace(t, '_', ''), '^[0-9]*\\.?[0-9]+$') THEN replace(t, '_', '') END AS DOUBLE) AS v FROM (SELECT doc_id, regexp_extract(text, '([0-9][0-9_.]*)', 1) AS t FROM documents) WHERE t <> '' AND length(t) < 15",
+    "number_literals": "SELECT doc_id, t, TRY_CAST(CASE WHEN regexp_matches(replace(t, '_', ''), '^[0-9]*\\.?[0-9]+$') THEN replace(t, '_', '') END AS DOUBLE) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9][0-9_.]*)', 1)) AS t FROM documents)",
     "last_metrics": "SELECT conv_id, max(turn) FILTER (role = 'user')::VARCHAR AS last_user, max(turn) FILTER (role = 'assistant')::VARCHAR AS last_assistant FROM conversations GROUP BY conv_id",
     "permalinks": f"{_HITS} SELECT DISTINCT path::BIGINT AS path, line_no, 'https://host/blob/main/' || path || '#L' || line_no AS url FROM hits WHERE rule_id LIKE 'insult%'",
     "report_lines": f"{_ALL}, {_SUMMARY} SELECT 'finding' AS type, lang AS language, rule_id, n AS count, NULL::BIGINT AS files, NULL::BIGINT AS critical FROM found WHERE severity <> 'good' UNION ALL SELECT 'scanner', lang, NULL, NULL, files, critical FROM summary UNION ALL SELECT 'totals', NULL, NULL, NULL, sum(files)::BIGINT, sum(critical)::BIGINT FROM summary",
