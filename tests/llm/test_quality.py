@@ -1,6 +1,7 @@
 import numpy as np
 
-from textloom.llm.quality import co_train, score_quality
+from textloom.llm.common import materialise
+from textloom.llm.quality import N_META, N_TEXT, _matrix, co_train, co_train_with, features, fit, keep_quality, lesson, logistic, pool_lessons, score_quality, stepped, summed_lessons
 
 
 def test_co_training_learns_from_the_other_view():
@@ -37,3 +38,54 @@ def test_odd_rows(spark):
     assert [r["score"] for r in score_quality(docs, labels).collect()] == [1.0] * 3
     assert [r["kept"] for r in score_quality(docs, labels.limit(0)).collect()] == [True] * 3
     assert score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_one_round_equals_brute_force(spark, monkeypatch):
+    """The summed lessons of a round, and the step they lead to, against all rows in one place, row by row."""
+    monkeypatch.setattr("textloom.llm.quality._FAN_IN", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(7)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = materialise(features(docs)).repartition(7)
+    known = {r["doc_id"]: float(r["quality"]) for r in labels.collect()}
+    mine = sorted((r["id"], bytes(r["a"]), bytes(r["b"])) for r in rows.collect())
+    has = np.array([k in known for k, *_ in mine])
+    a, b = _matrix([x for _, x, _ in mine], N_TEXT), _matrix([x for _, _, x in mine], N_META)
+    y = np.array([known[k] for k, *_ in mine if k in known])
+    views = [logistic(x[has], y) for x in (a, b)]
+    pool = [(x, z) for x, z, h in zip(a, b, has) if not h]
+    want = [np.zeros(1 + (n + 1) + (n + 1) ** 2) for n in (N_TEXT, N_META)]
+    for x, z in pool:
+        p = [1 / (1 + np.exp(-v.logit(q[None])))[0] for v, q in zip(views, (x, z))]
+        for k, side in ((0, x), (1, z)):
+            if max(p[1 - k], 1 - p[1 - k]) >= 0.95:
+                want[k] += lesson(views[k], side[None], np.array([float(p[1 - k] >= 0.5)]))
+    chosen = spark.createDataFrame([(k,) for k in known], "id long")
+    got = summed_lessons(rows.join(chosen, "id", "left_anti"), views)
+    assert len(pool) > 50 and want[0][0] > 0 and want[1][0] > 0
+    for g, w in zip(got, want):
+        np.testing.assert_allclose(g, w, rtol=1e-7, atol=1e-7)
+    whole = fit(rows, labels, rounds=1)
+    order = [k for k, *_ in mine if k in known]
+    import zlib
+
+    place = np.argsort([(zlib.crc32(str(k).encode()) << 40) + k for k in order])
+    held = np.zeros(len(order), bool)
+    held[place[3::4]] = True
+    local = co_train_with(a[has], b[has], y, held, lambda v: pool_lessons(v, a[~has], b[~has]), 1)
+    for g, w in zip(whole.views, local.views):
+        np.testing.assert_allclose(g.weights, w.weights, rtol=1e-5, atol=1e-6)
+
+
+def test_ties_and_steps_that_teach_nothing():
+    x = np.array([[0.0], [0.0], [1.0], [1.0]])
+    view = logistic(x, np.array([0.0, 1.0, 0.0, 1.0]))
+    assert np.allclose(view.logit(x), 0, atol=1e-6)
+    assert np.allclose(stepped(view, lesson(view, x, np.array([0.0, 1.0, 0.0, 1.0]))).weights, view.weights, atol=1e-6)
+    assert pool_lessons([view, view], x, x)[0][0] == 0
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3, "x", "y", "z")], "doc_id long, text string, lang string, source string, n_chars long, scores string, scores_ string, wanted string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = keep_quality(docs, labels)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.collect()]

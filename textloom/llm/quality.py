@@ -1,15 +1,17 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view has a logistic regression. In each round either view gives its most confident pseudo-labels on a
-pool of documents to the other view's training set. Both are then calibrated on labelled rows that took no
-part in training, and the calibrated views are combined to score every document.
+Each view has a logistic regression, fitted first on labelled documents. In each round every other document of
+the corpus is looked at: where one view is confident, its label is a lesson for the other view. A lesson is a
+gradient and a Hessian, so tasks add lessons up and the driver sees sums of a fixed size; a round ends with
+one Newton step over labelled and pseudo-labelled documents. Both views are then calibrated on labelled rows
+that took no part in training, and the calibrated views are combined to score every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,33 +19,53 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, drop, fresh, materialise
 
-#: Labelled rows and pool rows that the models are fitted on, at most; all rows are scored.
-LABELLED, POOL = 10_000, 10_000
-ROUNDS, CONFIDENT, SHARE = 5, 0.95, 0.1
+#: Labelled rows that the models are fitted on, at most; the pool of co-training is every other row, and all rows are scored.
+LABELLED = 10_000
+ROUNDS, CONFIDENT = 5, 0.95
 #: Documents with a lower score are rejected.
 KEEP = 0.5
+#: Buckets that words and pairs of words are hashed to.
+BUCKETS = 64
+#: Lessons that one task or the driver adds up.
+_FAN_IN = 64
+_MEMO = 400_000
 
 _UPPER, _LOWER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 _SETS = (_UPPER, _LOWER, _DIGIT, b"!?", b"|", b"%&*#$@~^", b".,;:", b"<>{}[]()/\\=_+", b"\"'`", b"\n", b" \t\r\x0b\x0c", bytes(range(128, 256)))
-N_TEXT, _LANGS, _SOURCES = len(_SETS) + 7, 16, 32
+_SHARES, _LANGS, _SOURCES = len(_SETS) + 7, 16, 32
+N_TEXT = _SHARES + BUCKETS
 N_META = _LANGS + _SOURCES + 5
 
 
-def text_view(text: bytes) -> list[float]:
-    """Features of the whole text: shares of character classes, words and lines."""
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = zlib.crc32(word)
+        return value
+
+
+def text_view(text: bytes, hashes: _WordHashes) -> np.ndarray:
+    """Features of the whole text: shares of character classes, words and lines, and the roots of the shares of hashed words and pairs of words."""
     n = len(text) or 1
     shares = [(len(text) - len(text.translate(None, s))) / n for s in _SETS]
     words, lines = text.split(), text.split(b"\n")
     w, m = len(words) or 1, len(lines)
     letters = shares[0] + shares[1] + shares[11]
-    return [*shares, len(set(words)) / w, len(set(lines)) / m, sum(map(len, words)) / w / 10, shares[0] / (letters or 1), shares[5] * n / w, shares[3] * n / w, shares[4] * n / w]
+    out = np.zeros(N_TEXT, np.float32)
+    out[:_SHARES] = [*shares, len(set(words)) / w, len(set(lines)) / m, sum(map(len, words)) / w / 10, shares[0] / (letters or 1), shares[5] * n / w, shares[3] * n / w, shares[4] * n / w]
+    if words:
+        h = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+        pairs = h[:-1] * 31 + h[1:] * 17
+        out[_SHARES:] = np.sqrt(np.bincount(np.concatenate([h, pairs]) % BUCKETS, minlength=BUCKETS) / (2 * w))
+    if len(hashes) > _MEMO:
+        hashes.clear()
+    return out
 
 
-def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """Features of the row beside its text; language and source are hashed."""
-    out = [0.0] * N_META
+    out = np.zeros(N_META, np.float32)
     out[zlib.crc32((lang or "").encode()) % _LANGS] = 1.0
     out[_LANGS + zlib.crc32((source or "").encode()) % _SOURCES] = 1.0
     size = np.log1p(max(0, n_chars or 0))
@@ -63,19 +85,33 @@ class Logistic:
         return np.clip((x - self.mean) / self.scale @ self.weights[1:] + self.weights[0], -30, 30)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Logistic:
+RIDGE = 1.0
+
+
+def lesson(view: Logistic, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What rows teach a view at its present weights, as one vector: their number, the gradient and the Hessian."""
+    z = np.column_stack([np.ones(len(x)), (x - view.mean) / view.scale])
+    p = _sigmoid(z @ view.weights)
+    return np.concatenate([[len(x)], z.T @ (y - p), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+
+def stepped(view: Logistic, taught: np.ndarray) -> Logistic:
+    """The view after one Newton step on summed lessons."""
+    d = len(view.weights)
+    penalty = np.r_[1e-6, np.full(d - 1, RIDGE)]
+    step = np.linalg.solve(taught[1 + d :].reshape(d, d) + np.diag(penalty), taught[1 : 1 + d] - penalty * view.weights)
+    return replace(view, weights=view.weights + step / max(1.0, np.abs(step).max() / 5))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> Logistic:
     """Fit by Newton's method."""
     mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    w, penalty = np.zeros(z.shape[1]), np.r_[1e-6, np.full(x.shape[1], ridge)]
+    view = Logistic(np.zeros(x.shape[1] + 1), mean, np.where(scale > 1e-9, scale, 1.0))
     for _ in range(steps):
-        p = _sigmoid(z @ w)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-        w = w + step / max(1.0, np.abs(step).max() / 5)
-        if np.abs(step).max() < 1e-6:
+        before, view = view, stepped(view, lesson(view, x, y))
+        if np.abs(view.weights - before.weights).max() < 1e-6:
             break
-    return Logistic(w, mean, scale)
+    return view
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,34 +135,38 @@ class CoTrained:
         return _sigmoid(np.column_stack([calibrated, self.both.logit(calibrated)]))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT, share: float = SHARE) -> CoTrained:
-    """Co-training on labelled rows (``held_out`` of them for calibration) and a pool without labels.
+def pool_lessons(views: list[Logistic], text: np.ndarray, meta: np.ndarray, confident: float = CONFIDENT) -> list[np.ndarray]:
+    """For each view what the rows teach it that the other view is confident of."""
+    sides = (text, meta)
+    p = [_sigmoid(v.logit(x)) for v, x in zip(views, sides, strict=True)]
+    sure = [np.maximum(q, 1 - q) >= confident for q in p]
+    return [lesson(views[k], sides[k][sure[1 - k]], (p[1 - k][sure[1 - k]] >= 0.5).astype(float)) for k in (0, 1)]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
+    """Co-training with a pool that is at hand; see ``co_train_with``."""
+    return co_train_with(text, meta, y, held_out, lambda views: pool_lessons(views, pool_text, pool_meta, confident), rounds)
+
+
+def co_train_with(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, pool: Callable[[list[Logistic]], list[np.ndarray]], rounds: int = ROUNDS) -> CoTrained:
+    """Co-training on labelled rows (``held_out`` of them for calibration) and the lessons that ``pool`` has for two views.
 
+    Pseudo-labelled rows weigh as much as labelled ones all together, and never more than one of these each.
     Without both classes on either side of the split the score is the same for all rows: the share of
     positive labels, or 1 without labels.
     """
-    fit, cal = ~held_out, held_out
-    if len(y) == 0 or len(set(y[fit])) < 2 or len(set(y[cal])) < 2:
+    fit_, cal = ~held_out, held_out
+    if len(y) == 0 or len(set(y[fit_])) < 2 or len(set(y[cal])) < 2:
         return CoTrained([], [], None, float(y.mean()) if len(y) else 1.0)
-    sides, pools = (text, meta), (pool_text, pool_meta)
-    train = [(x[fit], y[fit]) for x in sides]
-    left = [np.ones(len(pool_text), bool) for _ in sides]  # rows that a view has not been taught yet
-    views = [logistic(*t) for t in train]
+    sides = (text, meta)
+    views = [logistic(x[fit_], y[fit_]) for x in sides]
     for _ in range(rounds):
-        taught = []
-        for k in (0, 1):
-            p = _sigmoid(views[k].logit(pools[k])) if len(pool_text) else np.zeros(0)
-            other, most = 1 - k, max(1, int(share * len(p) / 2))
-            chosen = np.zeros(len(p), bool)
-            for sure in (p, 1 - p):
-                may = np.flatnonzero(left[other] & (sure >= confident))
-                chosen[may[np.argsort(-sure[may], kind="stable")[:most]]] = True
-            taught.append((other, chosen, (p >= 0.5).astype(float)))
-        for other, chosen, label in taught:
-            left[other] &= ~chosen
-            train[other] = (np.concatenate([train[other][0], pools[other][chosen]]), np.concatenate([train[other][1], label[chosen]]))
-        views = [logistic(*t) for t in train]
-        if not any(chosen.any() for _, chosen, _ in taught):
+        taught = pool(views)
+        if not any(t[0] for t in taught):
+            break
+        own = [lesson(v, x[fit_], y[fit_]) for v, x in zip(views, sides, strict=True)]
+        before, views = views, [stepped(v, o + t * min(1.0, o[0] / max(1.0, t[0]))) for v, o, t in zip(views, own, taught, strict=True)]
+        if max(np.abs(v.weights - b.weights).max() for v, b in zip(views, before, strict=True)) < 1e-4:
             break
     raw = [v.logit(x[cal])[:, None] for v, x in zip(views, sides, strict=True)]
     calibrations = [logistic(r, y[cal]) for r in raw]
@@ -134,71 +174,116 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: np.nda
     return CoTrained(views, calibrations, logistic(calibrated, y[cal]))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """``(id, text_view, meta_view)`` with the views as binary float64."""
+def features(docs: DataFrame) -> DataFrame:
+    """``(id, a, b)`` for every row of ``docs``: both views as binary, little-endian 32-bit floats."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), *_inputs())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
-            a = [np.array(text_view(t.as_py())).tobytes() for t in batch.column(1)]
-            b = [np.array(meta_view(*m)).tobytes() for m in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            a = [text_view(t.as_py(), hashes).astype("<f4").tobytes() for t in batch.column(1)]
+            b = [meta_view(*m).astype("<f4").tobytes() for m in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["id", "a", "b"])
 
     return rows.mapInArrow(mapped, "id long, a binary, b binary")
 
 
-def _inputs(docs: DataFrame) -> list[Column]:
-    return [F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
+def _inputs() -> list[Column]:
+    return [F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
+
+
+def _matrix(blobs: pa.Array | list, width: int) -> np.ndarray:
+    joined = b"".join(x.as_py() for x in blobs) if isinstance(blobs, pa.Array) else b"".join(map(bytes, blobs))
+    return np.frombuffer(joined, "<f4").reshape(-1, width).astype(float)
+
 
+def summed_lessons(pool: DataFrame, views: list[Logistic], confident: float = CONFIDENT) -> list[np.ndarray]:
+    """``pool_lessons`` over all rows of ``pool(a, b)``: each task adds up its own, then groups of tasks do, until the driver has 64 vectors at most."""
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fit on ``labelled`` labelled documents and a pool of ``pool`` others at most, chosen by a hash of their ids.
+    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    A document with several labels has their mean, rounded up at a half; null labels and ids count for nothing.
+        total = None
+        for batch in batches:
+            now = np.concatenate(pool_lessons(views, _matrix(batch.column(0), N_TEXT), _matrix(batch.column(1), N_META), confident))
+            total = now if total is None else total + now
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    def added(key: tuple, part: pa.Table) -> pa.Table:
+        # In order of their parts, so that a repeated run adds floats up alike.
+        total = sum(np.frombuffer(x.as_py()) for x in part.sort_by("part")["sums"])
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    sums, n = pool.select("a", "b").mapInArrow(taught, "part long, sums binary"), pool.rdd.getNumPartitions()
+    while n > _FAN_IN:
+        n = -(-n // _FAN_IN)
+        sums = sums.withColumn("into", F.pmod("part", F.lit(n))).groupBy("into").applyInArrow(added, "part long, sums binary")
+    rows = sorted(sums.collect(), key=lambda r: r["part"])
+    widths = [1 + (v := N + 1) + v * v for N in (N_TEXT, N_META)]
+    total = sum((np.frombuffer(r["sums"]) for r in rows), np.zeros(sum(widths)))
+    return np.split(total, [widths[0]])
+
+
+def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on ``labelled`` labelled documents at most, chosen by a hash of their ids, and on all other ``rows`` (of ``features``) as the pool.
+
+    A document with several labels has their mean, rounded up at a half; null labels and ids count for
+    nothing. Of rows with the id of a label one is taken, the least by its features.
     """
-    bound_batches(docs.sparkSession)
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(labelled)
-    others = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(pool).distinct().join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
-    # Both parts have a fixed bound, and their features do: 600 bytes a row.
-    wanted = {r["doc_id"]: r["y"] for r in chosen.union(others).collect()}
-    picked = docs.sparkSession.createDataFrame([(k,) for k in wanted], "wanted long") if wanted else None
-    rows = [] if picked is None else _features(docs.join(F.broadcast(picked), F.col("doc_id") == F.col("wanted"), "left_semi").select(_inputs(docs))).collect()
-    first = {r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], bytes(r["a"]), bytes(r["b"])))}
-    ids = sorted(first, key=lambda k: (zlib.crc32(str(k).encode()), k))
-    y = np.array([np.nan if wanted[k] is None else wanted[k] for k in ids], float)
-    a = np.array([np.frombuffer(first[k]["a"]) for k in ids]).reshape(-1, N_TEXT)
-    b = np.array([np.frombuffer(first[k]["b"]) for k in ids]).reshape(-1, N_META)
-    has = ~np.isnan(y)
-    return co_train(a[has], b[has], y[has], np.arange(int(has.sum())) % 4 == 3, a[~has], b[~has])
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
+    # ``labelled`` rows of 16 bytes at most.
+    chosen = F.broadcast(known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(labelled))
+    picked = rows.join(chosen, "id").groupBy("id", "y").agg(F.min(F.struct("a", "b")).alias("v"))
+    first = sorted(picked.select("id", "y", "v.a", "v.b").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    y = np.array([r["y"] for r in first], float)
+    a, b = _matrix([r["a"] for r in first], N_TEXT), _matrix([r["b"] for r in first], N_META)
+    pool = rows.join(chosen.select("id"), "id", "left_anti")
+    return co_train_with(a, b, y, np.arange(len(y)) % 4 == 3, lambda views: summed_lessons(pool, views), rounds)
+
+
+_SCORES = "p_text double, p_meta double, score double"
 
 
 def score_columns(model: CoTrained) -> Column:
     """A struct (p_text, p_meta, score) for each row of a ``documents``-shaped table."""
 
     def scored(batches: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
         for texts, langs, sources, sizes in batches:
-            a = np.array([text_view(t or b"") for t in texts]).reshape(-1, N_TEXT)
-            b = np.array([meta_view(x, y, None if pd.isna(z) else int(z)) for x, y, z in zip(langs, sources, sizes, strict=True)]).reshape(-1, N_META)
+            a = np.array([text_view(t or b"", hashes) for t in texts], float).reshape(-1, N_TEXT)
+            b = np.array([meta_view(x, y, None if pd.isna(z) else int(z)) for x, y, z in zip(langs, sources, sizes, strict=True)], float).reshape(-1, N_META)
             yield pd.DataFrame(model.scores(a, b), columns=["p_text", "p_meta", "score"])
 
-    udf = F.pandas_udf(scored, "p_text double, p_meta double, score double", functionType=204)
-    return udf(F.coalesce("text", F.lit("")).cast("binary"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    return F.pandas_udf(scored, _SCORES, functionType=204)(*_inputs())
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, labelled: int = LABELLED) -> DataFrame:
     """Return ``(doc_id, p_text, p_meta, score, kept)`` for every row of ``docs``.
 
     Null text, language, source and size have features of their own; rows with equal ids are scored each.
     Other columns are not read. An empty table gives an empty result; without usable labels all rows score 1.
     """
-    model = fit(docs, labels, labelled, pool)
-    return docs.select("doc_id", score_columns(model).alias("s")).select("doc_id", "s.p_text", "s.p_meta", "s.score", (F.col("s.score") >= keep).alias("kept"))
+    bound_batches(docs.sparkSession)
+    rows = materialise(features(docs))
+    model = fit(rows, labels, labelled)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = model.scores(_matrix(batch.column(1), N_TEXT), _matrix(batch.column(2), N_META))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T)], names=["doc_id", "p_text", "p_meta", "score"])
+
+    return rows.mapInArrow(scored, f"doc_id long, {_SCORES}").withColumn("kept", F.col("score") >= keep)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Rows of ``docs`` that the classifier keeps, with their columns."""
-    model = fit(docs, labels)
-    return docs.withColumn("_scores", score_columns(model)).where(F.col("_scores.score") >= keep).drop("_scores")
+    """Rows of ``docs`` that the classifier keeps, with their columns, whatever these are called."""
+    bound_batches(docs.sparkSession)
+    rows = materialise(features(docs))
+    model = fit(rows, labels)
+    drop(rows)
+    name = fresh(docs, "scores")
+    return docs.withColumn(name, score_columns(model)).where(F.col(f"{name}.score") >= keep).drop(name)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
