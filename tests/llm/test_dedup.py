@@ -6,7 +6,7 @@ import xxhash
 
 from textloom.llm.components import components
 from textloom.llm.exact_dedup import exact_groups, misra_gries
-from textloom.llm.simhash_dedup import near_groups, simhash
+from textloom.llm.simhash_dedup import hamming_links, near_groups, simhash
 from textloom.llm.trie_join import trie_links
 
 
@@ -96,3 +96,47 @@ def test_exact_groups_with_ties_nulls_and_repeats(spark):
         got = sorted(((r["id"] or 0), r["keep_id"], r["group_size"]) for r in exact_groups(docs, counters=counters).collect())
         assert got == [(0, None, 1), (1, 3, 4), (2, 3, 4), (3, 3, 4), (4, 3, 4), (5, 7, 3), (6, 7, 3), (7, 7, 3), (8, 8, 2), (8, 8, 2), (9, 9, 1)]
     assert exact_groups(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", [4, 1 << 20])
+def test_units_of_any_size_link_alike(spark, unit):
+    """Hamming links over many small units and over few, against all pairs."""
+    rng = random.Random(unit)
+    base = [rng.getrandbits(64) for _ in range(40)] + [rng.getrandbits(8) for _ in range(30)]
+    values = set(base)
+    for b in base:
+        for _ in range(3):
+            x = b
+            for _ in range(rng.randrange(6)):
+                x ^= 1 << rng.randrange(64)
+            values.add(x)
+    values = sorted(values)
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for n, a in enumerate(values):
+        for b in values[:n]:
+            if (a ^ b).bit_count() <= 4:
+                parent[root(a)] = root(b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    mine = {v: v for v in values}
+
+    def found(v):
+        while mine[v] != v:
+            v = mine[v]
+        return v
+
+    for r in hamming_links(fps, 4, unit).collect():
+        mine[found(r["a"] % 2**64)] = found(r["b"] % 2**64)
+    group = lambda of: sorted(tuple(v for v in values if of(v) == r) for r in {of(v) for v in values})
+    assert group(found) == group(root)
+
+
+def test_simhash_of_a_very_long_text():
+    words = [f"w{k % 977}" for k in range(120_000)]
+    assert simhash(" ".join(words).encode()) == simhash("  ".join(words).upper().encode())

@@ -63,24 +63,18 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> Dat
     """Edges ``(a, b)`` that connect all distinct ``fps(fp)`` which differ in ``budget`` bits or fewer.
 
     Fingerprints are cut into units: subtrees of the trie by their first bits, large subtrees into chunks.
-    Two units whose prefixes are within the budget meet in one task, which joins their tries. A task returns
-    a star for each group it finds, not its pairs, so a dense group costs a row a member.
+    Two units whose prefixes are within the budget meet in one task, which joins their tries. Each unit is
+    written once; a row for each unit that it meets is made from it on the JVM. A task returns a star for
+    each group it finds, not its pairs, so a dense group costs a row a member.
     """
     total = fps.count()
     bits = min(_MOST_BITS, max(_LEAST_BITS, (max(1, total) // unit).bit_length()))
     prefix = F.shiftrightunsigned("fp", 64 - bits).cast("int")
-    # One count for each of 2^bits prefixes, 65,536 at most.
-    chunks = {r["p"]: -(-r["n"] // unit) for r in fps.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.lit(1)
-    for p, n in chunks.items():
-        parts = F.when(prefix == p, n).otherwise(parts) if n > 1 else parts
+    # Two integers for each of 2^bits prefixes: 65,536 rows at most, whatever the input.
+    sizes = materialise(fps.groupBy(prefix.alias("p")).agg(F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("n")))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mine = (int(key[0]), int(key[1]))
-        blob = np.sort(rows["fp"].to_numpy().view(np.uint64)).tobytes()
-        near = [(p, c) for p, n in chunks.items() if (p ^ mine[0]).bit_count() <= budget for c in range(n)]
-        ends = [sorted((mine, other)) for other in near]
-        return pd.DataFrame({"low": [x[0][0] << 32 | x[0][1] for x in ends], "high": [x[1][0] << 32 | x[1][1] for x in ends], "unit": mine[0] << 32 | mine[1], "blob": [blob] * len(ends)})
+        return pd.DataFrame({"p": [key[0]], "c": [key[1]], "blob": [np.sort(rows["fp"].to_numpy().view(np.uint64)).tobytes()]})
 
     def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sides = {u: np.frombuffer(x, np.uint64) for u, x in zip(rows["unit"], rows["blob"], strict=True)}
@@ -92,8 +86,18 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> Dat
         both = (left if right is None else np.concatenate([left, right])).view(np.int64)
         return pd.DataFrame({"a": both[linked], "b": both[labels[linked]]})
 
-    units = fps.select("fp", prefix.alias("p"), F.pmod(F.hash("fp"), parts).cast("int").alias("c")).groupBy("p", "c").applyInPandas(packed, "low long, high long, unit long, blob binary")
-    return units.groupBy("low", "high").applyInPandas(joined, "a long, b long")
+    chunked = fps.select("fp", prefix.alias("p")).join(F.broadcast(sizes), "p").select("fp", "p", F.pmod(F.hash("fp"), "n").cast("int").alias("c"))
+    units = materialise(chunked.groupBy("p", "c").applyInPandas(packed, "p int, c int, blob binary"))
+    masks = [m for m in range(1 << bits) if m.bit_count() <= budget]
+    around = units.withColumn("q", F.explode(F.transform(F.lit(masks), lambda m: F.col("p").bitwiseXOR(m))))
+    met = around.join(F.broadcast(sizes.withColumnRenamed("p", "q")), "q").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    name = lambda p, c: F.shiftleft(F.col(p).cast("long"), 32) + F.col(c)
+    mine, other = name("p", "c"), name("q", "k")
+    ends = met.select(F.least(mine, other).alias("low"), F.greatest(mine, other).alias("high"), mine.alias("unit"), "blob")
+    n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # A few pairs of units a task, of which there may be many: small rows would have them put into few tasks.
+    tasks = max(1, min(100_000, n * n * len(masks) // (6 << bits)))
+    return ends.repartition(tasks, "low", "high").groupBy("low", "high").applyInPandas(joined, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
