@@ -94,15 +94,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("b")).first()["b"]
     n_blocks = max(1, -(-size // block_bytes))
     shards = max(1, round(n_blocks * block_bytes / 8 / shard_size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("t")), F.lit(n_blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)))
 
     def sent(key: tuple, part: pa.Table) -> pa.Table:
         sizes, grams = _grams(part["t"].to_pylist(), order)
         distinct, _, counts = _table(grams)
         cuts = _cuts(distinct, shards)
-        blobs = [_planes(np.concatenate([np.diff(distinct[a:b], prepend=np.uint64(0)), counts[a:b].astype(np.uint64)])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        words = [int(sizes.sum())] + [0] * (shards - 1)
-        return pa.table({"block": pa.array([key[0].as_py()] * shards, pa.int64()), "shard": pa.array(range(shards), pa.int32()), "words": pa.array(words, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        # A shard that the block has nothing for gets no row, so there are never more rows than n-grams.
+        to = np.union1d([0], np.flatnonzero(np.diff(cuts)))
+        blobs = [_planes(np.concatenate([np.diff(distinct[a:b], prepend=np.uint64(0)), counts[a:b].astype(np.uint64)])) for a, b in zip(cuts[to], cuts[to + 1], strict=True)]
+        words = [int(sizes.sum())] + [0] * (len(to) - 1)
+        return pa.table({"block": pa.array([key[0].as_py()] * len(to), pa.int64()), "shard": pa.array(to, pa.int32()), "words": pa.array(words, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     tables = dealt.groupBy("block").applyInArrow(sent, "block long, shard int, words long, blob binary")
 
