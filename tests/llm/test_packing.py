@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from textloom.llm.packing import Tokeniser, pack, packed_documents, packed_sequences, tokenizer_path
+from textloom.llm.packing import Tokeniser, pack, packed_documents, packed_sequences, place, tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -30,6 +30,16 @@ def test_ids_equal_the_library(tokeniser):
             assert np.frombuffer(tokeniser.encode(text), "<u4").tolist() == library(tokeniser, text)
 
 
+def test_one_id_for_all_rows_and_clashing_names(spark, monkeypatch):
+    """Rows with one id or none are spread over the groups, and a column of the caller's stays."""
+    pieces = spark.createDataFrame([(None, 0, 0, 7, k) for k in range(4000)], "id long, piece int, start long, length long, `group` int")
+    got = place(pieces, 16, 500).collect()
+    assert sorted(r["group"] for r in got) == list(range(4000))
+    groups = [r["sequence_id"] >> 32 for r in got]
+    assert len(set(groups)) == 8 and max(groups.count(g) for g in set(groups)) < 700
+    assert len({r["sequence_id"] for r in got}) <= 2000 + 8
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_fits_and_is_near_the_bound(seed):
     rng = random.Random(seed)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, fresh, materialise
 
 SIZE, END = 2048, 0
 #: Items packed together in one task; a group leaves a few gaps open at its end, whatever its size.
@@ -141,20 +141,23 @@ def pack(lengths: list[int], size: int = SIZE) -> tuple[list[int], list[int]]:
 def place(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """``pieces`` with sequence_id and offset added; reads id, piece and length, and carries the other columns.
 
-    Pieces are dealt by a hash to groups of about ``group`` items, so tasks stay bounded at any input and a
-    group's unfilled last sequences are a fixed small share. Equal rows are packed as separate items.
+    Pieces are dealt to groups of about ``group`` items, so tasks stay bounded at any input and a group's
+    unfilled last sequences are a fixed small share. They are dealt by a hash of their place among the rows,
+    so repeated and null ids spread like others; ``pieces`` is read from files, where a row's place is fixed.
+    Equal rows are packed as separate items.
     """
+    column = fresh(pieces, "group")
     n = pieces.count()
     groups = max(1, -(-n // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(groups)))
+    dealt = pieces.withColumn(column, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "piece"], kind="stable")
         bins, offsets = pack(rows["length"].tolist(), size)
-        return rows.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))
+        return rows.drop(columns=column).assign(sequence_id=(int(key[0]) << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(packed, f"{kept}, sequence_id long, offset long")
+    return dealt.groupBy(column).applyInPandas(packed, f"{kept}, sequence_id long, offset long")
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
