@@ -4,7 +4,7 @@ import pytest
 from textloom.llm.embedding_dedup import near_vectors, rotated
 
 
-def brute(rows, cosine):
+def brute(rows, cosine, dtype=np.float32):
     usable = [k for k, (i, v, label) in enumerate(rows) if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     parent = list(range(len(rows)))
 
@@ -17,7 +17,8 @@ def brute(rows, cosine):
     for n, a in enumerate(usable):
         for b in usable[:n]:
             if rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
-                x, y = (np.array(rows[k][1], np.float32).astype(float) for k in (a, b))
+                x, y = (np.array(rows[k][1], dtype).astype(float) for k in (a, b))
+                x, y = x / abs(x).max(), y / abs(y).max()
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= cosine:
                     links[a] += 1
                     links[b] += 1
@@ -43,6 +44,29 @@ def test_links_and_components_match_all_pairs(spark, chunk, dims):
     assert got == brute(rows, 0.98)
 
 
+def test_doubles_are_compared_as_they_are(spark):
+    """Near the threshold, closer than 32-bit floats tell apart, and of sizes whose squares are no doubles."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        v = rng.normal(size=16)
+        u = rng.normal(size=16)
+        u -= (u @ v) / (v @ v) * v
+        c = 0.98 + (1 if k % 2 else -1) * 1e-10
+        w = c * v / np.linalg.norm(v) + np.sqrt(1 - c * c) * u / np.linalg.norm(u)
+        rows += [(2 * k, [float(x) for x in v * 10.0 ** (k % 5 * 75 - 150)], k % 3), (2 * k + 1, [float(x) for x in w], k % 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["id"], r["n_links"], r["component"]) for r in near_vectors(df).collect())
+    assert got == brute(rows, 0.98, float) and sum(n for _, n, _ in got) == 60
+
+
+def test_a_very_long_vector(spark):
+    v = np.random.default_rng(4).normal(size=20_000)
+    rows = [(1, [float(x) for x in v], 0), (2, [float(x) for x in v * 2 + 0.01], 0), (3, [float(x) for x in -v], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r["id"], r["n_links"], r["component"]) for r in near_vectors(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

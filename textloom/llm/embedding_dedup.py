@@ -16,20 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, drop, materialise
 from .components import components
 from .trie_join import _merge
 
 COSINE, BLOCKS = 0.98, 8
-#: Width of a slab of the range join along a block's first coordinate; vectors near its border are sent to the next slab too.
-SLAB = 0.25
-#: Vectors of a slab that meet in one task; a larger slab is cut into chunks whose pairs are tasks.
+#: Width of a cell of the range join along a block's first two coordinates; vectors near its border are sent to the next cells too.
+CELL = 0.21
+#: Vectors of a cell that meet in one task; a larger cell is cut into chunks whose pairs are tasks.
 CHUNK = 8192
-#: Slabs that may be cut, the largest first: the bound of what is broadcast.
-_CUT_SLABS = 10_000
 _SLACK = 1e-9
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in double precision times a power of two each, so that no square is too large or too small."""
+    x = vectors.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def rotated(vectors: np.ndarray) -> np.ndarray:
     """Unit vectors turned by two rounds of fixed signs and a Walsh-Hadamard transform, padded to a power of two.
 
@@ -39,7 +43,7 @@ def rotated(vectors: np.ndarray) -> np.ndarray:
     n, d = vectors.shape
     size = 1 << max(0, d - 1).bit_length()
     x = np.zeros((n, size))
-    x[:, :d] = vectors
+    x[:, :d] = scaled(vectors)
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     signs = np.random.default_rng(20_240_229).choice([-1.0, 1.0], (2, size))
     for s in signs:
@@ -99,7 +103,7 @@ def linked(home: tuple, other: tuple | None, block: int, cosine: float, blocks:
     order = [np.argsort(t[:, block * width], kind="stable") for t in turned]
     ids, weights, exact = (np.concatenate([s[k][o] for s, o in zip(sets, order, strict=True)]) for k in range(3))
     turned = [t[o] for t, o in zip(turned, order, strict=True)]
-    exact = exact.astype(np.float64)
+    exact = scaled(exact)
     norms = np.sqrt((exact * exact).sum(axis=1))
     shift = 0 if other is None else len(turned[0])
     budget = (2 - 2 * cosine) / _blocks(turned[0].shape[1], blocks) + _SLACK
@@ -122,63 +126,71 @@ def linked(home: tuple, other: tuple | None, block: int, cosine: float, blocks:
     return ids[hit], links[hit], ids[labels[hit]]
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, blocks: int = BLOCKS, slab: float = SLAB, chunk: int = CHUNK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, blocks: int = BLOCKS, cell: float = CELL, chunk: int = CHUNK) -> DataFrame:
     """Return ``(id, n_links, component)`` for every row of ``vectors``.
 
-    Vectors are compared within a label and a number of dimensions. Null vectors, zero vectors, vectors with
-    a null or non-finite component, rows with a null label and rows with a null id link with nothing.
-    Identical vectors of a label are joined as one with a weight and all linked, so copies cost no pairs. Rows
-    that repeat an id are one vertex: each has the links of all of them. Other columns are not read. An empty
-    table gives an empty result.
+    Vectors are compared within a label and a number of dimensions, in double precision from the components as
+    they are. Null vectors, zero vectors, vectors with a null or non-finite component, rows with a null label
+    and rows with a null id link with nothing. Identical vectors of a label are joined as one with a weight
+    and all linked, so copies cost no pairs. Rows that repeat an id are one vertex: each has the links of all
+    of them. Other columns are not read. An empty table gives an empty result.
     """
     bound_batches(vectors.sparkSession, 5000)
-    doubles = F.transform(vector_col, lambda x: x.cast("double"))
-    norm = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x)
-    # A null component makes the sum null, and a non-finite one makes it no number below the largest double.
-    usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce((norm > 0) & (norm < float("inf")) & ~F.isnan(norm), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, F.col(label_col)).alias("label"), F.when(usable, F.col(vector_col).cast("array<float>")).alias("v"))
+    narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    dtype, kind_of = (np.float32, "array<float>") if narrow else (np.float64, "array<double>")
+    v = F.col(vector_col).cast(kind_of)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, F.col(label_col)).alias("label"), F.when(usable, v).alias("v"))
     copies = materialise(rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
 
-    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(2).to_pylist()
             sizes = np.array([len(x) for x in v])
             for d in np.unique(sizes):
                 pick = np.flatnonzero(sizes == d)
-                plain = np.array([v[k] for k in pick], np.float32)
+                plain = np.array([v[k] for k in pick], dtype)
                 turned = rotated(plain)
                 m = _blocks(turned.shape[1], blocks)
-                first = turned[:, :: turned.shape[1] // m]
+                width = turned.shape[1] // m
                 reach = np.sqrt((2 - 2 * cosine) / m + _SLACK) + 1e-12
-                home, upper = np.floor(first / slab).astype(np.int64), np.floor((first + reach) / slab).astype(np.int64)
+                # The first two coordinates of each block; blocks of one coordinate have one row of cells.
+                x, y = turned[:, ::width], turned[:, 1::width] if width > 1 else np.full((len(plain), m), cell / 2)
+                cx, cy = (np.floor(c / cell).astype(np.int64) for c in (x, y))
+                up, down = np.floor((y + reach) / cell) > cy, np.floor((y - reach) / cell) < cy
+                right = np.floor((x + reach) / cell) > cx
+                # Cells are wider than the reach. A vector visits the neighbours that follow its own cell in
+                # order, so two vectors of different cells meet in the later one and nowhere else.
+                visits = [(np.ones_like(right), 0, 0), (up, 0, 1), (right & down, 1, -1), (right, 1, 0), (right & up, 1, 1)]
+                at, b, px, py, guest = [], [], [], [], []
+                for n, (there, dx, dy) in enumerate(visits):
+                    i, k = np.nonzero(there)
+                    at, b, px, py, guest = [*at, i], [*b, k], [*px, cx[i, k] + dx], [*py, cy[i, k] + dy], [*guest, np.full(len(i), n > 0)]
+                at, b, px, py, guest = map(np.concatenate, (at, b, px, py, guest))
                 blobs = [x.tobytes() for x in plain]
-                own, block = np.nonzero(np.ones_like(home, bool))
-                guest, gblock = np.nonzero(upper > home)
-                # Slabs are wider than the reach, so a guest goes one slab up at most.
-                at, b = np.concatenate([own, guest]), np.concatenate([block, gblock])
-                where = home[at, b] + np.repeat([0, 1], [len(own), len(guest)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick[at])), pa.array(np.full(len(at), d), pa.int32()), pa.array(b, pa.int32()), pa.array(where, pa.int64()), pa.array(np.repeat([False, True], [len(own), len(guest)])), batch.column(1).take(pa.array(pick[at])), batch.column(3).take(pa.array(pick[at])), pa.array([blobs[k] for k in at], pa.binary())], names=["label", "dims", "block", "slab", "guest", "rep", "w", "blob"])
-
-    if slab < np.sqrt((2 - 2 * cosine) + _SLACK):
-        raise ValueError("a slab must be at least as wide as the links are long")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick[at])), pa.array(np.full(len(at), d), pa.int32()), pa.array(b, pa.int32()), pa.array(px, pa.int64()), pa.array(py, pa.int64()), pa.array(guest), batch.column(1).take(pa.array(pick[at])), batch.column(3).take(pa.array(pick[at])), pa.array([blobs[k] for k in at], pa.binary())], names=["label", "dims", "block", "x", "y", "guest", "rep", "w", "blob"])
+
+    if cell < np.sqrt((2 - 2 * cosine) + _SLACK):
+        raise ValueError("a cell must be at least as wide as the links are long")
     kind = copies.schema["label"].dataType.simpleString()
-    dealt = copies.select("label", "rep", "v", "w").mapInArrow(slabs, f"label {kind}, dims int, block int, slab long, guest boolean, rep long, w long, blob binary")
-    key = ["label", "dims", "block", "slab"]
-    large = materialise(dealt.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).orderBy(F.desc("n"), *key).limit(_CUT_SLABS).select(*key, F.ceil(F.col("n") / chunk).cast("int").alias("c")))
-    cut = dealt.join(F.broadcast(large), key, "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
-    # Task (i, j) of a slab joins chunk i of its own vectors with chunk j of its guests and, if i <= j, with its own chunk j.
+    dealt = materialise(copies.select("label", "rep", "v", "w").mapInArrow(cells, f"label {kind}, dims int, block int, x long, y long, guest boolean, rep long, w long, blob binary"))
+    key = ["label", "dims", "block", "x", "y"]
+    large = materialise(dealt.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select(*key, F.ceil(F.col("n") / chunk).cast("int").alias("c")))
+    cut = dealt.join(large, key, "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
+    # Task (i, j) of a cell joins chunk i of its own vectors with chunk j of its guests and, if i <= j, with its own chunk j.
     others = F.sequence(F.lit(0), F.col("c") - 1)
     rows_of = F.transform(others, lambda o: F.struct(F.col("k").alias("i"), o.alias("j")))
     columns_of = F.transform(others, lambda o: F.struct(o.alias("i"), F.col("k").alias("j")))
     tasks = F.when(F.col("guest"), columns_of).otherwise(F.array_union(rows_of, columns_of))
-    spread = cut.withColumn("t", F.explode(tasks)).select(*key, F.col("t.i").alias("i"), F.col("t.j").alias("j"), "k", "guest", "rep", "w", "blob")
+    spread_ = cut.withColumn("t", F.explode(tasks)).select(*key, F.col("t.i").alias("i"), F.col("t.j").alias("j"), "k", "guest", "rep", "w", "blob")
 
     def joined(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        d, block, i, j = group[1], group[2], group[4], group[5]
+        d, block, i, j = group[1], group[2], group[5], group[6]
 
         def of(which: pd.Series) -> tuple:
             x = part[which].sort_values("rep", kind="stable")
-            return x["rep"].to_numpy(), x["w"].to_numpy(), np.frombuffer(b"".join(x["blob"]), np.float32).reshape(-1, d)
+            return x["rep"].to_numpy(), x["w"].to_numpy(), np.frombuffer(b"".join(x["blob"]), dtype).reshape(-1, d)
 
         own = of(~part["guest"] & (part["k"] == i))
         found = []
@@ -187,7 +199,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             found = [linked(own, s, block, cosine, blocks) for s in sides if s is None or len(s[0])]
         return pd.DataFrame({"rep": np.concatenate([f[0] for f in found]), "links": np.concatenate([f[1] for f in found]), "root": np.concatenate([f[2] for f in found])}) if found else pd.DataFrame({"rep": [], "links": [], "root": []}, dtype="int64")
 
-    found = materialise(spread.groupBy(*key, "i", "j").applyInPandas(joined, "rep long, links long, root long"))
+    found = materialise(spread_.groupBy(*key, "i", "j").applyInPandas(joined, "rep long, links long, root long"))
+    drop(dealt)
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b"))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = copies.join(sums, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("label").alias("l"), F.col("v").alias("x"), "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
