@@ -89,6 +89,18 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_clashing_names_stay(spark):
+    """Columns of the caller's that are named as the stages' own."""
+    names = ["_kept", "_key", "_of", "n", "row", "place", "rank", "key", "id", "fp", "sha", "digest", "_row"]
+    docs = spark.createDataFrame([(k, f"text {k // 2} " + "word " * 30, "en", "s", None, *map(str, range(len(names)))) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in names))
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.secrets):
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns
+        want = [tuple(r) for r in docs.collect() if stage is corpus_pipeline.secrets or r["doc_id"] % 2 == 0]
+        got = sorted(tuple(r) for r in found.collect())
+        assert got == want or stage is corpus_pipeline.near and set(got) <= set(want) and got
+
+
 def test_dedup_of_repeated_and_null_ids(spark):
     rng = random.Random(8)
     text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
