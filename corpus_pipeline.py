@@ -25,28 +25,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def _key(id_col: str, digest: Column) -> Column:
+    return F.struct(F.col(id_col).cast("long").alias("id"), digest.alias("digest"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, whether or not ids are null or repeated."""
     named = exact_groups(docs).where(F.col("id").eqNullSafe(F.col("keep_id")))
-    kept = materialise(named.groupBy("digest", F.col("keep_id").alias("_kept")).agg(F.count(F.lit(1)).alias("n")))
+    kept = materialise(named.groupBy("digest", "keep_id").agg(F.count(F.lit(1)).alias("n")).select(_key("keep_id", F.col("digest")).alias("key"), "n"))
     text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumn("_key", F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)))
-    return _one_each(docs, marked, kept.withColumnRenamed("digest", "_of"), F.struct(F.length(text), F.sha2(text, 256)))
+    return _one_each(docs, kept, F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)), F.struct(F.length(text), F.sha2(text, 256)))
 
 
-def _one_each(docs: DataFrame, marked: DataFrame, kept: DataFrame, order: Column) -> DataFrame:
-    """A row of ``marked`` for each row of ``kept(_kept, _of, n)``: the only one with that doc_id and _key, or the last of n such in ``order``."""
-    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_of"))
-    only = marked.join(kept.where("n = 1"), same, "left_semi").select(*docs.columns)
-    several = marked.join(kept.where("n > 1"), same, "left_semi").groupBy("doc_id", "_key").agg(F.max_by(F.struct(*docs.columns), order).alias("_row"))
-    return only.union(several.select("_row.*"))
+def _one_each(docs: DataFrame, kept: DataFrame, digest: Column, order: Column) -> DataFrame:
+    """A row of ``docs`` for each row of ``kept(key, n)``, whose key is (doc_id, digest): the only one with both, or the last of n such in ``order``."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key("doc_id", digest).alias("place"), order.alias("rank"))
+    same = F.col("place").eqNullSafe(F.col("key"))
+    only = rows.join(kept.where("n = 1"), same, "left_semi").select("row.*")
+    several = rows.join(kept.where("n > 1"), same, "left_semi").groupBy("place").agg(F.max_by("row", "rank").alias("row"))
+    return only.union(several.select("row.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id, whether or not ids are null or repeated."""
-    kept = materialise(near_keepers(docs).select(F.col("id").alias("_kept"), F.col("sha").alias("_of"), "n"))
-    marked = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return _one_each(docs, marked, kept, F.coalesce("n_chars", F.lit(-1)))
+    kept = materialise(near_keepers(docs).select(_key("id", F.col("sha")).alias("key"), "n"))
+    return _one_each(docs, kept, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.coalesce("n_chars", F.lit(-1)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
