@@ -41,6 +41,18 @@ def test_decode_equals_viterbi_over_whole_texts(model):
     assert (got == want).all()
 
 
+def test_decode_equals_viterbi_for_any_transitions(model):
+    """Also where one transition at a text's end repays more than two in its middle."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        any_ = crf.Crf(model.w | {"transitions": rng.normal(0, 3, (3, 3))})
+        e = rng.normal(0, 2, (24, 3))
+        e[:, 0] += rng.choice([0, 3, 6])
+        starts = np.array([0, 1, 3, 9, 15])
+        want = np.concatenate([any_.viterbi(e[a:b]) for a, b in zip(starts, [*starts[1:], 24])])
+        assert (any_.decode(e, starts) == want).all()
+
+
 def test_viterbi_finds_the_best_path(model):
     rng = np.random.default_rng(1)
     for n in (1, 2, 5):

@@ -88,8 +88,9 @@ class Crf:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         t = weights["transitions"]
-        # What a path can gain at most by leaving O at one token, its two transitions taken together.
-        self.reach = max(t[p, s] - t[p, O] + t[s, n] - t[O, n] for p in range(3) for n in range(3) for s in (B, I))
+        # What a path can gain at most by leaving O at one token: by both its transitions, or by the only one at a text's end or start, or by none.
+        gains = [((t[:, s] - t[:, O]).max(), (t[s] - t[O]).max()) for s in (B, I)]
+        self.reach = max(0.0, *(max(a + b, a, b) for a, b in gains))
 
     def table(self, mask: int) -> np.ndarray:
         x = bits(mask)
