@@ -135,37 +135,39 @@ class CoTrained:
         return _sigmoid(np.column_stack([calibrated, self.both.logit(calibrated)]))
 
 
-def pool_lessons(views: list[Logistic], text: np.ndarray, meta: np.ndarray, confident: float = CONFIDENT) -> list[np.ndarray]:
-    """For each view what the rows teach it that the other view is confident of."""
-    sides = (text, meta)
-    p = [_sigmoid(v.logit(x)) for v, x in zip(views, sides, strict=True)]
-    sure = [np.maximum(q, 1 - q) >= confident for q in p]
-    return [lesson(views[k], sides[k][sure[1 - k]], (p[1 - k][sure[1 - k]] >= 0.5).astype(float)) for k in (0, 1)]
+def pool_lessons(views: list[Logistic], prior: float, text: np.ndarray, meta: np.ndarray, confident: float = CONFIDENT) -> list[np.ndarray]:
+    """For each view what the rows teach it that the other view is confident of: the lesson of the low ones, then that of the good ones.
+
+    A view is confident of a row if what it sees would be enough without the classes' frequencies, whose logit
+    is ``prior``: a view that sees nothing and only repeats that most rows are good is never confident.
+    """
+    sides, enough = (text, meta), np.log(confident / (1 - confident))
+    seen = [v.logit(x) - prior for v, x in zip(views, sides, strict=True)]
+    return [np.concatenate([lesson(views[k], sides[k][m], np.full(int(m.sum()), y)) for y, m in ((0.0, seen[1 - k] <= -enough), (1.0, seen[1 - k] >= enough))]) for k in (0, 1)]
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
     """Co-training with a pool that is at hand; see ``co_train_with``."""
-    return co_train_with(text, meta, y, held_out, lambda views: pool_lessons(views, pool_text, pool_meta, confident), rounds)
+    return co_train_with(text, meta, y, held_out, lambda views, prior: pool_lessons(views, prior, pool_text, pool_meta, confident), rounds)
 
 
-def co_train_with(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, pool: Callable[[list[Logistic]], list[np.ndarray]], rounds: int = ROUNDS) -> CoTrained:
+def co_train_with(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, pool: Callable[[list[Logistic], float], list[np.ndarray]], rounds: int = ROUNDS) -> CoTrained:
     """Co-training on labelled rows (``held_out`` of them for calibration) and the lessons that ``pool`` has for two views.
 
-    Pseudo-labelled rows weigh as much as labelled ones all together, and never more than one of these each.
-    Without both classes on either side of the split the score is the same for all rows: the share of
-    positive labels, or 1 without labels.
+    Pseudo-labelled rows of a class weigh as much as its labelled ones all together, and never more than one of
+    these each, so lessons do not shift the classes' frequencies; a view that is confident of one class only
+    teaches nothing. Without both classes on either side of the split the score is the same for all rows: the
+    share of positive labels, or 1 without labels.
     """
     fit_, cal = ~held_out, held_out
     if len(y) == 0 or len(set(y[fit_])) < 2 or len(set(y[cal])) < 2:
         return CoTrained([], [], None, float(y.mean()) if len(y) else 1.0)
-    sides = (text, meta)
+    sides, good = (text, meta), y[fit_].sum()
+    own_n = (fit_.sum() - good, good)
+    prior = float(np.log(good / own_n[0]))
     views = [logistic(x[fit_], y[fit_]) for x in sides]
     for _ in range(rounds):
-        taught = pool(views)
-        if not any(t[0] for t in taught):
-            break
-        own = [lesson(v, x[fit_], y[fit_]) for v, x in zip(views, sides, strict=True)]
-        before, views = views, [stepped(v, o + t * min(1.0, o[0] / max(1.0, t[0]))) for v, o, t in zip(views, own, taught, strict=True)]
+        before, views = views, [_taught(v, lesson(v, x[fit_], y[fit_]), np.split(t, 2), own_n) for v, x, t in zip(views, sides, pool(views, prior), strict=True)]
         if max(np.abs(v.weights - b.weights).max() for v, b in zip(views, before, strict=True)) < 1e-4:
             break
     raw = [v.logit(x[cal])[:, None] for v, x in zip(views, sides, strict=True)]
@@ -174,6 +176,13 @@ def co_train_with(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held_out: n
     return CoTrained(views, calibrations, logistic(calibrated, y[cal]))
 
 
+def _taught(view: Logistic, own: np.ndarray, lessons: list[np.ndarray], own_n: tuple) -> Logistic:
+    """A view after a step on its labelled rows and, if there are lessons of both classes, on these."""
+    if all(t[0] for t in lessons):
+        own = own + sum(t * min(1.0, n / t[0]) for t, n in zip(lessons, own_n, strict=True))
+    return stepped(view, own)
+
+
 def features(docs: DataFrame) -> DataFrame:
     """``(id, a, b)`` for every row of ``docs``: both views as binary, little-endian 32-bit floats."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), *_inputs())
@@ -197,7 +206,7 @@ def _matrix(blobs: pa.Array | list, width: int) -> np.ndarray:
     return np.frombuffer(joined, "<f4").reshape(-1, width).astype(float)
 
 
-def summed_lessons(pool: DataFrame, views: list[Logistic], confident: float = CONFIDENT) -> list[np.ndarray]:
+def summed_lessons(pool: DataFrame, views: list[Logistic], prior: float, confident: float = CONFIDENT) -> list[np.ndarray]:
     """``pool_lessons`` over all rows of ``pool(a, b)``: each task adds up its own, then groups of tasks do, until the driver has 64 vectors at most."""
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +214,7 @@ def summed_lessons(pool: DataFrame, views: list[Logistic], confident: float = CO
 
         total = None
         for batch in batches:
-            now = np.concatenate(pool_lessons(views, _matrix(batch.column(0), N_TEXT), _matrix(batch.column(1), N_META), confident))
+            now = np.concatenate(pool_lessons(views, prior, _matrix(batch.column(0), N_TEXT), _matrix(batch.column(1), N_META), confident))
             total = now if total is None else total + now
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
@@ -220,7 +229,7 @@ def summed_lessons(pool: DataFrame, views: list[Logistic], confident: float = CO
         n = -(-n // _FAN_IN)
         sums = sums.withColumn("into", F.pmod("part", F.lit(n))).groupBy("into").applyInArrow(added, "part long, sums binary")
     rows = sorted(sums.collect(), key=lambda r: r["part"])
-    widths = [1 + (v := N + 1) + v * v for N in (N_TEXT, N_META)]
+    widths = [2 * (1 + (v := N + 1) + v * v) for N in (N_TEXT, N_META)]
     total = sum((np.frombuffer(r["sums"]) for r in rows), np.zeros(sum(widths)))
     return np.split(total, [widths[0]])
 
@@ -239,7 +248,7 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     y = np.array([r["y"] for r in first], float)
     a, b = _matrix([r["a"] for r in first], N_TEXT), _matrix([r["b"] for r in first], N_META)
     pool = rows.join(chosen.select("id"), "id", "left_anti")
-    return co_train_with(a, b, y, np.arange(len(y)) % 4 == 3, lambda views: summed_lessons(pool, views), rounds)
+    return co_train_with(a, b, y, np.arange(len(y)) % 4 == 3, lambda views, prior: summed_lessons(pool, views, prior), rounds)
 
 
 _SCORES = "p_text double, p_meta double, score double"
