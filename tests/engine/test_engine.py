@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -339,6 +340,7 @@ def test_scan_and_reports(spark, tmp_path):
     delta = A.difference(result.totals, frame(spark, [(1, 0, 0, 0)], "files long, critical long, warning long, info long"), [], ["files", "critical", "warning", "info"])
     shared = json.loads(sinks.shareable(sinks.combined(result.findings, result.summary, result.totals, "p", "now"), delta, "now", {"repository": "r", "commit": None}, "base.json").first().value)
     assert shared["comparison"]["delta"]["files"] == 1 and shared["git"]["repository"] == "r" and shared["project"] == "p"
+    assert "further findings are not shown" in sinks.text(result.findings, result.summary, result.totals, "p", 1)
     assert "Combined totals" in sinks.text(result.findings, result.summary, result.totals, "p") and "<table>" in sinks.html(result.summary, delta, "p<") and "totals:" in sinks.toon(result.findings, result.totals)
     cats = result.findings.select("lang", "category").distinct()
     assert sinks.markdown(A.matrix(result.findings, cats)).startswith("| lang |")
@@ -353,7 +355,7 @@ def test_harmless_changes_leave_the_counts(spark, change):
 
 def test_empty_scan(spark):
     result = scan(frame(spark, [], "path string, text string"), ScanConfig(only=("js",)))
-    assert tuple(result.totals.first()) == (0, 0, 0, 0) and result.exit_code() == 3 and result.findings.where("n > 0").count() == 0
+    assert tuple(result.totals.first()) == (0, 0, 0, 0) and result.exit_code() == 3 and replace(result, config=ScanConfig(allow_empty=True)).exit_code() == 0 and result.findings.where("n > 0").count() == 0
 
 
 def test_user_rules(spark, tmp_path):

@@ -76,6 +76,9 @@ class ScanConfig:
     max_file_bytes: int = MAX_FILE_BYTES
     max_project_mb: int = MAX_PROJECT_MB
     exclude_tests: bool = False
+    allow_empty: bool = False
+    max_critical: int = 0
+    max_warning: int | None = None
 
     def __post_init__(self) -> None:
         if self.format not in FORMATS:

@@ -85,7 +85,8 @@ class ScanResult:
 
     def exit_code(self) -> int:
         t = self.totals.first()
-        return exit_code(t["critical"], t["warning"], t["files"], self.config.strict)
+        c = self.config
+        return exit_code(t["critical"], t["warning"], t["files"], c.strict, c.allow_empty, c.max_critical, c.max_warning)
 
 
 def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] | None = None) -> ScanResult:

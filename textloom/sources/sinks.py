@@ -98,11 +98,18 @@ def markdown(matrix: DataFrame) -> str:
 
 
 def text(findings: DataFrame, summary: DataFrame, totals: DataFrame, project: str, most: int = 250) -> str:
-    """A report to read: findings with samples by language, worst first, then the totals; catalogue-sized rows are collected."""
+    """A report to read: findings with samples by language, worst first, then the totals; catalogue-sized rows are collected.
+
+    Findings beyond ``most`` are not shown, and the report says how many these are.
+    """
     out = [f"Project: {project}"]
-    for r in findings.where("severity <> 'good'").orderBy("lang", rank(F.col("severity")), F.desc("n"), "rule_id").limit(most).collect():
+    bad = findings.where("severity <> 'good'")
+    shown = bad.orderBy("lang", rank(F.col("severity")), F.desc("n"), "rule_id").limit(most).collect()
+    left = bad.count() - len(shown) if len(shown) == most else 0
+    for r in shown:
         out.append(f"[{r['severity']}] {r['lang']} {r['rule_id']} ({r['n']}): {r['title']}. {r['description']}")
         out += [f"    {s['file']}:{s['line']}: {(s['code'] or '').strip()[:160]}" for s in r["samples"]]
+    out += [f"{left} further findings are not shown"] * (left > 0)
     out += [f"{r['lang']}: {r['files']} files, {r['critical']} critical, {r['warning']} warning, {r['info']} info" for r in summary.orderBy("lang").collect()]
     t = totals.first()
     return "\n".join([*out, "Combined totals", f"Files: {t['files']}", f"Critical: {t['critical']}", f"Warning: {t['warning']}", f"Info: {t['info']}", ""])

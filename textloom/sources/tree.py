@@ -96,8 +96,9 @@ _MARKED = frozenset(m for names in MARKERS.values() for m in names)
 
 
 def read_tree(spark: SparkSession, root: str, config: ScanConfig | None = None) -> DataFrame:
-    """FILES of a tree under a scan's ignores, extensions and size limit."""
+    """FILES of a tree under a scan's ignores, extensions and size limit; a home directory and the whole machine are refused."""
     config = config or ScanConfig()
+    guard_root(root)
     spark.dataSource.register(SourceTree)
     extensions = ",".join(e for exts in config.extensions.values() for e in exts)
     return spark.read.format("sourcetree").option("ignores", ",".join(config.ignores)).option("extensions", extensions).option("maxFileBytes", str(config.max_file_bytes)).load(root)
