@@ -23,11 +23,17 @@ def test_ids_and_texts_equal_the_library(codec):
         assert codec.decode(ids) == codec.library.decode(codec.library.encode(text))
 
 
-def test_a_full_table_starts_again(codec, monkeypatch):
-    monkeypatch.setattr("textloom.llm.sentencepiece_codec.TABLE", 5)
-    texts = [f"w{k} x y" for k in range(30)]
-    for k in range(0, 30, 3):
-        assert [x.tolist()[:-1] for x in codec.encode_batch(texts[k : k + 3])] == [codec.library.encode(t) for t in texts[k : k + 3]]
+def test_chunks_come_back_over_many_blocks_and_shards(spark, codec):
+    rng = random.Random(2)
+    parts = ["|", "| ", " ", "  ", "▁", "a", "b|", "the", "é", "漢字", "\n", "\x00", "x" * 40]
+    texts = ["", None, *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(400)), *["| a |  b"] * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {k: [*codec.library.encode(t or ""), 2] for k, t in enumerate(texts)}
+    for size in (700, 1 << 20):
+        missed = spark.sparkContext.accumulator(0)
+        got = encode_documents(docs, MODEL, block_bytes=size, missed=missed).collect()
+        assert {r["id"]: list(r["ids"]) for r in got} == want and len(got) == len(texts)
+        assert missed.value == 0  # all chunks come from the table
 
 
 def test_whole_documents_round_trip(spark, codec):
