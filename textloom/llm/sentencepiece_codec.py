@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -163,11 +164,12 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     def put_back(mine: pa.Table, answers: pa.Table) -> pa.Table:
         codec, unpack = _codec(model), zstandard.ZstdDecompressor().decompress
-        ids, cut = [], []
+        ids, texts, chunks = [], [], set()
         for row in mine.to_pylist():
             ids += row["id"]
-            cut += [codec.chunks(raw.decode()) for raw in _slices(unpack(row["texts"]), row["sizes"])]
-        chunks = set().union(*cut)
+            texts += map(bytes.decode, _slices(unpack(row["texts"]), row["sizes"]))
+        for t in texts:
+            chunks.update(codec.chunks(t))
         parts = _dealt(chunks, shards)
         table = {}
         for a in answers.to_pylist():
@@ -178,9 +180,11 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         table.update(codec.segment(lacking))
         if missed is not None:
             missed.add(len(lacking))
-        found = codec.put_back(cut, table)
-        values = pa.array(found, pa.list_(pa.int32()))
-        return pa.table({"id": pa.array(ids, pa.int64()), "ids": values, "decoded": pa.array(map(codec.decode, found), pa.string())})
+        # A text's chunks are cut again in place of keeping all of a block's, which take ten times its bytes.
+        found = [codec.put_back([codec.chunks(t)], table)[0] for t in texts]
+        offsets = pa.array([0, *accumulate(map(len, found))], pa.int32())
+        flat = pa.Array.from_buffers(pa.int32(), offsets[-1].as_py(), [None, pa.py_buffer(b"".join(found))])
+        return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, flat), "decoded": pa.array(map(codec.decode, found), pa.string())})
 
     asking = rows.mapInArrow(asked, "block long, shard int, chunks string")
     answers = asking.groupBy("shard").applyInArrow(answered, "block long, shard int, digest string, ids binary, sizes binary")
