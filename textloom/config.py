@@ -12,7 +12,19 @@ DEFAULT_IGNORES = (
     "node_modules", "venv", ".venv", "env", ".env", "site-packages", "dist", "build", "vendor", "target", "bin", "obj", ".idea", ".vscode",
     ".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "coverage", ".gradle", "DerivedData", "bundler", "gems", "wheels",
 )
-
+#: Directories that the checks of one language leave out besides; fixed values.
+EXCLUDED: dict[str, tuple[str, ...]] = {
+    "js": (".next", "out", ".turbo", ".cache", ".pnpm", ".yarn", ".parcel", ".svelte-kit", ".astro", ".vite", ".expo", "storybook-static"),
+    "python": (".tox", ".nox", ".eggs", ".cache", ".ipynb_checkpoints", ".hypothesis", ".pytype"),
+    "cpp": ("cmake-build-*", "out", "lib", "_deps", "third_party", "bazel-*"),
+    "rust": (".cargo", ".rustup", ".cache"),
+    "golang": ("third_party", "Godeps", "out", "tmp", "bazel-*", "_bazel"),
+    "java": ("out", ".settings", ".mvn", ".generated"),
+    "ruby": (".bundle", "log", "tmp", "pkg", "doc", "storage"),
+    "swift": (".build", ".swiftpm", "Pods", "Carthage"),
+    "csharp": ("packages", "out", "artifacts", ".vs"),
+    "elixir": ("_build", "deps", ".elixir_ls", "cover", "doc", "tmp", "log"),
+}
 #: File extensions of each language; fixed values.
 EXTENSIONS: dict[str, tuple[str, ...]] = {
     "js": ("js", "jsx", "ts", "tsx", "mjs", "cjs"),
@@ -61,6 +73,9 @@ class ScanConfig:
     only: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     ignores: tuple[str, ...] = DEFAULT_IGNORES
+    excluded: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(EXCLUDED))  # directories, by language
+    respect_ignore_files: bool = False
+    statement_suppression: bool = False
     extensions: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(EXTENSIONS))
     skip_categories: dict[str, tuple[int, ...]] = field(default_factory=dict)  # "" holds for all languages
     only_categories: dict[str, tuple[int, ...]] = field(default_factory=dict)

@@ -114,6 +114,35 @@ def regions(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "text").mapInPandas(mapped, REGIONS)
 
 
+def _statement_spans(text: str, lang: str) -> Iterator[tuple[int, int]]:
+    """First and last line of each statement over several lines: Python's by its syntax, others' by open parentheses and brackets."""
+    if lang == "python":
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        yield from ((n.lineno, n.end_lineno) for n in ast.walk(tree) if isinstance(n, ast.stmt) and not hasattr(n, "body") and n.end_lineno > n.lineno)
+        return
+    depth, first = 0, 0
+    for n, line in enumerate(masked(text, lang).split("\n"), 1):
+        if depth == 0:
+            first = n
+        depth = max(0, depth + line.count("(") + line.count("[") - line.count(")") - line.count("]"))
+        if depth == 0 and n > first:
+            yield first, n
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """``(path, s_line, e_line)`` of the statements of ``files(path, lang, text)`` that go over several lines."""
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, *span) for path, lang, text in zip(batch["path"], batch["lang"], batch["text"], strict=True) if isinstance(text, str) for span in _statement_spans(text, lang)]
+            yield pd.DataFrame(rows, columns=["path", "s_line", "e_line"])
+
+    return files.select("path", "lang", "text").mapInPandas(mapped, "path string, s_line int, e_line int")
+
+
 def regex_matches(files: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
     """MATCHES of ``patterns`` (rule_id: language, pattern) in the masked texts; named groups are the captures.
 

@@ -18,11 +18,14 @@ def classify(files: DataFrame, extensions: dict[str, tuple[str, ...]] | None = N
 
 
 def prune(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """Files within the ignores, the size limit and the wanted languages."""
+    """Files within the ignores, the size limit, the wanted languages and outside the directories that their language leaves out."""
     kept = classify(files, config.extensions).where(~ignored(F.col("path"), config.ignores) & F.col("lang").isNotNull())
     if "n_bytes" in files.columns:
         kept = kept.where(F.col("n_bytes") <= config.max_file_bytes)
     wanted = languages(list(config.extensions), list(config.only), list(config.exclude))
+    for lang, globs in config.excluded.items():
+        if globs and lang in wanted:
+            kept = kept.where((F.col("lang") != lang) | ~ignored(F.regexp_replace("path", "/?[^/]*$", ""), globs))
     return kept.where(F.col("lang").isin(wanted))
 
 
@@ -85,6 +88,18 @@ def outside_test_directories(files: DataFrame, names: tuple[str, ...] = ("tests"
     return files.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*names)))
 
 
+def module_edges(files: DataFrame) -> DataFrame:
+    """``(src, dst, gated)``: Rust files and the files of the modules they declare; gated where a declaration is for tests only."""
+    declared = r"(?m)^[ \t]*((?:#\[cfg\(test\)\]\s*(?:#\[[^\]]*\]\s*)*)?)(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;"
+    found = lambda k: F.regexp_extract_all("text", F.lit(declared), k)
+    folder, name = F.regexp_replace("path", "[^/]*$", ""), F.regexp_extract("path", r"([^/]*)\.rs$", 1)
+    below = F.when(name.isin("mod", "lib", "main"), folder).otherwise(F.concat(folder, name, F.lit("/")))
+    rust = files.where("endswith(path, '.rs')")
+    modules = rust.select(F.col("path").alias("src"), below.alias("_below"), F.explode(F.arrays_zip(found(1).alias("gate"), found(2).alias("module"))).alias("d"))
+    places = F.array(F.concat("_below", "d.module", F.lit(".rs")), F.concat("_below", "d.module", F.lit("/mod.rs")))
+    return modules.select("src", (F.col("d.gate") != "").alias("gated"), F.explode(places).alias("dst")).join(rust.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst", "gated")
+
+
 def test_only_modules(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``(path)``: modules that are reached only through gated references or from modules of that kind.
 

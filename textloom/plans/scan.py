@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
-from ..functions.source import python_matches, regex_matches, regions
+from ..functions.source import plist_settings, python_matches, regex_matches, regions, statements
 from ..functions.text import explode_lines
 from ..operators.aggregate import at_least, counts, exit_code, findings, samples, summary, totals
-from ..operators.correlate import in_context, outside, risky_divisions
+from ..operators.correlate import dependency_gaps, in_context, outside, risky_divisions
 from ..operators.flow import flow_specs, flows
-from ..operators.lifecycle import DROPPED, NARROWINGS, issues
+from ..operators.lifecycle import DROPPED, NARROWINGS, hooks, issues
 from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
-from ..operators.prune import before_tests, outside_test_directories, prune
+from ..operators.prune import before_tests, detected_languages, module_edges, outside_test_directories, prune, test_only_modules, without
+from ..operators.visit import VISIT_SPECS, ordered_flows, sql_texts
 from ..sources.steps import spread, step
 from ..sources.tree import manifest_lines
+from ..sources.versions import ignore_rules, version_ignored
 from .catalogue import ALWAYS_CRITICAL, ALWAYS_INFO, ALWAYS_WARNING, Rule, rules
+from .userrules import SyntaxRule, syntax_rule_matches
 
 #: Rules of the structural checks: (rule_id, language, category, tiers, title, remediation).
 STRUCTURAL: list[Rule] = [
@@ -52,6 +55,23 @@ CONTEXTUAL: list[tuple[Rule, str, list[str], list[str], str | None]] = [
     (Rule("python.blocking_in_async", "python", 5, "context", "", "", ALWAYS_WARNING, "A blocking call in asynchronous code", "Use the asynchronous form"), r"\b(time\.sleep|requests\.\w+|urlopen|subprocess\.run)\s*\(", ["async"], [], None),
     (Rule("python.compile_in_loop", "python", 12, "context", "", "", ALWAYS_INFO, "A pattern is compiled inside a loop", "Compile it once"), r"\bre\.compile\s*\(", ["loop"], [], None),
 ]
+#: Settings of property lists: (rule, pattern of the key, value as JSON).
+SETTINGS: list[tuple[Rule, str, str]] = [
+    (Rule("swift.plist.any_transport", "swift", 7, "setting", "", "", ALWAYS_CRITICAL, "Transport security is off", "Name the domains that need it"), r"(^|\.)NSAllowsArbitraryLoads\w*$", "true"),
+    (Rule("swift.plist.insecure_domain", "swift", 7, "setting", "", "", ALWAYS_WARNING, "A domain may be read without encryption", "Use https"), r"\.NS(Temporary)?ExceptionAllowsInsecureHTTPLoads$", "true"),
+    (Rule("swift.plist.debuggable", "swift", 7, "setting", "", "", ALWAYS_WARNING, "A debugger may attach to the release", "Leave the entitlement to development builds"), r"(^|\.)(com\.apple\.security\.)?get-task-allow$", "true"),
+    (Rule("swift.plist.file_sharing", "swift", 7, "setting", "", "", ALWAYS_INFO, "Documents are shared with the desktop", "Check that none is private"), r"^UIFileSharingEnabled$", "true"),
+]
+#: Flows in the order of the file, graded SQL texts, lists of a hook's dependencies.
+ORDERED: list[Rule] = [Rule(s.rule_id, "python", s.category, "ordered", "", "", ALWAYS_CRITICAL, s.title, "Check the value before it is used") for s in VISIT_SPECS]
+SQL_TEXTS: list[Rule] = [
+    Rule("python.sql_text.tainted", "python", 7, "sql_text", "", "", ALWAYS_CRITICAL, "SQL is put together from values", "Pass them as parameters"),
+    Rule("python.sql_text.unknown", "python", 7, "sql_text", "", "", ALWAYS_WARNING, "SQL is put together from parts of unknown origin", "Pass them as parameters"),
+]
+HOOKS: list[Rule] = [
+    Rule("js.hooks.missing", "js", 4, "hook", "", "", ALWAYS_WARNING, "A hook uses what its dependencies lack", "Add the names"),
+    Rule("js.hooks.unused", "js", 4, "hook", "", "", ALWAYS_INFO, "A hook depends on what it does not use", "Remove the names"),
+]
 _LIFECYCLE = {"python": 19, "golang": 17, "java": 19, "cpp": 16, "csharp": 19, "ruby": 8, "swift": 16, "js": 19, "rust": 19, "elixir": 8}
 
 
@@ -69,7 +89,7 @@ def _issue_rules() -> list[Rule]:
 def all_rules(config: ScanConfig, extra: list[Rule] | None = None) -> list[Rule]:
     """Rules of every kind that take part in a scan."""
     flow = [Rule(s.rule_id, s.lang, s.category, "flow", "", "", ALWAYS_CRITICAL, s.title, "Validate the value before it is used") for s in flow_specs()]
-    more = [*STRUCTURAL, *(p[0] for p in PATTERNED), *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules()]
+    more = [*STRUCTURAL, *(p[0] for p in PATTERNED), *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules(), *ORDERED, *SQL_TEXTS, *HOOKS, *(s[0] for s in SETTINGS)]
     more += [Rule(f"{lang}.unreachable", lang, 10, "next_line", "", "", ((5, "info"),), "Code behind a jump", "Delete it") for lang in ("js", "python", "golang", "java", "csharp")]
     return rules(config, extra) + [r for r in more if config.runs(r.lang, r.category, r.rule_id)]
 
@@ -82,6 +102,7 @@ class ScanResult:
     summary: DataFrame
     totals: DataFrame
     config: ScanConfig
+    languages: DataFrame
 
     def exit_code(self) -> int:
         t = self.totals.first()
@@ -89,8 +110,8 @@ class ScanResult:
         return exit_code(t["critical"], t["warning"], t["files"], c.strict, c.allow_empty, c.max_critical, c.max_warning)
 
 
-def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] | None = None) -> ScanResult:
-    """Scan ``files`` (FILES, or path and text at least).
+def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] | None = None, own: list[SyntaxRule] | None = None) -> ScanResult:
+    """Scan ``files`` (FILES, or path and text at least) by the catalogue, ``extra`` rules and a user's ``own`` syntax rules.
 
     One pass over the lines serves all line rules; balances and missing partners are one aggregation per file;
     the checks of whole texts run in Python, file by file. Occurrences of all kinds have one form and one
@@ -99,10 +120,14 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
     config = config or ScanConfig()
     spark = files.sparkSession
     kept = spread(prune(files, config))
+    if config.respect_ignore_files:
+        kept = without(kept, version_ignored(files, ignore_rules(files)))
     if config.exclude_tests:
         kept = outside_test_directories(kept)
+        kept = without(kept, test_only_modules(module_edges(kept)))
     texts = kept.select("path", "lang", "text")
-    chosen = all_rules(config, extra)
+    own = [r for r in own or [] if config.runs(r.rule.lang, r.rule.category, r.rule.rule_id)]
+    chosen = all_rules(config, extra) + [r.rule for r in own]
     by = {kind: [r for r in chosen if r.kind == kind] for kind in {r.kind for r in chosen}}
     lines = mark_suppressed(explode_lines(texts, previous=True), config.markers, config.suppress_previous_line)
     if config.exclude_tests:
@@ -149,11 +174,32 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         found = issues(texts).withColumnRenamed("lang", "_lang")
         name = F.when(F.col("kind") == "narrowing", ".narrowing").when((F.col("kind") == "dropped") | (F.col("_lang") == "python") & (F.col("kind") == "task"), ".async.dropped").otherwise(".lifecycle.named")
         add(placed(found.select(F.concat("_lang", name).alias("rule_id"), "path", "line_no", F.col("message").alias("code"))), {r.rule_id for r in by["issue"]})
+    if by.get("ordered"):
+        ids = {r.rule_id for r in by["ordered"]}
+        found = ordered_flows(texts, tuple(s for s in VISIT_SPECS if s.rule_id in ids), config.markers)
+        add(placed(found.select("rule_id", "path", "line_no", "code")), ids)
+    if by.get("sql_text"):
+        add(placed(sql_texts(texts)), {r.rule_id for r in by["sql_text"]})
+    if by.get("hook"):
+        gaps = dependency_gaps(hooks(texts))
+        each = F.explode(F.array(*[F.struct(F.lit(f"js.hooks.{k}").alias("rule_id"), F.array_join(k, ", ").alias("code")) for k in ("missing", "unused")])).alias("x")
+        add(placed(gaps.select("path", "line_no", each).select("x.rule_id", "path", "line_no", "x.code").where("code <> ''")), {r.rule_id for r in by["hook"]})
+    if by.get("setting"):
+        kinds = [F.when(F.col("key").rlike(p) & (F.col("value") == v), F.lit(r.rule_id)) for r, p, v in SETTINGS]
+        settings = plist_settings(files.select("path", "text")).select(F.coalesce(*kinds).alias("rule_id"), "path", F.lit(0).alias("line_no"), F.concat_ws(" = ", "key", "value").alias("code"))
+        add(placed(settings.where("rule_id IS NOT NULL")), {r.rule_id for r in by["setting"]})
+    if own:
+        add(placed(syntax_rule_matches(texts, own).select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule.rule_id for r in own})
     if by.get("next_line"):
         dead = unreachable(lines)
         seen.append(placed(dead.withColumnRenamed("lang", "_of").select(F.concat("_of", F.lit(".unreachable")).alias("rule_id"), "path", "line_no", F.col("line").alias("code"), "suppressed")).select("lang", "category", "rule_id", "path", "line_no", "code", "suppressed"))
     # Written once: counts, samples and every report start from here, and not from the texts.
-    every = step(reduce(DataFrame.unionByName, seen))
+    every = reduce(DataFrame.unionByName, seen)
+    if config.statement_suppression:
+        # A marker anywhere in a statement, or on the line above it, holds for all its lines.
+        spans = statements(texts).join(marks, (F.col("path") == F.col("_p")) & F.col("_l").between(F.col("s_line"), F.col("e_line"))).select(F.col("path").alias("_q"), F.explode(F.sequence("s_line", "e_line")).alias("_n")).distinct()
+        every = every.join(spans, (F.col("path") == F.col("_q")) & (F.col("line_no") == F.col("_n")), "left").withColumn("suppressed", F.col("suppressed") | F.col("_q").isNotNull()).drop("_q", "_n")
+    every = step(every)
     counted = [counts(every)]
     open_lines = lines.where("NOT suppressed")
     if by.get("balance"):
@@ -164,4 +210,4 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         counted.append(ratios(open_lines, by["ratio"]).select("lang", "category", "rule_id", "n"))
     found = findings(spark, reduce(DataFrame.unionByName, counted), chosen, samples(every, config.samples), config.strict)
     sums = summary(found, kept)
-    return ScanResult(kept, every, at_least(found, config.min_severity), sums, totals(sums), config)
+    return ScanResult(kept, every, at_least(found, config.min_severity), sums, totals(sums), config, detected_languages(files))

@@ -42,6 +42,13 @@ def combined(findings: DataFrame, summary: DataFrame, totals: DataFrame, project
     return both.select(F.to_json(F.struct(F.lit(project).alias("project"), F.lit(timestamp).alias("timestamp"), "scanners", "totals")).alias("value"))
 
 
+def module_reports(findings: DataFrame, summary: DataFrame, timestamp: str) -> DataFrame:
+    """``(language, value)``: a JSON report for each scanner, its counts and its findings, for ``write.partitionBy("language").text``."""
+    listed = findings.where("severity <> 'good'").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rule_id", "category", "severity", F.col("n").alias("count"), "title"))).alias("findings"))
+    both = summary.join(listed, "lang", "left")
+    return both.select(F.col("lang").alias("language"), F.to_json(F.struct(F.col("lang").alias("language"), "files", "critical", "warning", "info", F.lit(timestamp).alias("timestamp"), F.coalesce("findings", F.array().cast("array<struct<rule_id:string,category:int,severity:string,count:bigint,title:string>>")).alias("findings"))).alias("value"))
+
+
 def shareable(report: DataFrame, difference: DataFrame, generated_at: str, git: dict[str, str | None], baseline: str | None) -> DataFrame:
     """One row, value: the combined report with where it comes from and its difference to a baseline."""
     measures = ("critical", "warning", "info", "files")

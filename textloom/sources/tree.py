@@ -18,6 +18,8 @@ from ..schemas import FILES
 
 #: Manifests and settings that are read whatever their extension; fixed values.
 MANIFESTS = ("requirements.txt", "Cargo.toml", "go.mod", "mix.lock", "CMakeLists.txt", "package.json", "pyproject.toml", "Gemfile")
+#: Ignore rules of version control, which sources.versions reads.
+_IGNORES = (".gitignore",)
 _SETTINGS = ("plist", "entitlements", "xcprivacy")
 
 
@@ -30,7 +32,8 @@ class SourceTree(DataSource):
     """``spark.read.format("sourcetree")``: FILES below ``path``, hidden ones and those with a leading underscore too.
 
     Options: path; ignores (globs, by commas); extensions (by commas; empty for all); maxFileBytes; groupBytes
-    (bytes of a partition); manifests (true to read dependency manifests and settings too). Ignored directories
+    (bytes of a partition); manifests (true to read dependency manifests, settings and ignore rules too);
+    maxProjectBytes (more than that below the path is refused; 0 for no limit). Ignored directories
     are not entered, and files are dropped by name and size before they are read. The path must be a file
     system that driver and executors mount.
     """
@@ -54,6 +57,7 @@ class _Reader(DataSourceReader):
         self.extensions = {e for e in options.get("extensions", "").split(",") if e}
         self.most = int(options.get("maxFileBytes", ScanConfig.max_file_bytes))
         self.group = int(options.get("groupBytes", 4 << 20))
+        self.limit = int(options.get("maxProjectBytes", 0))
         self.manifests = options.get("manifests", "true") == "true"
         self.languages = {e: lang for lang, exts in EXTENSIONS.items() for e in exts}
 
@@ -62,10 +66,10 @@ class _Reader(DataSourceReader):
 
     def _wanted(self, name: str) -> bool:
         ext = name.rpartition(".")[2].lower()
-        return not self.extensions or ext in self.extensions or self.manifests and (name in MANIFESTS or name in _MARKED or ext in _SETTINGS)
+        return not self.extensions or ext in self.extensions or self.manifests and (name in MANIFESTS or name in _MARKED or name in _IGNORES or ext in _SETTINGS)
 
     def partitions(self) -> list[FileGroup]:
-        groups, now, size = [], [], 0
+        groups, now, size, total = [], [], 0, 0
         if os.path.isfile(self.root):
             return [FileGroup((os.path.basename(self.root),))]
         for base, dirs, names in os.walk(self.root):
@@ -81,6 +85,9 @@ class _Reader(DataSourceReader):
                             now, size = [], 0
                         now.append(at(name))
                         size += n
+                        total += n
+        if self.limit and total >= self.limit + (1 << 20):
+            raise ValueError(f"{total >> 20} MB are to be scanned; the limit is {self.limit >> 20}")
         return [*groups, FileGroup(tuple(now))] if now or not groups else groups
 
     def read(self, partition: FileGroup) -> Iterator[tuple]:
@@ -101,7 +108,23 @@ def read_tree(spark: SparkSession, root: str, config: ScanConfig | None = None)
     guard_root(root)
     spark.dataSource.register(SourceTree)
     extensions = ",".join(e for exts in config.extensions.values() for e in exts)
-    return spark.read.format("sourcetree").option("ignores", ",".join(config.ignores)).option("extensions", extensions).option("maxFileBytes", str(config.max_file_bytes)).load(root)
+    return spark.read.format("sourcetree").option("ignores", ",".join(config.ignores)).option("extensions", extensions).option("maxFileBytes", str(config.max_file_bytes)).option("maxProjectBytes", str(config.max_project_mb << 20)).load(root)
+
+
+def read_targets(spark: SparkSession, roots: list[str], config: ScanConfig | None = None) -> DataFrame:
+    """FILES of several targets, paths with their root in front: ignores hold in directories, not for files that are named; each path once."""
+    from ..operators.prune import targets
+
+    config = config or ScanConfig()
+    none = spark.createDataFrame([], FILES)
+    trees, named = none, none
+    for root in roots:
+        files = read_tree(spark, root, config)
+        if os.path.isfile(root):
+            named = named.unionByName(files.withColumn("path", F.lit(root)))
+        else:
+            trees = trees.unionByName(files.withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), "path")))
+    return targets(trees, named, config)
 
 
 def guard_root(root: str) -> None:
