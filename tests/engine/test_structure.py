@@ -104,3 +104,18 @@ def test_language_excludes(spark):
     rows = spark.createDataFrame([("Pods/a.swift", 1), ("Pods/a.py", 1), ("cmake-build-x/a.c", 1), ("deps.ex", 1), ("deps/a.ex", 1)], "path string, n_bytes long")
     assert sorted(r.path for r in P.prune(rows, ScanConfig()).collect()) == ["Pods/a.py", "deps.ex"]
     assert P.prune(rows, ScanConfig(excluded={})).count() == 5
+
+
+def test_reports_in_every_format(spark):
+    from textloom.config import FORMATS
+
+    own = [Rule(f"own.e{k}", "python", 1, "line", "eval", "", ((0, "critical"),), "e", "") for k in (1, 2)]
+    files = spark.createDataFrame([("a.py", "eval(1)")], "path string, text string")
+    for kind in FORMATS:
+        result = scan(files, ScanConfig(format=kind, rule_globs=("own.*",), max_details=1), own)
+        rows = [r.value for r in result.report("p", "now").collect()]
+        assert rows and all(isinstance(x, str) for x in rows), kind
+        if kind == "text":
+            assert "1 further findings are not shown" in rows[0]
+        elif kind in ("json", "jsonl", "sarif", "compact"):
+            assert any("own.e2" in x for x in rows), kind

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from ..config import ScanConfig
 from ..functions.source import plist_settings, python_matches, regex_matches, regions, statements
 from ..functions.text import explode_lines
-from ..operators.aggregate import at_least, counts, exit_code, findings, samples, summary, totals
+from ..operators.aggregate import at_least, counts, difference, exit_code, findings, matrix, samples, summary, totals
 from ..operators.correlate import dependency_gaps, in_context, outside, risky_divisions
 from ..operators.flow import flow_specs, flows
 from ..operators.lifecycle import DROPPED, NARROWINGS, hooks, issues
 from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
 from ..operators.prune import before_tests, detected_languages, module_edges, outside_test_directories, prune, test_only_modules, without
 from ..operators.visit import VISIT_SPECS, ordered_flows, sql_texts
+from ..sources import sinks
 from ..sources.steps import spread, step
 from ..sources.tree import manifest_lines
 from ..sources.versions import ignore_rules, version_ignored
@@ -109,6 +110,28 @@ class ScanResult:
         c = self.config
         return exit_code(t["critical"], t["warning"], t["files"], c.strict, c.allow_empty, c.max_critical, c.max_warning)
 
+    def report(self, project: str = "", timestamp: str = "") -> DataFrame:
+        """``(value)``: the report in the scan's format, a row a document or line; ``max_details`` bounds the findings of the text form.
+
+        Rows of the catalogue's size are put together on the driver; occurrences (sarif) and lines (jsonl) are not.
+        """
+        spark, kind = self.files.sparkSession, self.config.format
+        if kind == "json":
+            return sinks.combined(self.findings, self.summary, self.totals, project, timestamp)
+        if kind == "jsonl":
+            return sinks.jsonl(self.findings, self.summary, self.totals).select("value")
+        if kind == "sarif":
+            return sinks.sarif(self.occurrences, self.findings).select("value")
+        if kind in ("csv", "markdown"):
+            places = self.findings.select("lang", "category").distinct().join(self.summary.select("lang"), "lang", "left_semi")
+            table = matrix(self.findings, places)
+            return table.select(F.to_csv(F.struct("lang", "category", "total", "critical", "warning", "info")).alias("value")) if kind == "csv" else spark.createDataFrame([(sinks.markdown(table),)], "value string")
+        if kind == "html":
+            nothing = spark.createDataFrame([(0, 0, 0, 0)], "files long, critical long, warning long, info long")
+            return spark.createDataFrame([(sinks.html(self.summary, difference(self.totals, nothing, [], ["files", "critical", "warning", "info"]), project),)], "value string")
+        text = sinks.toon(self.findings, self.totals) if kind == "compact" else sinks.text(self.findings, self.summary, self.totals, project, self.config.max_details)
+        return spark.createDataFrame([(text,)], "value string")
+
 
 def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] | None = None, own: list[SyntaxRule] | None = None) -> ScanResult:
     """Scan ``files`` (FILES, or path and text at least) by the catalogue, ``extra`` rules and a user's ``own`` syntax rules.
