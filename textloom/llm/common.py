@@ -76,6 +76,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a materialised step that nothing reads any more."""
     path = getattr(df, "_textloom_path", None)

@@ -18,10 +18,11 @@ _QUERIES = {
     "op8_quality_classifier": "quality",
     "op9_secret_scan": "secrets",
     "op10_sentencepiece": "sentencepiece_codec",
+    "op11_warc": "warc",
     "op12_prefix_trie": "prefix_trie",
     "op13_ranked_search": "ranked_search",
 }
-_SQL = {"op2_embedding_dedup": ("embedding_dedup", "OP2_SQL"), "op3_lm_scoring": ("lm_scoring", "OP3_SQL"), "op5_exact_dedup": ("exact_dedup", "OP5_SQL"), "op12_prefix_trie": ("prefix_trie", "OP12_SQL"), "op13_ranked_search": ("ranked_search", "OP13_SQL")}
+_SQL = {"op2_embedding_dedup": ("embedding_dedup", "OP2_SQL"), "op3_lm_scoring": ("lm_scoring", "OP3_SQL"), "op5_exact_dedup": ("exact_dedup", "OP5_SQL"), "op11_warc": ("warc", "OP11_SQL"), "op12_prefix_trie": ("prefix_trie", "OP12_SQL"), "op13_ranked_search": ("ranked_search", "OP13_SQL")}
 
 
 def _of(module: str, name: str):
