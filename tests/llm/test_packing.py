@@ -40,6 +40,14 @@ def test_one_id_for_all_rows_and_clashing_names(spark, monkeypatch):
     assert len({r["sequence_id"] for r in got}) <= 2000 + 8
 
 
+def test_a_null_id_leaves_large_ids_exact(spark):
+    ids = [None, 2**53 + 1, 2**53 + 3, 2**63 - 1, None, -(2**63), 5]
+    got = place(spark.createDataFrame([(i, 0, 0, 7) for i in ids], "id long, piece int, start long, length long"), 16).collect()
+    assert sorted((r["id"] for r in got), key=str) == sorted(ids, key=str)
+    docs = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+    assert sorted((r["doc_id"] for r in packed_documents(docs, PATH).collect()), key=str) == sorted(ids, key=str)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_fits_and_is_near_the_bound(seed):
     rng = random.Random(seed)

@@ -12,8 +12,8 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,13 +151,13 @@ def place(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     groups = max(1, -(-n // group))
     dealt = pieces.withColumn(column, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "piece"], kind="stable")
-        bins, offsets = pack(rows["length"].tolist(), size)
-        return rows.drop(columns=column).assign(sequence_id=(int(key[0]) << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("id", "ascending"), ("piece", "ascending")])).drop_columns([column])
+        bins, offsets = pack(rows.column("length").to_pylist(), size)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + np.array(bins, np.int64))).append_column("offset", pa.array(np.array(offsets, np.int64)))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy(column).applyInPandas(packed, f"{kept}, sequence_id long, offset long")
+    return dealt.groupBy(column).applyInArrow(packed, f"{kept}, sequence_id long, offset long")
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
