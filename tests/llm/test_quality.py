@@ -106,8 +106,8 @@ def test_a_view_that_sees_nothing_teaches_nothing():
 
 
 def test_low_quality_is_found_at_scale(spark):
-    """On the check tool's small tables, labels with even ids against those with odd ones."""
-    sf = "/root/testdata/check_s"
+    """On a table of 10,000 documents, labels with even ids against those with odd ones."""
+    sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     known = labels.where("doc_id % 2 = 1").select("doc_id", "quality")
     rows = score_quality(docs.join(known.select("doc_id"), "doc_id", "left_semi").union(docs.where("doc_id % 20 = 0")), labels.where("doc_id % 2 = 0")).join(known, "doc_id").select("kept", "quality").collect()
