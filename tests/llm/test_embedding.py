@@ -60,6 +60,18 @@ def test_doubles_are_compared_as_they_are(spark):
     assert got == brute(rows, 0.98, float) and sum(n for _, n, _ in got) == 60
 
 
+def test_rows_that_repeat_an_id_have_links_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 8))
+    near = base[rng.integers(0, 12, 60)] + rng.normal(scale=0.05, size=(60, 8))
+    rows = [(int(rng.integers(0, 9)), [float(x) for x in v.astype(np.float32)], int(k % 2)) for k, v in enumerate(np.concatenate([near, near[:20]]))]
+    rows += [(1, [1.0] * 8, 5), (1, [-1.0] * 8, 5), (2, [1.0] * 8, 5), (1, [2.0] * 8, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r["id"], r["n_links"], r["component"]) for r in near_vectors(df).collect())
+    assert got == brute(rows, 0.98)
+    assert [x for x in got if x[0] == 2 and x[1] == 1]
+
+
 def test_a_very_long_vector(spark):
     v = np.random.default_rng(4).normal(size=20_000)
     rows = [(1, [float(x) for x in v], 0), (2, [float(x) for x in v * 2 + 0.01], 0), (3, [float(x) for x in -v], 0)]

@@ -21,8 +21,9 @@ from .components import components
 from .trie_join import _merge
 
 COSINE, BLOCKS = 0.98, 8
-#: Width of a cell of the range join along a block's first two coordinates; vectors near its border are sent to the next cells too.
-CELL = 0.21
+#: Widths of a cell of the range join along a block's first two coordinates, neither below a block's reach; vectors near its border are
+#: sent to the next cells too. A task searches a sorted first coordinate itself, so it is the second that must be narrow.
+CELL, CELL_Y = 0.21, 0.075
 #: Vectors of a cell that meet in one task; a larger cell is cut into chunks whose pairs are tasks.
 CHUNK = 8192
 _SLACK = 1e-9
@@ -126,14 +127,14 @@ def linked(home: tuple, other: tuple | None, block: int, cosine: float, blocks:
     return ids[hit], links[hit], ids[labels[hit]]
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, blocks: int = BLOCKS, cell: float = CELL, chunk: int = CHUNK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, blocks: int = BLOCKS, cell: float = CELL, cell_y: float = CELL_Y, chunk: int = CHUNK) -> DataFrame:
     """Return ``(id, n_links, component)`` for every row of ``vectors``.
 
     Vectors are compared within a label and a number of dimensions, in double precision from the components as
     they are. Null vectors, zero vectors, vectors with a null or non-finite component, rows with a null label
     and rows with a null id link with nothing. Identical vectors of a label are joined as one with a weight
-    and all linked, so copies cost no pairs. Rows that repeat an id are one vertex: each has the links of all
-    of them. Other columns are not read. An empty table gives an empty result.
+    and all linked, so copies cost no pairs. Rows that repeat an id are vectors of their own, each with its own
+    links; a component's name is the least id in it. Other columns are not read. An empty table gives an empty result.
     """
     bound_batches(vectors.sparkSession, 5000)
     narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
@@ -142,7 +143,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, F.col(label_col)).alias("label"), F.when(usable, v).alias("v"))
-    copies = materialise(rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
+    copies = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w"))
+    copies = materialise(copies.withColumn("rep", F.monotonically_increasing_id()))  # a number of its own for each vector, fixed once it is written
+
+    side_x, side_y = cell, cell_y
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +159,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 m = _blocks(turned.shape[1], blocks)
                 width = turned.shape[1] // m
                 reach = np.sqrt((2 - 2 * cosine) / m + _SLACK) + 1e-12
+                cell, cell_y = max(side_x, 1.001 * reach), max(side_y, 1.001 * reach)  # fewer blocks reach farther
                 # The first two coordinates of each block; blocks of one coordinate have one row of cells.
-                x, y = turned[:, ::width], turned[:, 1::width] if width > 1 else np.full((len(plain), m), cell / 2)
-                cx, cy = (np.floor(c / cell).astype(np.int64) for c in (x, y))
-                up, down = np.floor((y + reach) / cell) > cy, np.floor((y - reach) / cell) < cy
+                x, y = turned[:, ::width], turned[:, 1::width] if width > 1 else np.full((len(plain), m), cell_y / 2)
+                cx, cy = (np.floor(c / side).astype(np.int64) for c, side in ((x, cell), (y, cell_y)))
+                up, down = np.floor((y + reach) / cell_y) > cy, np.floor((y - reach) / cell_y) < cy
                 right = np.floor((x + reach) / cell) > cx
-                # Cells are wider than the reach. A vector visits the neighbours that follow its own cell in
+                # Cells are no narrower than the reach, so what meets in a block is in the same cell or in neighbours. A vector visits the neighbours that follow its own cell in
                 # order, so two vectors of different cells meet in the later one and nowhere else.
                 visits = [(np.ones_like(right), 0, 0), (up, 0, 1), (right & down, 1, -1), (right, 1, 0), (right & up, 1, 1)]
                 at, b, px, py, guest = [], [], [], [], []
@@ -171,8 +176,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 blobs = [x.tobytes() for x in plain]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick[at])), pa.array(np.full(len(at), d), pa.int32()), pa.array(b, pa.int32()), pa.array(px, pa.int64()), pa.array(py, pa.int64()), pa.array(guest), batch.column(1).take(pa.array(pick[at])), batch.column(3).take(pa.array(pick[at])), pa.array([blobs[k] for k in at], pa.binary())], names=["label", "dims", "block", "x", "y", "guest", "rep", "w", "blob"])
 
-    if cell < np.sqrt((2 - 2 * cosine) + _SLACK):
-        raise ValueError("a cell must be at least as wide as the links are long")
     kind = copies.schema["label"].dataType.simpleString()
     dealt = materialise(copies.select("label", "rep", "v", "w").mapInArrow(cells, f"label {kind}, dims int, block int, x long, y long, guest boolean, rep long, w long, blob binary"))
     key = ["label", "dims", "block", "x", "y"]
@@ -203,8 +206,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     drop(dealt)
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b"))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = copies.join(sums, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("label").alias("l"), F.col("v").alias("x"), "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
-    vertices = rows.where("v IS NOT NULL").join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("x"))).select("id", (F.col("w") - 1 + F.col("links")).alias("n_links"), F.least("root", "id").alias("component"))
+    named = materialise(copies.join(sums, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("label", "v", "w", F.coalesce("links", F.lit(0)).alias("links"), "least", "root"))
+    leasts = named.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
+    known = named.join(leasts, "root", "left").select(F.col("label").alias("l"), F.col("v").alias("x"), (F.col("w") - 1 + F.col("links")).alias("n_links"), F.coalesce("component", "least").alias("component"))
+    vertices = rows.where("v IS NOT NULL").join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("x"))).select("id", "n_links", "component")
     return vertices.union(rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
