@@ -57,10 +57,15 @@ def sample(seed, n=60, long=9):
     return out
 
 
-@pytest.mark.parametrize("slab", [1, 3, 16])
-def test_matches_a_plain_version(spark, slab):
-    data = sample(slab)
-    assert rows(trie(spark.createDataFrame(data, SCHEMA).repartition(5), slab)) == plain(data)
+@pytest.mark.parametrize(("first", "cells"), [(1, 10**6), (2, 12), (3, 0), (8, 40)])
+def test_matches_a_plain_version(spark, first, cells):
+    data = sample(first)
+    assert rows(trie(spark.createDataFrame(data, SCHEMA).repartition(5), first, cells=cells)) == plain(data)
+
+
+def test_a_deep_conversation(spark):
+    data = [(c, t, "user", str(t) if t < 60 else f"{c} {t}") for c in (5, 10, 15, 20) for t in range(58 + c // 5)]
+    assert rows(trie(spark.createDataFrame(data, SCHEMA), 2)) == plain(data)
 
 
 def test_conversations_as_they_are(spark):
