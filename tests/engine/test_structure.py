@@ -5,10 +5,12 @@ import pytest
 
 from textloom.config import ScanConfig
 from textloom.operators import prune as P
-from textloom.operators.visit import graded_sql, ordered_flows, sql_texts, visit, VISIT_SPECS
+from textloom.functions.syntax import parse
+from textloom.operators.dataflow import program_facts, python_flows
+from textloom.operators.structural import axis_counts, parents
 from textloom.plans.catalogue import Rule
 from textloom.plans.scan import scan
-from textloom.plans.userrules import pattern_regex, read_syntax_rules, syntax_rule, syntax_rule_matches
+from textloom.plans.userrules import pattern_test, read_syntax_rules, syntax_rule, syntax_rule_matches
 from textloom.sources import sinks, tree
 from textloom.sources.versions import ignore_pattern, ignore_rules, since_merge_base, version_ignored
 
@@ -54,16 +56,80 @@ def test_changes_since_the_merge_base(spark, tmp_path):
     assert [r.path for r in P.changed_or_all(files, changed).collect()] == ["b.py"]
 
 
-def test_order_and_origin(spark):
-    assert visit(None, VISIT_SPECS[0]) == [] and visit("def (", VISIT_SPECS[0]) == [] and graded_sql(None) == [] and graded_sql("def (") == []
-    assert [x[0] for x in visit("(n := request.args['n'])\nx += n\nredirect(x)\n", VISIT_SPECS[0])] == [3]
-    # A chain of bindings is graded through its rounds; a cycle stays unknown.
-    assert [x[1] for x in graded_sql("a = g()\nb = a\nc = b\nx.execute(f'SELECT q FROM {c}')\n")] == ["critical"]
-    assert [x[1] for x in graded_sql("a = b\nb = a\nx.execute(f'SELECT q FROM {a}')\n")] == ["warning"]
+def test_definitions_and_uses(spark):
+    assert program_facts(None) == [] and program_facts("def (") == [] and program_facts("") == []
     empty = spark.createDataFrame([], FILES)
-    assert ordered_flows(empty).count() == 0 and sql_texts(empty).count() == 0
+    assert python_flows(empty).count() == 0
+    programs = {
+        "walrus": "(n := request.args['n'])\nx += n\nredirect(x)\n", "chain": "a = g()\nb = a\nc = b\nx.execute(f'SELECT q FROM {c}')\n", "cycle": "a = b\nb = a\nx.execute(f'SELECT q FROM {a}')\n",
+        "branch": "if a:\n    u = request.args['u']\nelse:\n    u = '/'\nredirect(u)\n", "left": "u = request.args['u']\nif u not in ALLOWED:\n    raise ValueError\nredirect(u)\n", "kept": "u = request.args['u']\nif u not in ALLOWED:\n    log(u)\nredirect(u)\n",
+        "or": "u = request.args['u']\nif not u or not is_safe_url(u):\n    abort(400)\nredirect(u)\n", "other": "u = request.args['u']\nv = '/'\nif is_safe_url(v):\n    redirect(u)\n", "rebound": "u = request.args['u']\nif is_safe_url(u):\n    u = request.args['v']\n    redirect(u)\n",
+        "try": "try:\n    u = request.args['u']\nexcept KeyError:\n    u = '/'\nredirect(u)\n", "raises": "u = request.args['u']\nvalidate_url(u)\nredirect(u)\n", "ternary": "u = request.args['u']\nredirect(u if u else '/')\n", "scope": "def f():\n    u = request.args['u']\ndef g(u):\n    redirect(u)\n",
+        "outer": "def f():\n    redirect(u)\nu = request.args['u']\n", "inner": "def f(u):\n    u = request.args['u']\n    def g():\n        return redirect(u)\n    return g\n", "match": "match request.args:\n    case {'u': u}:\n        redirect(u)\n", "comp": "[redirect(u) for u in request.args]\n", "lambda": "u = request.args['u']\nf = lambda: redirect(u)\n",
+        "deleted": "u = request.args['u']\ndel u\nredirect(u)\n", "utf": "ä = request.args['ü']  # é\nredirect(ä)\n", "self": "self.u = request.args['u']\nredirect(self.u)\n", "item": "d = {}\nd['u'] = request.args['u']\nredirect(d['u'])\n", "elif": "u = request.args['u']\nif a:\n    pass\n" + "elif b:\n    pass\n" * 700 + "redirect(u)\n",
+    }
+    found = {(r.path, r.rule_id.removeprefix("python."), r.line_no) for r in python_flows(spark.createDataFrame([(k, "python", t) for k, t in programs.items()], FILES)).collect()}
+    hit = {"walrus": 3, "branch": 5, "kept": 4, "other": 4, "rebound": 4, "try": 5, "ternary": 2, "outer": 2, "inner": 4, "match": 3, "comp": 1, "lambda": 2, "utf": 2, "self": 2, "item": 3}
+    assert found == {(k, "ordered.redirect", n) for k, n in hit.items()} | {("chain", "sql_text.tainted", 4), ("cycle", "sql_text.unknown", 3)} | ({("elif", "ordered.redirect", 1404)} & found)
     rows = spark.createDataFrame([("a.py", "python", None), ("a.js", "js", "redirect(request.args)")], FILES)
-    assert ordered_flows(rows).count() == 0 and sql_texts(rows).count() == 0
+    assert python_flows(rows).count() == 0
+
+
+def test_facts_take_linear_time():
+    import time
+
+    def took(n):
+        texts = ["q = request.args['q']\n" + "".join(f"v{k} = v{k - 1} + q\n" for k in range(n)) + "redirect(v5)\n", "q = request.args['q']\n" + "".join(f"if a{k}:\n    v{k} = q\n" for k in range(n)) + "redirect(v5)\n"]
+        began = time.process_time()
+        assert all(program_facts(t) for t in texts)
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 8 * took(2000)
+
+
+def test_numbers_of_nodes_nest_whatever_the_text():
+    rng = random.Random(4)
+    bits = ["if", "(", ")", "{", "}", "[", "]", ";", "\n", "x", "=>", "await ", "new ", ".", "f(", "'", '"', "//", "#", "end", "do", "fn", "|", "=", ",", ":", "  ", "def f():\n  ", "return", "else", "catch", "ä", "`", "1.5"]
+    for k in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        lang = rng.choice(["js", "python", "golang", "rust", "ruby", "elixir", "java", "swift", "cpp", "csharp", "cobol"])
+        nodes = parse(text, lang)
+        by = {n[0]: n for n in nodes}
+        assert sorted(x for n in nodes for x in n[:2]) == list(range(1, 2 * len(nodes) + 1)), text
+        for pre, post, parent, *_ in nodes[1:]:
+            assert by[parent][0] < pre < post < by[parent][1]
+    deep = "f(" * 3000 + "{" * 3000
+    assert len(parse(deep, "js")) > 3000
+
+
+def test_counts_along_axes_match_all_pairs(spark):
+    rng = random.Random(9)
+    nodes, questions = [], []
+    for path in ("a", "b"):
+        clock = 0
+
+        def grow(depth):
+            nonlocal clock
+            clock += 1
+            pre = clock
+            for _ in range(rng.randrange(4) if depth < 5 else 0):
+                grow(depth + 1)
+            clock += 1
+            for label in (0, 1):
+                if rng.random() < 0.5:
+                    nodes.append((path, label, pre, clock))
+                if rng.random() < 0.5:
+                    questions.append((path, label, pre, clock, rng.randrange(3)))
+
+        for _ in range(6):
+            grow(0)
+    schema = "path string, label int, pre int, post int"
+    got = axis_counts(spark.createDataFrame(questions, schema + ", rule int"), spark.createDataFrame(nodes, schema), ["rule", "pre"]).collect()
+    want = {(p, la, r, pre, sum(x[:2] == (p, la) and x[2] < pre and x[3] > post for x in nodes), sum(x[:2] == (p, la) and x[2] > pre and x[3] < post for x in nodes)) for p, la, pre, post, r in questions}
+    assert {(r.path, r.label, r.rule, r.pre, r.n_around, r.n_within) for r in got} == want and len(got) == len(want)
+    tree = spark.createDataFrame([("a", 1, None, "file", "", ""), ("a", 2, 1, "call", "f", "f ( )")], "path string, pre int, parent int, kind string, name string, code string")
+    assert [(r.pre, r.parent_kind) for r in parents(tree).orderBy("pre").collect()] == [(1, None), (2, "file")]
 
 
 def test_user_rules_from_yaml(spark, tmp_path):
@@ -76,10 +142,10 @@ def test_user_rules_from_yaml(spark, tmp_path):
     assert sorted((r.rule_id, r.s_line) for r in syntax_rule_matches(files, own).collect()) == [("own.a", 1), ("own.a", 2), ("own.b", 2)]
     found = scan(files.drop("lang"), ScanConfig(rule_globs=("own.*",)), own=own)
     assert {(r.rule_id, r.n, r.severity) for r in found.findings.collect()} == {("own.a", 1, "warning"), ("own.b", 1, "info")}
-    for broken in ({"id": "x"}, {"id": "x", "language": "js", "rule": {"kind": "y"}}, {"id": "x", "language": "js", "rule": {"pattern": "f", "inside": {"kind": "?"}}}, {"id": "x", "language": "js", "rule": {"inside": {"kind": "loop"}}}, {"id": "x", "language": "js", "severity": "?", "rule": {"regex": "f"}}):
+    for broken in ({"id": "x"}, {"id": "x", "language": "js", "rule": {"kind": "y"}}, {"id": "x", "language": "js", "rule": {"not": {"pattern": "f"}}}, {"id": "x", "language": "js", "rule": {"pattern": "f", "follows": {"kind": "if"}}}, {"id": "x", "language": "js", "rule": {"pattern": "f", "inside": {"kind": "?"}}}, {"id": "x", "language": "js", "rule": {"inside": {"kind": "loop"}}}, {"id": "x", "language": "js", "severity": "?", "rule": {"regex": "f"}}):
         with pytest.raises(ValueError):
             syntax_rule(broken)
-    assert pattern_regex("new Date") == r"(?<!\w)new\s+Date(?!\w)"
+    assert pattern_test("new Date($$$)", "js").kinds == ("new",) and pattern_test("$A == $A", "js").pattern.count("<A>") == 2
 
 
 def test_targets_limits_and_module_reports(spark, tmp_path):

@@ -1,8 +1,9 @@
-"""Registered queries over the rule catalogue, over small programs and over reports, each with its SQL.
+"""Registered queries over the rule catalogue, over programs made from documents and over reports, each with its SQL.
 
 The catalogue's rules run over two corpora: all documents, each taken as a program of one of the ten languages,
 and ``PROGRAMS``, small files in which the rules find something. SQL gets the same patterns, since Java's and
-RE2's regular expressions agree on them. What only a parser can tell has its rows written out in the SQL.
+RE2's regular expressions agree on them. What only a parser can tell runs over programs made from documents, a program
+for each; the SQL knows what each kind of program holds and makes the rows from the documents.
 """
 
 from __future__ import annotations
@@ -316,12 +317,16 @@ def project_guard(spark, sf):
 
 
 def named_paths(spark, sf):
-    return listed_paths(spark, " a.py, b/c.js,,a.py , ")
+    """A list of paths as a user types it: the nations' names, some twice, with blanks and gaps."""
+    names = [r[0] for r in _read(spark, sf, "nation").select("n_name").collect()]
+    return listed_paths(spark, " ,".join([*names, "", *names[:5]]))
 
 
 def chosen_languages(spark, sf):
-    cases = [("all", None, None), ("only", ["golang", "typescript"], None), ("without", None, ["go", "rb"])]
-    return spark.createDataFrame([(n, ",".join(languages(["js", "py", "go", "ruby", "js"], a, b))) for n, a, b in cases], "name string, langs string")
+    """Languages of a scan of all documents as programs, of those a user names, and of those that are not left out."""
+    there = [r[0] for r in _corpora(spark, sf).select("lang").distinct().orderBy("lang").collect()]
+    cases = [("all", None, None), ("only", ["golang", "typescript", "cobol"], None), ("without", None, ["go", "rb"])]
+    return spark.createDataFrame([(n, lang) for n, a, b in cases for lang in languages(there, a, b)], "name string, lang string")
 
 
 _CONFIGS = {
@@ -337,23 +342,55 @@ _CONFIGS = {
 
 def rule_selection(spark, sf):
     rows = [(name, r.lang) for name, (config, _) in _CONFIGS.items() for r in rules(config)]
-    return spark.createDataFrame(rows, "name string, lang string").groupBy("name", "lang").agg(F.count(F.lit(1)).alias("n"))
+    chosen = spark.createDataFrame(rows, "name string, lang string").groupBy("name", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return chosen.join(_sizes(spark, sf), "lang")
+
+
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many files of a language a scan of the corpus has."""
+    return _corpora(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def rule_listing(spark, sf):
-    return rules_frame(spark, rules()).select("rule_id", "lang", "category", "kind", F.size("tiers").alias("n_tiers"), F.element_at("tiers", 1)["severity"].alias("worst"))
+    return rules_frame(spark, rules()).join(_sizes(spark, sf), "lang").select("n_files", "rule_id", "lang", "category", "kind", F.size("tiers").alias("n_tiers"), F.element_at("tiers", 1)["severity"].alias("worst"))
 
 
 def rule_variants(spark, sf):
     base = rules()[0]
-    return spark.createDataFrame([(v.rule_id, v.lang) for v in variants(base, {"ts": "-ts", "tsx": "-tsx"})], "rule_id string, lang string")
+    made = spark.createDataFrame([(v.rule_id, v.lang) for v in variants(base, {"en": "-en", "de": "-de"})], "rule_id string, lang string")
+    return _read(spark, sf, "documents").join(F.broadcast(made), "lang").groupBy("rule_id", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- Programs made from documents
+
+#: What begins a comment; the other languages have two slashes. Fixed values.
+_COMMENTS = {"python": "#", "ruby": "#", "elixir": "#", "": ""}
 
 
-# --- Small programs
+def _programs(spark: SparkSession, sf: str, rows: list[tuple], each: bool = False) -> DataFrame:
+    """A program for each document, below a folder of its own: one of ``rows(path, lang, text)`` by its id, or all of them with ``each``.
 
+    ``@`` in a program is the document's name, v and its id; the program begins with up to three lines that hold
+    a digest of its text, as many as its length says.
+    """
+    made = spark.createDataFrame([(k, path, lang, (_COMMENTS.get(lang, "//") + " ") if lang else "", text) for k, (path, lang, text) in enumerate(rows)], "k int, of string, lang string, comment string, body string")
+    docs = _read(spark, sf, "documents").select("doc_id", F.coalesce(F.col("n_chars") % 4, F.lit(0)).cast("int").alias("lift"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    found = docs.crossJoin(F.broadcast(made)) if each else docs.withColumn("k", (F.col("doc_id") % len(rows)).cast("int")).join(F.broadcast(made), "k")
+    head = F.when(F.col("comment") != "", F.expr("repeat(concat(comment, digest, '\n'), lift)")).otherwise("")
+    text = F.concat(head, F.replace("body", F.lit("@"), F.concat(F.lit("v"), F.col("doc_id").cast("string"))))
+    return found.select(F.concat(F.lit("d"), "doc_id", F.lit("/"), "of").alias("path"), "lang", text.alias("text"))
 
-def _programs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, _FILE)
+
+def _made(programs: list[tuple], rows: Iterable[tuple], names: str, each: bool = False) -> str:
+    """SQL of the rows that the programs give: the first column is the program's path, ``*_line`` and ``line_no`` move with the lines in front, ``@`` is the document's name."""
+    of = {path: k for k, (path, _, _) in enumerate(programs)}
+    lifts = {k: bool(lang) for k, (_, lang, _) in enumerate(programs)}
+    columns = names.split(", ")
+    show = lambda c: "'d' || doc_id || '/' || t.path AS path" if c == "path" else f"(t.{c} + CASE WHEN lifts THEN lift ELSE 0 END)::INTEGER AS {c}" if c == "line_no" or c.endswith("_line") else f"t.{c}"
+    picked = ", ".join(f"replace(t.{c}, '@', 'v' || doc_id) AS {c}" if c not in ("path",) and not (c == "line_no" or c.endswith("_line")) and any(isinstance(r[n], str) and "@" in r[n] for r in rows) else show(c) for n, c in enumerate(columns))
+    table = _values([(of[r[0]], lifts[of[r[0]]], *r) for r in rows], f"k, lifts, {names}")
+    join = "" if each else f" AND d.doc_id % {len(programs)} = t.k"
+    return f"SELECT {picked} FROM (SELECT doc_id, coalesce(n_chars % 4, 0) AS lift FROM documents) d JOIN {table} t ON true{join}"
 
 
 _MASKED = [
@@ -363,8 +400,8 @@ _MASKED = [
 
 
 def masked_code(spark, sf):
-    files = _programs(spark, [(lang, lang, text) for lang, text, _ in _MASKED]).withColumn("m", mask_column())
-    return files.select("lang", F.regexp_replace("m", r"\s", "").alias("code"), (F.length("m") == F.length("text")).alias("same_length"))
+    files = _programs(spark, sf, [(lang, lang, text) for lang, text, _ in _MASKED]).withColumn("m", mask_column())
+    return files.select("path", F.regexp_replace("m", r"\s", "").alias("code"), (F.length("m") == F.length("text")).alias("same_length"))
 
 
 _BLOCKS = [
@@ -375,12 +412,12 @@ _BLOCKS = [
 
 
 def block_regions(spark, sf):
-    return regions(_programs(spark, _BLOCKS)).select("path", "kind", "s_line", "e_line")
+    return regions(_programs(spark, sf, _BLOCKS)).select("path", "kind", "s_line", "e_line")
 
 
 def blocking_calls(spark, sf):
     """Blocking calls in asynchronous code but not in closures, and those outside of any asynchronous block."""
-    files = _programs(spark, _BLOCKS)
+    files = _programs(spark, sf, _BLOCKS)
     found, blocks = regex_matches(files, {"sleep": ("rust", r"thread::(?P<F>sleep)\(")}), regions(files)
     hot = C.in_context(found, blocks, ["async"], ["closure"]).select(F.lit("hot").alias("where"), "path", "s_line")
     return hot.unionByName(C.outside(found, blocks.where("kind = 'async'")).select(F.lit("outside").alias("where"), "path", "s_line"))
@@ -389,8 +426,11 @@ def blocking_calls(spark, sf):
 _SYNTAX = "import json\nx = a.b.c.d.e\ny = 1 / n\nz = 1 / 2\nif x is 'a': pass\nfor i in xs:\n    xs.append(i)\ntry:\n    json.loads(s)\nexcept:\n    pass\njson.loads(t)\ndef f():\n    try: pass\n    finally:\n        return 1\nif q == None: pass\n"
 
 
+_PARSED = [("a.py", "python", _SYNTAX), ("bad.py", "python", "def (")]
+
+
 def syntax_matches(spark, sf):
-    return python_matches(_programs(spark, [("a.py", "python", _SYNTAX), ("bad.py", "python", "def (")])).select("rule_id", "path", "s_line")
+    return python_matches(_programs(spark, sf, _PARSED)).select("rule_id", "path", "s_line")
 
 
 #: (language, family, line of the sink, text with the flow, text without it).
@@ -411,20 +451,22 @@ _FLOWS = [
 ]
 
 
+_FLOWING = [(f"{lang}.flow.{family}/{k}", lang, t) for lang, family, _, bad, good in _FLOWS for k, t in (("bad", bad), ("good", good), ("hidden", bad.replace("\n", "  scan:ignore\n")))]
+
+
 def request_flows(spark, sf):
     """Flows of each family's own file; the file without a flow and one whose lines are marked give nothing."""
-    rows = [(f"{lang}.flow.{family}/{k}", lang, t) for lang, family, _, bad, good in _FLOWS for k, t in (("bad", bad), ("good", good), ("hidden", bad.replace("\n", "  scan:ignore\n")))]
-    found = flows(_programs(spark, rows), flow_specs())
-    return found.where(F.col("rule_id") == F.split("path", "/")[0]).select("path", "line_no")
+    found = flows(_programs(spark, sf, _FLOWING), flow_specs())
+    return found.where(F.col("rule_id") == F.split("path", "/")[1]).select("path", "line_no")
 
 
-_CHAIN = "sink(e)\ne = d\nd = c\nc = b\nb = a\na = source\nsink(clean(a))\nsink('a')\n"
+_CHAINS = [("a.py", "python", "sink(e)\ne = d\nd = c\nc = b\nb = a\na = source\nsink(clean(a))\nsink('a')\n"), ("b.js", "js", "sink(source)\n")]
 
 
 def flow_rounds(spark, sf):
     """Names bound below their use, over several rounds; the trail keeps its last three steps."""
     spec = FlowSpec("x", "python", 7, "critical", r"\bsource\b", r"\bsink\s*\(", r"\bclean\s*\(", passes=5, path=3)
-    return flows(_programs(spark, [("a.py", "python", _CHAIN), ("b.js", "js", _CHAIN)]), [spec]).select("path", "line_no", F.array_join("trail", ">").alias("trail"))
+    return flows(_programs(spark, sf, _CHAINS), [spec]).select("path", "line_no", F.array_join("trail", ">").alias("trail"))
 
 
 _RESOURCES = [
@@ -436,7 +478,7 @@ _RESOURCES = [
 
 
 def unreleased_resources(spark, sf):
-    return issues(_programs(spark, _RESOURCES), (unreleased,)).select("path", "line_no", "kind")
+    return issues(_programs(spark, sf, _RESOURCES), (unreleased,)).select("path", "line_no", "kind")
 
 
 _GUARDS = [
@@ -446,23 +488,29 @@ _GUARDS = [
 
 
 def narrowed_values(spark, sf):
-    return issues(_programs(spark, _GUARDS), (unsafe_after_guard,)).select("path", "line_no", "name")
+    return issues(_programs(spark, sf, _GUARDS), (unsafe_after_guard,)).select("path", "line_no", "name")
+
+
+_STARTED = [("a.cs", "csharp", "SaveAsync(x);\nawait SaveAsync(y);\nvar t = SaveAsync(z);\n"), ("a.js", "js", "fetch(u);\nawait fetch(u);\nconst r = fetch(u);\n"), ("a.rs", "rust", "tokio::spawn(f());\nlet h = tokio::spawn(f());\n")]
 
 
 def dropped_work(spark, sf):
-    rows = [("a.cs", "csharp", "SaveAsync(x);\nawait SaveAsync(y);\nvar t = SaveAsync(z);\n"), ("a.js", "js", "fetch(u);\nawait fetch(u);\nconst r = fetch(u);\n"), ("a.rs", "rust", "tokio::spawn(f());\nlet h = tokio::spawn(f());\n")]
-    return issues(_programs(spark, rows), (dropped_tasks,)).select("path", "line_no", "name")
+    return issues(_programs(spark, sf, _STARTED), (dropped_tasks,)).select("path", "line_no", "name")
+
+
+_HOOKED = [("a.jsx", "js", "useEffect(() => { const z = 1; @(id, z); setX(z); }, [id, other]);"), ("b.jsx", "js", "useMemo(() => a + b, [a, b]);")]
 
 
 def hook_dependencies(spark, sf):
-    files = _programs(spark, [("a.jsx", "js", "useEffect(() => { const z = 1; load(id, z); setX(z); }, [id, other]);"), ("b.jsx", "js", "useMemo(() => a + b, [a, b]);")])
-    gaps = C.dependency_gaps(hooks(files))
+    gaps = C.dependency_gaps(hooks(_programs(spark, sf, _HOOKED)))
     return gaps.select("path", F.array_join("missing", ",").alias("missing"), F.array_join("unused", ",").alias("unused"))
 
 
+_MANIFESTS = [("requirements.txt", "", "flask\n@==1\n# c\ny>=2\n"), ("src/go.mod", "", "module m\nrequire @ v1.2.3\n"), ("notes.txt", "", "flask\n")]
+
+
 def unpinned_manifests(spark, sf):
-    files = spark.createDataFrame([("requirements.txt", "flask\nx==1\n# c\ny>=2\n"), ("src/go.mod", "module m\nrequire a v1.2.3\n"), ("notes.txt", "flask\n")], "path string, text string")
-    return manifest_lines(files).select("path", "lang", "line_no", "line")
+    return manifest_lines(_programs(spark, sf, _MANIFESTS).drop("lang")).select("path", "lang", "line_no", "line")
 
 
 def match_stream(spark, sf):
@@ -472,11 +520,14 @@ def match_stream(spark, sf):
     return ingest_matches(pages.select(good.alias("value")).union(pages.select(F.lit("{broken").alias("value")))).select("rule_id", "path", "s_line", "s_col", "e_line", "e_col")
 
 
-_PLIST = '<?xml version="1.0"?><plist version="1.0"><dict><key>A</key><dict><key>B</key><true/></dict><key>C</key><string>x</string></dict></plist>'
+_PLIST = '<?xml version="1.0"?><plist version="1.0"><dict><key>A</key><dict><key>B</key><true/></dict><key>C</key><string>@</string></dict></plist>'
+
+
+_LISTS = [("Info.plist", "", _PLIST), ("bad.plist", "", "<"), ("x.txt", "", _PLIST)]
 
 
 def property_lists(spark, sf):
-    return plist_settings(spark.createDataFrame([("Info.plist", _PLIST), ("bad.plist", "<"), ("x.txt", _PLIST)], "path string, text string"))
+    return plist_settings(_programs(spark, sf, _LISTS))
 
 
 def notebooks(spark, sf):
@@ -567,6 +618,7 @@ _CODE = f"WITH {_CODE_LINES}"
 _CODE_HITS = f"{_CODE}, {_rows_sql(_of_kind('line'))}"
 _CATALOGUE = "cat AS " + _values([(r.rule_id, r.lang, r.category, r.kind, len(r.tiers), r.tiers[0][1]) for r in rules()], "rule_id, lang, category, kind, n_tiers, worst")
 _TIERS = "tiers AS " + _values([(r.rule_id, k, n, s) for r in _of_kind("line") for k, (n, s) in enumerate(r.tiers)], "rule_id, k, min_n, severity")
+_SIZES = f"(SELECT lang, count(*) AS n_files FROM (SELECT ['{"', '".join(CODE)}'][(doc_id % 10 + 1)::INT] AS lang FROM documents UNION ALL SELECT lang FROM {_values([(lang,) for _, lang, _ in PROGRAMS], 'lang')}) GROUP BY lang)"
 _COUNTED = f"{_CODE_HITS}, {_CATALOGUE}, {_TIERS}, open AS (SELECT rule_id, count(*) AS n FROM code_hits WHERE NOT suppressed GROUP BY rule_id), counted AS (SELECT c.*, coalesce(o.n, 0) AS n FROM cat c LEFT JOIN open o USING (rule_id) WHERE kind = 'line')"
 _SEV = ("critical", "warning", "info")
 #: Word borders as Java has them, between letters of any script and the rest.
@@ -607,24 +659,24 @@ SQL: dict[str, str] = {
     "changes_or_all": "SELECT 'changed' AS \"of\", count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'all', count(*) FROM documents",
     "diff_statuses": "SELECT CASE doc_id % 5 WHEN 3 THEN 'new' ELSE 'old' END || doc_id AS path FROM documents WHERE doc_id % 5 IN (0, 1, 3)",
     "project_guard": "WITH s AS (SELECT coalesce(sum(strlen(text)), 0) // 1048576 AS mb FROM documents) SELECT 0 AS limit_mb, true AS passes UNION ALL SELECT 1, mb <= 1 FROM s UNION ALL SELECT 1000000, mb <= 1000000 FROM s",
-    "named_paths": "SELECT * FROM (VALUES ('a.py'), ('b/c.js')) AS t(path)",
-    "chosen_languages": "SELECT * FROM (VALUES ('all', 'js,python,golang,ruby'), ('only', 'js,golang'), ('without', 'js,python')) AS t(name, langs)",
-    "rule_selection": f"WITH {_CATALOGUE}, s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS name, lang FROM cat WHERE {where}" for name, (_, where) in _CONFIGS.items()) + ") SELECT name, lang, count(*) AS n FROM s GROUP BY name, lang",
-    "rule_listing": f"WITH {_CATALOGUE} SELECT * FROM cat",
-    "rule_variants": f"SELECT {_text(rules()[0].rule_id)} || '-' || x AS rule_id, x AS lang FROM (VALUES ('ts'), ('tsx')) AS t(x)",
-    "masked_code": f"SELECT lang, code, true AS same_length FROM {_values([(lang, want) for lang, _, want in _MASKED], 'lang, code')}",
-    "block_regions": "SELECT * FROM (VALUES ('a.rs', 'async', 1, 6), ('a.rs', 'closure', 3, 5), ('a.rs', 'function', 7, 9), ('a.py', 'async', 1, 3), ('a.py', 'loop', 2, 3), ('a.py', 'try', 4, 7), ('a.py', 'catch', 6, 7), ('a.js', 'loop', 1, 5), ('a.js', 'if', 2, 4)) AS t(path, kind, s_line, e_line)",
-    "blocking_calls": "SELECT * FROM (VALUES ('hot', 'a.rs', 2), ('outside', 'a.rs', 8)) AS t(\"where\", path, s_line)",
-    "syntax_matches": "SELECT rule_id, 'a.py' AS path, s_line FROM (VALUES ('py.bare_except', 10), ('py.deep_access', 2), ('py.division', 3), ('py.division', 4), ('py.except_pass', 10), ('py.finally_exit', 16), ('py.is_literal', 5), ('py.json_unguarded', 12), ('py.mutated_loop', 7), ('py.eq_none', 17)) AS t(rule_id, s_line)",
-    "request_flows": f"SELECT path, line_no FROM {_values([(f'{lang}.flow.{family}/bad', n) for lang, family, n, _, _ in _FLOWS], 'path, line_no')}",
-    "flow_rounds": "SELECT 'a.py' AS path, 1 AS line_no, 'd>e>sink' AS trail",
-    "unreleased_resources": "SELECT * FROM (VALUES ('a.py', 2, 'file'), ('a.py', 11, 'file'), ('a.py', 13, 'file'), ('a.go', 1, 'file'), ('a.cpp', 1, 'thread'), ('a.cpp', 4, 'memory'), ('a.cs', 1, 'disposable')) AS t(path, line_no, kind)",
-    "narrowed_values": "SELECT * FROM (VALUES ('use.java', 4, 'a'), ('use.rs', 4, 'x'), ('use.swift', 4, 'x')) AS t(path, line_no, name)",
-    "dropped_work": "SELECT * FROM (VALUES ('a.cs', 1, 'SaveAsync'), ('a.js', 1, 'fetch'), ('a.rs', 1, 'tokio::spawn')) AS t(path, line_no, name)",
-    "hook_dependencies": "SELECT * FROM (VALUES ('a.jsx', 'load', 'other'), ('b.jsx', '', '')) AS t(path, missing, unused)",
-    "unpinned_manifests": "SELECT * FROM (VALUES ('requirements.txt', 'python', 1, 'flask'), ('requirements.txt', 'python', 2, 'x==1'), ('requirements.txt', 'python', 3, '# c'), ('requirements.txt', 'python', 4, 'y>=2'), ('src/go.mod', 'golang', 1, 'module m'), ('src/go.mod', 'golang', 2, 'require a v1.2.3')) AS t(path, lang, line_no, line)",
+    "named_paths": "SELECT DISTINCT trim(n_name) AS path FROM nation",
+    "chosen_languages": f"SELECT name, lang FROM {_SIZES} s, (VALUES ('all'), ('only'), ('without')) AS t(name) WHERE name = 'all' OR name = 'only' AND lang IN ('golang', 'js') OR name = 'without' AND lang NOT IN ('golang', 'ruby')",
+    "rule_selection": f"WITH {_CATALOGUE}, s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS name, lang FROM cat WHERE {where}" for name, (_, where) in _CONFIGS.items()) + f") SELECT name, lang, n, n_files FROM (SELECT name, lang, count(*) AS n FROM s GROUP BY name, lang) JOIN {_SIZES} z USING (lang)",
+    "rule_listing": f"WITH {_CATALOGUE} SELECT * FROM cat JOIN {_SIZES} z USING (lang)",
+    "rule_variants": f"SELECT {_text(rules()[0].rule_id)} || '-' || lang AS rule_id, lang, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY lang",
+    "masked_code": "SELECT path, code, true AS same_length FROM (" + _made([(lang, lang, text) for lang, text, _ in _MASKED], [(lang, want) for lang, _, want in _MASKED], "path, code") + ")",
+    "block_regions": _made(_BLOCKS, [("a.rs", "async", 1, 6), ("a.rs", "closure", 3, 5), ("a.rs", "function", 7, 9), ("a.py", "async", 1, 3), ("a.py", "loop", 2, 3), ("a.py", "try", 4, 7), ("a.py", "catch", 6, 7), ("a.js", "loop", 1, 5), ("a.js", "if", 2, 4)], "path, kind, s_line, e_line"),
+    "blocking_calls": _made(_BLOCKS, [("a.rs", "hot", 2), ("a.rs", "outside", 8)], 'path, "where", s_line'),
+    "syntax_matches": _made(_PARSED, [("a.py", f"py.{rule}", n) for rule, n in (("bare_except", 10), ("deep_access", 2), ("division", 3), ("division", 4), ("except_pass", 10), ("finally_exit", 16), ("is_literal", 5), ("json_unguarded", 12), ("mutated_loop", 7), ("eq_none", 17))], "path, rule_id, s_line"),
+    "request_flows": _made(_FLOWING, [(f"{lang}.flow.{family}/bad", n) for lang, family, n, _, _ in _FLOWS], "path, line_no"),
+    "flow_rounds": _made(_CHAINS, [("a.py", 1, "d>e>sink")], "path, line_no, trail"),
+    "unreleased_resources": _made(_RESOURCES, [("a.py", 2, "file"), ("a.py", 11, "file"), ("a.py", 13, "file"), ("a.go", 1, "file"), ("a.cpp", 1, "thread"), ("a.cpp", 4, "memory"), ("a.cs", 1, "disposable")], "path, line_no, kind"),
+    "narrowed_values": _made(_GUARDS, [("use.java", 4, "a"), ("use.rs", 4, "x"), ("use.swift", 4, "x")], "path, line_no, name"),
+    "dropped_work": _made(_STARTED, [("a.cs", 1, "SaveAsync"), ("a.js", 1, "fetch"), ("a.rs", 1, "tokio::spawn")], "path, line_no, name"),
+    "hook_dependencies": _made(_HOOKED, [("a.jsx", "@", "other"), ("b.jsx", "", "")], "path, missing, unused"),
+    "unpinned_manifests": _made(_MANIFESTS, [("requirements.txt", "python", 1, "flask"), ("requirements.txt", "python", 2, "@==1"), ("requirements.txt", "python", 3, "# c"), ("requirements.txt", "python", 4, "y>=2"), ("src/go.mod", "golang", 1, "module m"), ("src/go.mod", "golang", 2, "require @ v1.2.3")], "path, lang, line_no, line"),
     "match_stream": "SELECT 'r' AS rule_id, 'p' || page_id AS path, (page_id % 9 + 1)::INT AS s_line, 3 AS s_col, (page_id % 9 + 2)::INT AS e_line, 1 AS e_col FROM pages",
-    "property_lists": "SELECT 'Info.plist' AS path, key, value FROM (VALUES ('A.B', 'true'), ('C', '\"x\"')) AS t(key, value)",
+    "property_lists": _made(_LISTS, [("Info.plist", "A.B", "true"), ("Info.plist", "C", '"@"')], "path, key, value"),
     "notebooks": "SELECT 2 AS cells, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS with_output, count(*) AS n FROM documents GROUP BY 2",
     "report_counts": "SELECT s_suppkey::VARCHAR AS path, 1::BIGINT AS files, (s_suppkey % 2 = 0)::BIGINT AS critical, 1 + (s_suppkey % 3 = 0)::BIGINT AS warning, (s_suppkey % 2 <> 0)::BIGINT + (s_suppkey % 3 <> 0)::BIGINT AS info FROM supplier",
     "text_totals": f"{_ALL}, {_SUMMARY}, t AS (SELECT sum(files)::BIGINT AS \"Files\", sum(critical)::BIGINT AS \"Critical\", sum(warning)::BIGINT AS \"Warning\", sum(info)::BIGINT AS \"Info\" FROM summary) SELECT name || ': ' || v AS line FROM (UNPIVOT t ON \"Files\", \"Critical\", \"Warning\", \"Info\" INTO NAME name VALUE v) UNION ALL SELECT '[' || severity || '] ' || lang || ' ' || rule_id || ' (' || n || '): ' || title || '. Look at it' FROM {_FINDING_LINES}",

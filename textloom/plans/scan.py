@@ -13,11 +13,11 @@ from ..functions.source import plist_settings, python_matches, regex_matches, re
 from ..functions.text import explode_lines
 from ..operators.aggregate import at_least, counts, difference, exit_code, findings, matrix, samples, summary, totals
 from ..operators.correlate import dependency_gaps, in_context, outside, risky_divisions
+from ..operators.dataflow import FAMILIES, python_flows
 from ..operators.flow import flow_specs, flows
 from ..operators.lifecycle import DROPPED, NARROWINGS, hooks, issues
 from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
 from ..operators.prune import before_tests, detected_languages, module_edges, outside_test_directories, prune, test_only_modules, without
-from ..operators.visit import VISIT_SPECS, ordered_flows, sql_texts
 from ..sources import sinks
 from ..sources.steps import spread, step
 from ..sources.tree import manifest_lines
@@ -63,8 +63,8 @@ SETTINGS: list[tuple[Rule, str, str]] = [
     (Rule("swift.plist.debuggable", "swift", 7, "setting", "", "", ALWAYS_WARNING, "A debugger may attach to the release", "Leave the entitlement to development builds"), r"(^|\.)(com\.apple\.security\.)?get-task-allow$", "true"),
     (Rule("swift.plist.file_sharing", "swift", 7, "setting", "", "", ALWAYS_INFO, "Documents are shared with the desktop", "Check that none is private"), r"^UIFileSharingEnabled$", "true"),
 ]
-#: Flows in the order of the file, graded SQL texts, lists of a hook's dependencies.
-ORDERED: list[Rule] = [Rule(s.rule_id, "python", s.category, "ordered", "", "", ALWAYS_CRITICAL, s.title, "Check the value before it is used") for s in VISIT_SPECS]
+#: Flows along definitions and uses, graded SQL texts, lists of a hook's dependencies.
+ORDERED: list[Rule] = [Rule(f"python.ordered.{f.name}", "python", 7, "ordered", "", "", ALWAYS_CRITICAL, f.title, "Check the value before it is used") for f in FAMILIES]
 SQL_TEXTS: list[Rule] = [
     Rule("python.sql_text.tainted", "python", 7, "sql_text", "", "", ALWAYS_CRITICAL, "SQL is put together from values", "Pass them as parameters"),
     Rule("python.sql_text.unknown", "python", 7, "sql_text", "", "", ALWAYS_WARNING, "SQL is put together from parts of unknown origin", "Pass them as parameters"),
@@ -186,7 +186,8 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         add(placed(found.select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule_id for r in by["match"]})
     if by.get("context"):
         wanted = [c for c in CONTEXTUAL if c[0] in by["context"]]
-        found, blocks = regex_matches(texts, {r.rule_id: (r.lang, p) for r, p, *_ in wanted}), regions(texts)
+        # Written once: each rule's join reads rows, and does not match the texts again.
+        found, blocks = step(regex_matches(texts, {r.rule_id: (r.lang, p) for r, p, *_ in wanted})), step(regions(texts))
         parts = [in_context(found.where(F.col("rule_id") == r.rule_id), blocks, kinds, cold, header) for r, _, kinds, cold, header in wanted]
         add(placed(reduce(DataFrame.unionByName, parts).select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule_id for r in by["context"]})
     if by.get("flow"):
@@ -197,12 +198,10 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         found = issues(texts).withColumnRenamed("lang", "_lang")
         name = F.when(F.col("kind") == "narrowing", ".narrowing").when((F.col("kind") == "dropped") | (F.col("_lang") == "python") & (F.col("kind") == "task"), ".async.dropped").otherwise(".lifecycle.named")
         add(placed(found.select(F.concat("_lang", name).alias("rule_id"), "path", "line_no", F.col("message").alias("code"))), {r.rule_id for r in by["issue"]})
-    if by.get("ordered"):
-        ids = {r.rule_id for r in by["ordered"]}
-        found = ordered_flows(texts, tuple(s for s in VISIT_SPECS if s.rule_id in ids), config.markers)
-        add(placed(found.select("rule_id", "path", "line_no", "code")), ids)
-    if by.get("sql_text"):
-        add(placed(sql_texts(texts)), {r.rule_id for r in by["sql_text"]})
+    if ids := {r.rule_id for kind in ("ordered", "sql_text") for r in by.get(kind, [])}:
+        # Markers are looked at below, as for all kinds.
+        found = python_flows(texts, ()).select("rule_id", "path", "line_no", F.concat_ws("  # ", "code", F.array_join("trail", " -> ")).alias("code"))
+        add(placed(found), ids)
     if by.get("hook"):
         gaps = dependency_gaps(hooks(texts))
         each = F.explode(F.array(*[F.struct(F.lit(f"js.hooks.{k}").alias("rule_id"), F.array_join(k, ", ").alias("code")) for k in ("missing", "unused")])).alias("x")
