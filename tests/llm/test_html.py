@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from textloom.llm.html_blocks import CONTEXT, blocks
-from textloom.llm.html_extract import _sample_page, block_features, extract_pages, main_text, minimum_cut, trained
+from textloom.llm.html_extract import _sample_page, edges, extract_pages, page_features, main_text, minimum_cut, trained
 
 
 def cost(gains, links, labels):
@@ -43,6 +43,65 @@ def test_article_of_a_page():
     assert main_text(html) == "Title of it First <paragraph> of the article, with a few words in it. Short one. an item"
 
 
+_PLAIN = "<p>The first sentence stands here. It is plain.</p><p>Another one follows, and it is plain too.</p>"
+
+
+@pytest.mark.parametrize("tag", ['article class="read-more widget"', 'div class="article related-content"', 'div class="post tags-open"', 'div class="sidebar"', 'main id="popular comments"', "div", 'section class="x-17 u"'])
+def test_text_overrules_names(tag):
+    """An article stays whatever its class says, and notices and comments go whatever theirs do not say."""
+    article = f"<{tag}>{_PLAIN}</{tag.split()[0]}>"
+    want = "The first sentence stands here. It is plain. Another one follows, and it is plain too."
+    assert main_text(article) == want
+    assert main_text(f"<nav><a href=/>Home</a><a href=/x>More</a></nav>{article}<footer>&copy; site</footer>") == want
+    others = "<div class='x9'><p>We use cookies. Please accept our privacy terms.</p></div><div class=u7><div><p>Nice, thanks for this. reply</p></div><div><p>Anna says: I do not agree. reply</p></div></div>"
+    assert main_text(f"<h1>Title of it</h1>{article}{others}").endswith(want)
+
+
+def test_an_article_may_speak_of_cookies():
+    page = "<article><h1>How cookies work</h1><p>A cookie is a small text that a site keeps, and privacy laws want your consent to it.</p><p>She said that most of them live for a day.</p><p>The comments of the committee were short.</p></article>"
+    assert main_text(page).startswith("How cookies work A cookie is") and main_text(page).endswith("were short.")
+
+
+def test_reading_takes_linear_time():
+    import time
+
+    for page in ("<![CDATA[" * 20_000, '<a "' * 50_000, "<div>" * 60_000 + "x", "<div>" * 3000 + "<p>x</p>" * 20_000, "<!--" * 50_000, "<a href='%d'>" * 30_000):
+        began = time.process_time()
+        blocks(page)
+        assert time.process_time() - began < 3, page[:20]
+    assert [b.text for b in blocks("<p>a<![CDATA[b]]>c</p><![CDATA[d <p>e")] == ["abc", "e"]
+    from textloom.llm.html_blocks import _word_bits
+
+    before = _word_bits.cache_info().currsize
+    blocks("".join(f'<a href="/{k}">x</a>' for k in range(5000)))
+    assert _word_bits.cache_info().currsize <= before + 1 and _word_bits.cache_info().maxsize
+
+
+def test_edges_are_exact_at_any_depth():
+    """Depths and common ancestors agree with the paths of a plain reading."""
+    rng = random.Random(8)
+    for _ in range(60):
+        html, path, made, want = "", [], 0, []
+        for k in range(60):
+            if path and rng.random() < 0.4:
+                html += "</div>"
+                path.pop()
+            else:
+                html += "<div>"
+                made += 1
+                path.append(made)
+            if rng.random() < 0.5:
+                html += f"t{k}"
+                want.append(list(path))
+        found, merged = blocks(html), []
+        texts = re.findall(r"t\d+", " ".join(b.text for b in found))
+        assert len(texts) == len(want)
+        for b, p in zip(found, want):
+            assert b.depth == len(p) and b.home == (p[-1] if p else 0)
+        for (x, p), q in zip(zip(found[1:], want[1:]), want):
+            assert x.shared == sum(1 for a, c in itertools.takewhile(lambda t: t[0] == t[1], zip(p, q)))
+
+
 def test_held_out_blocks():
     weights, bias = trained()
     rng = np.random.default_rng(77)
@@ -50,9 +109,7 @@ def test_held_out_blocks():
     for _ in range(150):
         html, labels = _sample_page(rng)
         found = blocks(html)
-        from textloom.llm.html_extract import edges
-
-        gains = [int(1000 * (bias + np.dot(weights, block_features(b)))) for b in found]
+        gains = [int(1000 * (bias + np.dot(weights, row))) for row in page_features(found)]
         got = minimum_cut(gains, edges(found))
         right += sum(a == b for a, b in zip(got, labels))
         total += len(labels)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 from html import unescape
 
 #: Elements by their role in a page; fixed values.
@@ -51,37 +51,60 @@ _BY_WORD = {w: _BIT[part] for part, words in WORDS.items() for w in words.split(
 #: ARIA roles whose name is not in WORDS; fixed values.
 _ROLES = {"complementary": "side", "contentinfo": "foot", "dialog": "notice", "alertdialog": "notice"}
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<data>.*?)\]\]>|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|[!?/][^>]*+>)""", re.S)
+_COMMENT, _DATA = r"(?P<open>!--).*?(?:-->|\Z)", r"!\[CDATA\[(?P<data>.*?)\]\]>"
+_MARKUP = r"""(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|[!?/][^>]*+>"""
+_TAG = re.compile(rf"<(?:{_COMMENT}|{_DATA}|{_MARKUP})", re.S)
+#: Where no CDATA section ends any more, none begins.
+_TAG_ONLY = re.compile(rf"<(?:{_COMMENT}|(?P<data>(?!))|{_MARKUP})", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: Block elements that a path tells apart; the ones deeper than this share the path of their ancestor.
-_PATH = 400
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block, its context bits, the numbers of its open elements from the root down, and its text inside links."""
+    """Text of one block with where it stands.
+
+    ``context`` has the bits of the elements around it, ``named`` those of words in their class, id and role, ``naming`` the place of the
+    innermost element with such a word and its bits. ``home`` and ``container`` are
+    numbers of the innermost block element and of the one around that, ``outer`` of the next one; ``depth`` counts the block elements around it, ``shared`` those
+    that are around the block before it too; ``linked`` is the length of its text inside links.
+    """
 
     text: str
     context: int
-    path: tuple[int, ...]
+    named: int
+    naming: tuple[int, int]
+    home: int
+    container: int
+    outer: int
+    depth: int
+    shared: int
     linked: int
 
 
-@cache
-def _attribute_bits(attrs: str) -> int:
+@lru_cache(maxsize=20_000)
+def _word_bits(value: str) -> int:
+    """Bits of the words in one value of a class, id or role."""
     bits = 0
+    for word in value.split():
+        for part in {word, *_SPLIT.split(word)}:
+            bits |= _BY_WORD.get(part, 0)
+    return bits
+
+
+def _attribute_bits(attrs: str) -> tuple[int, int]:
+    """Context bits and named bits of a start tag; only what stands in class, id and role is remembered, up to a bound."""
+    bits = named = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display:\s*none|visibility:\s*hidden", value):
             bits |= _BIT["hidden"]
         elif name in ("class", "id", "role"):
-            for word in value.split():
-                for part in {word, *_SPLIT.split(word)}:
-                    bits |= _BY_WORD.get(part, 0)
-                if name == "role" and word in _ROLES:
-                    bits |= _BIT[_ROLES[word]]
-    return bits
+            named |= (_word_bits if len(value) < 500 else _word_bits.__wrapped__)(value)
+            if name == "role":
+                for word in value.split():
+                    bits |= _BIT[_ROLES[word]] if word in _ROLES else 0
+    return bits, named
 
 
 def blocks(html: str) -> list[Block]:
@@ -98,20 +121,24 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
     """Blocks, and where the hidden elements without an end tag start; those in ``shown`` do not hide their text."""
     out: list[Block] = []
     unclosed: list[int] = []
-    names, bits, paths, links, mute, starts = ["#root"], [0], [()], [0], [False], [0]
+    names, bits, named, homes, links, mute, starts = ["#root"], [0], [(0, (0, 0))], [(0, 0, 0, 0)], [0], [False], [0]
+    low = 0  # the least number of block elements that were open since the last block
     where: dict[str, list[int]] = {}  # depths of the open elements by name
     hiding = [0]  # depths of the open hidden elements
     parts: list[tuple[str, bool]] = []
     at, made = 0, 0
 
     def flush() -> None:
+        nonlocal low
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 top = len(names) - 1
                 while mute[top]:
                     top -= 1
-                out.append(Block(text, bits[top], paths[top], sum(len("".join(t.split())) for t, inside in parts if inside)))
+                home, container, outer, depth = homes[top]
+                out.append(Block(text, bits[top], *named[top], home, container, outer, depth, min(low, depth), sum(len("".join(t.split())) for t, inside in parts if inside)))
+                low = depth
             parts.clear()
 
     def close(depth: int, ended: bool = False) -> None:
@@ -123,26 +150,31 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
                 hiding.pop()
                 if names[k] != "option" and not (ended and k == depth):
                     unclosed.append(starts[k])
-        del names[depth:], bits[depth:], paths[depth:], links[depth:], mute[depth:], starts[depth:]
+        nonlocal low
+        del names[depth:], bits[depth:], named[depth:], homes[depth:], links[depth:], mute[depth:], starts[depth:]
+        low = min(low, homes[-1][3])
 
     def last(*wanted: str) -> int:
         """Depth of the innermost open element of these names, or 0."""
         return max(open_[-1] if (open_ := where.get(x)) else 0 for x in wanted)
 
-    def push(name: str, bit: int, path: tuple[int, ...], link: int, muted: bool, start: int) -> None:
+    def push(name: str, bit: int, words: tuple[int, tuple[int, int]], home: tuple[int, int, int, int], link: int, muted: bool, start: int) -> None:
         where.setdefault(name, []).append(len(names))
         if name in HIDDEN:
             hiding.append(len(names))
         names.append(name)
         bits.append(bit)
-        paths.append(path)
+        named.append(words)
+        homes.append(home)
         links.append(link)
         mute.append(muted)
         starts.append(start)
 
     size = len(html)
+    limit = html.rfind(">") + 1  # no tag ends behind it
+    data_end = html.rfind("]]>")
     while at < size:
-        m = _TAG.search(html, at)
+        m = (_TAG if at <= data_end else _TAG_ONLY).search(html, at, limit) if at < limit else None
         if not mute[-1]:
             text = html[at:] if m is None else html[at : m.start()]
             if text:
@@ -150,6 +182,8 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
         if m is None:
             break
         at = m.end()
+        if m["open"] is not None and html[max(m.start() + 4, at - 3) : at] != "-->":
+            break  # a comment without an end runs to the end of the page
         if m["data"] is not None and not mute[-1]:
             parts.append((m["data"], links[-1] > 0))
         if not m["name"]:
@@ -186,7 +220,6 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
                 flush()
             continue
         if name == "body":
-            bits[-1] |= 0
             continue
         if slash and (name == "svg" or last("svg", "math")):
             if not mute[-1]:
@@ -195,7 +228,7 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
         if name in HIDDEN:
             if not mute[-1]:
                 parts.append((" ", False))
-            push(name, bits[-1], paths[-1], links[-1], mute[-1] or m.start() not in shown, m.start())
+            push(name, bits[-1], named[-1], homes[-1], links[-1], mute[-1] or m.start() not in shown, m.start())
             continue
         inside = hiding[-1]
         if name not in KEEPS_PARAGRAPH and (depth := last("p")) > inside:
@@ -209,10 +242,10 @@ def _read(html: str, shown: frozenset[int]) -> tuple[list[Block], list[int]]:
             if not mute[-1]:
                 flush()
             made += 1
-        own = _attribute_bits(attrs) if attrs else 0
+        own, words = _attribute_bits(attrs) if attrs else (0, 0)
         bit = bits[-1] | own if inline else (bits[-1] & ~_OWN) | own | _BIT.get(TAGS.get(name, ""), 0)
-        path = paths[-1] if inline or len(paths[-1]) >= _PATH else (*paths[-1], made)
-        push(name, bit, path, links[-1] + (name == "a"), mute[-1], m.start())
+        home = homes[-1] if inline else (made, homes[-1][0], homes[-1][1], homes[-1][3] + 1)
+        push(name, bit, (named[-1][0] | words, (m.start(), words)) if words else named[-1], home, links[-1] + (name == "a"), mute[-1], m.start())
     close(1)
     flush()
     return out, unclosed

@@ -7,7 +7,7 @@ nearer they are in the DOM. The minimum cut, found by maximum flow, is the label
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .html_blocks import CONTEXT, Block, blocks
+from .html_blocks import CONTEXT, WORDS, Block, blocks
 from .quality import logistic
 
 #: Cost of a border between adjacent blocks, and between successive blocks of one container, when nearest in the DOM.
@@ -25,19 +25,64 @@ ADJACENT, CONTAINER = 0.6, 0.4
 _UNIT = 1000  # capacities are whole thousandths
 
 
-def block_features(block: Block) -> list[float]:
-    """Context, length, links and punctuation of a block."""
-    n, words = len(block.text), block.text.count(" ") + 1
-    ends = sum(block.text.count(c) for c in ".!?;,")
-    return [*(float(block.context >> k & 1) for k in range(len(CONTEXT))), min(np.log1p(words) / 4, 2.0), min(1.0, block.linked / n), min(1.0, 4 * ends / words), float("©" in block.text or "all rights" in block.text.lower())]
+#: Words that notices and reader comments are full of; fixed values.
+NOTICE_WORDS = frozenset("cookie cookies consent accept privacy gdpr subscribe newsletter login datenschutz einwilligung akzeptieren einverstanden accepter confidentialité consentement aceptar privacidad consentimiento".split())
+COMMENT_WORDS = frozenset("reply replies comment comments says wrote posted ago upvote antworten kommentar répondre commentaire responder comentario".split())
+_NAMED = tuple(CONTEXT.index(x) for x in WORDS)
+
+
+def page_features(found: list[Block]) -> list[list[float]]:
+    """Features of each block: the elements around it, words in their names, its text, and its container's part of the page's sentences.
+
+    The last ones let text overrule names: an element that holds most of a page's sentences is its article, whatever it is called.
+    """
+    sentences: Counter[int] = Counter()
+    members: Counter[int] = Counter()
+    heads: set[int] = set()
+    kin: dict[int, set[int]] = {}
+    called: Counter[tuple[int, int]] = Counter()
+    plain, heading = [], CONTEXT.index("heading")
+    for b in found:
+        n = max(0, len(b.text) - 2 * b.linked) if b.text[-1] in ".!?:…»\"'" or sum(map(b.text.count, ".!?")) else 0
+        plain.append(n)
+        for c in {b.container, b.outer}:
+            sentences[c] += n
+        members[b.container] += 1
+        called[b.naming] += n
+        kin.setdefault(b.outer, set()).add(b.container)
+        if b.context >> heading & 1:
+            heads |= {b.container}
+    total = sum(plain) + 1
+    best = max((b.container for b in found), key=lambda c: sentences[c], default=0)
+    last = max((k for k, b in enumerate(found) if best in (b.container, b.outer)), default=0)
+    out = []
+    for k, b in enumerate(found):
+        words = b.text.lower().split()
+        ends = sum(b.text.count(c) for c in ".!?;,")
+        bare = [w.strip(".,:;!?()") for w in words]
+        part = sentences[b.container] / total
+        out.append([
+            *(float(b.context >> j & 1) for j in range(len(CONTEXT))), *(float(b.named >> j & 1) for j in _NAMED), *((b.naming[1] >> j & 1) * (1 - called[b.naming] / total) for j in _NAMED),
+            min(np.log1p(len(words)) / 4, 2.0), min(1.0, b.linked / len(b.text)), min(1.0, 4 * ends / len(words)), float("©" in b.text or "all rights" in b.text.lower()),
+            part, float(part > 0.5), sentences[b.outer] / total, float(b.container in heads), float(k > last),
+            min(1.0, 8 * sum(w in NOTICE_WORDS for w in bare) / len(words)), min(1.0, 8 * sum(w in COMMENT_WORDS for w in bare) / len(words)), float(members[b.container] <= 3 and len(kin[b.outer]) > 1), min(1.0, plain[k] / 400),
+        ])
+    return out
+
+
+@cache
+def _stock() -> list[str]:
+    """Made-up words of 1 to 10 letters."""
+    rng, letters = np.random.default_rng(5), np.array(list("abcdefghijklmnoprstuvwz"))
+    return ["".join(letters[rng.integers(0, len(letters), n)]) for n in rng.integers(1, 11, 5000).tolist()]
 
 
 def _sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     """A made-up page and whether each of its blocks is content."""
-    letters = "abcdefghijklmnoprstuvwz"
+    stock = _stock()
 
     def words(lo: int, hi: int) -> str:
-        return " ".join("".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(1, 11))) for _ in range(rng.integers(lo, hi)))
+        return " ".join([stock[k] for k in rng.integers(0, len(stock), int(rng.integers(lo, hi))).tolist()])
 
     def sentences(n: int) -> str:
         return " ".join(words(3, 22).capitalize() + "." for _ in range(n))
@@ -45,37 +90,60 @@ def _sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     def pick(*options: str) -> str:
         return options[rng.integers(0, len(options))]
 
+    def talk(said: frozenset[str], n: int) -> str:
+        """Sentences with some words of a kind in them."""
+        text = sentences(n).split()
+        for _ in range(rng.integers(1, 2 + n)):
+            text.insert(int(rng.integers(0, len(text))), pick(*sorted(said)))
+        return " ".join(text)
+
+    def pick_words() -> frozenset[str]:
+        return NOTICE_WORDS if rng.random() < 0.5 else COMMENT_WORDS
+
+    names = [w for words_ in WORDS.values() for w in words_.split()]
+
+    def named(*usual: str) -> str:
+        """A class or id: what is usual for a part, a name that says nothing, or none."""
+        x = rng.random()
+        if x < 0.6:
+            return f' {pick("class", "class", "id")}="{pick(*usual)}"'
+        return "" if x < 0.8 else f' class="{words(1, 3).lower()} {pick("c", "box", "u", "sc")}-{rng.integers(0, 99)}"'
+
     out: list[tuple[str, list[bool]]] = []
 
     def links(tag: str) -> tuple[str, list[bool]]:
         n = int(rng.integers(2, 8))
         return f"<{tag}><ul>" + "".join(f'<li><a href="/x">{words(1, 4)}</a></li>' for _ in range(n)) + f"</ul></{tag.split()[0]}>", [False] * n
 
-    def junk() -> tuple[str, list[bool]]:
-        kind = rng.integers(0, 9)
+    def junk(kind: int | None = None) -> tuple[str, list[bool]]:
+        kind = rng.integers(0, 9) if kind is None else kind
         if kind == 0:
-            return links(pick("nav", 'div class="menu"', 'div id="navbar"', 'aside class="sidebar"', 'div class="related-posts"', 'div class="share"'))
+            return links(pick("nav", 'div' + named("menu", "navbar", "related-posts", "share"), 'aside class="sidebar"'))
         if kind == 1:
             return f"<{(t := pick('header', 'footer'))}><p>{pick('&copy; ', '')}{words(2, 12)}</p></{t}>", [False]
-        if kind == 2:
-            return f'<div class="{pick("ad", "advert", "ads banner", "sponsored", "promo")}">{sentences(int(rng.integers(1, 4)))}</div>', [False]
+        if kind == 2:  # inside of articles too
+            return f'<div {pick('class="ad"', 'class="advert"', 'class="ads banner"', 'class="sponsored"', 'id="promo"', "hidden", 'style="display:none"')}>{sentences(int(rng.integers(1, 4)))}</div>', [False]
         if kind == 3:
-            return f'<div class="{pick("cookie-notice", "consent", "newsletter", "alert", "popup")}"><p>{sentences(int(rng.integers(1, 4)))}</p></div>', [False]
+            n = int(rng.integers(1, 3))
+            return f'<div{named("cookie-notice", "consent", "newsletter", "alert", "popup")}>' + "".join(f"<p>{talk(NOTICE_WORDS, int(rng.integers(1, 4)))}</p>" for _ in range(n)) + "</div>", [False] * n
         if kind == 4:
             return f"<form><label>{words(1, 4)}</label><input><p>{words(2, 12)}</p><button>{words(1, 3)}</button></form>", [False, False, False]
         if kind == 5:
             n = int(rng.integers(1, 5))
-            return f'<{(t := pick("section", "div"))} class="{pick("comments", "comment-list", "disqus")}">' + "".join(f"<div><p>{sentences(int(rng.integers(1, 5)))}</p></div>" for _ in range(n)) + f"</{t}>", [False] * n
+            return f'<{(t := pick("section", "div"))}{named("comments", "comment-list", "disqus", "replies")}>' + "".join(f"<div><p>{talk(COMMENT_WORDS, int(rng.integers(1, 5)))}</p></div>" for _ in range(n)) + f"</{t}>", [False] * n
         if kind == 6:
             return f"<aside><p>{sentences(int(rng.integers(1, 4)))}</p></aside>", [False]
         if kind == 7:
             return f'<div class="{pick("breadcrumb", "tags", "social")}"><a href="/">{words(1, 3)}</a> <a href="/y">{words(1, 3)}</a></div>', [False]
-        return f'<div id="{pick("footer", "header", "topbar", "bottom")}">{words(2, 14)}</div>', [False]
+        return f'<div{named("footer", "header", "topbar", "bottom")}>{words(2, 14)}</div>', [False]
 
     def article() -> tuple[str, list[bool]]:
         tag = pick("article", "article", "main", 'div class="content"', 'div id="post"', 'div class="article-body"', "div", 'section class="story"')
-        inner, labels = [f"<h1>{words(3, 11)}</h1>"], [True]
-        for _ in range(rng.integers(1, 9)):
+        if rng.random() < 0.35:  # names that mislead, alone or beside a right one
+            wrong = " ".join(pick(*names) for _ in range(rng.integers(1, 3)))
+            tag = pick(f'article class="{wrong}"', f'div class="{pick("article", "post", "content", "story")} {wrong}"', f'main id="{wrong}"', f'article class="{pick("read", "open", "has", "top")}-{wrong}"')
+        inner, labels = ([f"<h1>{words(3, 11)}</h1>"], [True]) if rng.random() < 0.85 else ([], [])
+        for _ in range(rng.integers(1, 9) + (not inner)):
             kind = rng.integers(0, 9)
             if kind == 0:
                 inner.append(f"<h2>{words(2, 7)}</h2>")
@@ -87,16 +155,21 @@ def _sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
             elif kind == 2:
                 inner.append(f'<p>{words(3, 9)} <a href="/z">{words(1, 5)}</a> {sentences(1)}</p>')
                 labels.append(True)
-            elif kind == 3 and rng.random() < 0.5:
-                more, marks = junk()
+            elif kind in (3, 5):
+                more, marks = junk(2 if rng.random() < 0.6 else None)
                 inner.append(more)
                 labels += marks
             elif kind == 4:
                 inner.append(f"<p>{words(1, 6).capitalize()}.</p>")
                 labels.append(True)
             else:
-                inner.append(f"<p>{sentences(int(rng.integers(1, 7)))}</p>")
+                n = int(rng.integers(1, 7))
+                # Articles speak of such things too.
+                inner.append(f"<p>{talk(pick_words(), n) if rng.random() < 0.3 else sentences(n)}</p>")
                 labels.append(True)
+        if not any(x.startswith("<p") for x in inner):
+            inner.append(f"<p>{sentences(2)}</p>")
+            labels.append(True)
         return f"<{tag}>" + "".join(inner) + f"</{tag.split()[0]}>", labels
 
     out += [junk() for _ in range(rng.integers(1, 4))]
@@ -106,7 +179,7 @@ def _sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
 
 @cache
-def trained(seed: int = 11, pages: int = 800) -> tuple[tuple[float, ...], float]:
+def trained(seed: int = 11, pages: int = 900) -> tuple[tuple[float, ...], float]:
     """Weights and bias of the block classifier, a logistic regression fitted on made-up pages; the same for every input."""
     rng = np.random.default_rng(seed)
     x, y = [], []
@@ -114,7 +187,7 @@ def trained(seed: int = 11, pages: int = 800) -> tuple[tuple[float, ...], float]
         html, labels = _sample_page(rng)
         found = blocks(html)
         if len(found) == len(labels):
-            x += [block_features(b) for b in found]
+            x += page_features(found)
             y += labels
     model = logistic(np.array(x), np.array(y, float))
     w = model.weights[1:] / model.scale
@@ -124,25 +197,19 @@ def trained(seed: int = 11, pages: int = 800) -> tuple[tuple[float, ...], float]
 def edges(found: list[Block]) -> dict[tuple[int, int], int]:
     """Smoothness edges and their capacities."""
     out: dict[tuple[int, int], int] = {}
-    last: dict[tuple[int, ...], int] = {}
-
-    def join(i: int, j: int, weight: float) -> None:
-        a, b = found[i].path, found[j].path
-        shared = 0
-        for x, y in zip(a, b, strict=False):
-            if x != y:
-                break
-            shared += 1
-        capacity = int(_UNIT * weight * (1 + shared) / (1 + max(len(a), len(b))))
+    last: dict[int, int] = {}
+
+    def join(i: int, j: int, shared: int, weight: float) -> None:
+        capacity = int(_UNIT * weight * (1 + shared) / (1 + max(found[i].depth, found[j].depth)))
         if capacity:
             out[i, j] = out.get((i, j), 0) + capacity
 
     for j, block in enumerate(found):
         if j:
-            join(j - 1, j, ADJACENT)
-        if (i := last.get(block.path[:-1])) is not None:
-            join(i, j, CONTAINER)
-        last[block.path[:-1]] = j
+            join(j - 1, j, block.shared, ADJACENT)
+        if (i := last.get(block.container)) is not None:
+            join(i, j, block.depth - (found[i].home != block.home), CONTAINER)
+        last[block.container] = j
     return out
 
 
@@ -229,7 +296,7 @@ def _extract(html: str, weights: tuple[float, ...], bias: float) -> str:
     found = blocks(html)
     if not found:
         return ""
-    gains = [int(_UNIT * (bias + sum(w * x for w, x in zip(weights, block_features(b), strict=True) if x))) for b in found]
+    gains = [int(_UNIT * (bias + sum(w * x for w, x in zip(weights, row, strict=True) if x))) for row in page_features(found)]
     keep = minimum_cut(gains, edges(found))
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
