@@ -6,6 +6,7 @@ import pytest
 from textloom.config import ScanConfig
 from textloom.operators import prune as P
 from textloom.functions.syntax import parse
+from textloom.operators.ambiguity import _parser, _Positions, ambiguous
 from textloom.operators.dataflow import program_facts, python_flows
 from textloom.operators.structural import axis_counts, parents
 from textloom.plans.catalogue import Rule
@@ -185,3 +186,102 @@ def test_reports_in_every_format(spark):
             assert "1 further findings are not shown" in rows[0]
         elif kind in ("json", "jsonl", "sarif", "compact"):
             assert any("own.e2" in x for x in rows), kind
+
+
+def test_ambiguous_patterns():
+    for p in (r"(a+)+$", r"(a*)*", r"(a|aa)+$", r"(ab|a|b)*$", r"(\w+\s*)+:", r"(\d+,?)+$", r"(.*)*x", r"([a-z]+)*\d", r"^(([a-z])+.)+[A-Z]([a-z])+$", r"(x+x+)+y"):
+        assert ambiguous(p), p
+    for p in (r"a+b+", r"(ab+)+", r"\w+@\w+\.com", r"(a|b)*c", r"^\d{3}-\d{4}$", r"(\w+,)+", r"(?:[a-z]+-)*[a-z]+", r"x*y*z*", r"(?>a+)+b", r"(foo|bar)+", "", r"(a{1,3}b)+"):
+        assert ambiguous(p) is False, p
+    assert ambiguous("(") is None and ambiguous(None) is None and ambiguous("a" * 5000) is False and ambiguous("(" * 3000) is None
+
+
+def test_ambiguity_is_what_a_matcher_runs_into():
+    """Over small random patterns, a loop is ambiguous if counting its readings of a text grows without bound."""
+    rng = random.Random(2)
+
+    def make(depth):
+        k = rng.randrange(6)
+        if depth == 0 or k < 2:
+            return rng.choice("ab")
+        if k == 2:
+            return f"(?:{make(depth - 1)}|{make(depth - 1)})"
+        if k == 3:
+            return f"{make(depth - 1)}{make(depth - 1)}"
+        return f"(?:{make(depth - 1)}){rng.choice('+*')}" if k == 4 else f"(?:{make(depth - 1)})?"
+
+    def readings(states, first, last, text):
+        """How many ways the automaton reads a text from a first state on."""
+        now = {p: 1 for p in first if states.sets[p] >> ord(text[0]) & 1}
+        for c in text[1:]:
+            new = {}
+            for (p, q), n in states.follow.items():
+                if p in now and states.sets[q] >> ord(c) & 1:
+                    new[q] = new.get(q, 0) + n * now[p]
+            now = new
+        return sum(now.values())
+
+    for _ in range(150):
+        pattern = f"(?:{make(3)})+"
+        states = _Positions()
+        _, first, last = states.sequence(_parser.parse(pattern))
+        texts = ["".join(rng.choice(x) for _ in range(60)) for x in ("a", "b", "ab")] + ["ab" * 30, "aab" * 20, "abb" * 20]
+        most = max(readings(states, first, last, t) for t in texts)
+        if most > 2**20:
+            assert ambiguous(pattern), pattern
+        elif not ambiguous(pattern):
+            assert most <= 60**4, pattern
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    for k, name in enumerate(("a.py", "x/b.py", "x/y/z/c.js", "x/y/_d.py", ".h/e.py", "node_modules/f.js", "x/notes.txt", "x/requirements.txt")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * k)
+    (tmp_path / "empty").mkdir()
+    listed = tree.listed_tree(spark, str(tmp_path))
+    want = {(r.path, r.n_bytes, r.text) for r in tree.read_tree(spark, str(tmp_path)).collect()}
+    assert {(r.path, r.n_bytes, r.text) for r in tree.read_listed(listed, str(tmp_path)).collect()} == want and len(want) == 6
+
+
+def test_sarif_in_parts(spark, tmp_path):
+    import json
+
+    own = [Rule(f"own.e{k}", "python", 1, "line", "eval", "", ((0, "critical"),), "e", "") for k in (1, 2)]
+    result = scan(spark.createDataFrame([(f"d{k}.py", "eval(1)\neval(2)\n") for k in range(20)], "path string, text string"), ScanConfig(rule_globs=("own.*",)), own)
+    sinks.write_sarif(result.occurrences, result.findings, str(tmp_path / "s"), per_file=7)
+    (log,) = (json.loads(p.read_text()) for p in (tmp_path / "s" / "log").glob("part-*"))
+    (run,) = log["runs"]
+    assert run["tool"]["driver"]["name"] == "textloom-python"
+    got = []
+    for ref in run["externalPropertyFileReferences"]["results"]:
+        part = json.loads((tmp_path / "s" / ref["location"]["uri"]).read_text())
+        assert part["guid"] == ref["guid"] and len(part["results"]) == ref["itemCount"] <= 7
+        got += [(r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], r["ruleId"]) for r in part["results"]]
+    assert len(got) == 80 and len(set(got)) == 40
+
+
+def test_resources_by_scope(spark):
+    from textloom.operators.control import scoped_open
+
+    rng = random.Random(6)
+    scopes = [("p", 0, None)] + [("p", k, rng.randrange(k)) for k in range(1, 12)]
+    up = {s: u for _, s, u in scopes}
+    events = [("p", rng.randrange(12), rng.choice("xyz"), off, rng.random() < 0.5) for off in range(300)]
+    depth = lambda s: 0 if up[s] is None else 1 + depth(up[s])
+    left = {}
+    moved = sorted(events, key=lambda e: e[3])
+    for d in range(max(map(depth, up)), -1, -1):
+        rest = []
+        for p, s, name, off, opens in sorted(moved, key=lambda e: e[3]):
+            if depth(s) != d:
+                rest.append((p, s, name, off, opens))
+            elif opens:
+                left.setdefault((s, name), []).append(off)
+            elif left.get((s, name)):
+                left[s, name].pop()
+            elif up[s] is not None:
+                rest.append((p, up[s], name, off, opens))
+        moved = rest
+    want = {(s, name, off) for (s, name), offs in left.items() for off in offs}
+    got = scoped_open(spark.createDataFrame(events, "path string, scope int, name string, off int, opens boolean"), spark.createDataFrame(scopes, "path string, scope int, up int"))
+    assert {(r.scope, r.name, r.off) for r in got.collect()} == want

@@ -52,13 +52,13 @@ class Token:
 
 
 class Group:
-    """What stands between brackets, or a block; ``fresh`` if it begins a line, ``height`` the groups that lie in each other in it."""
+    """What stands between brackets, or a block; ``fresh`` if it begins a line, ``height`` the groups that lie in each other in it, ``made`` if it is a block without braces."""
 
-    __slots__ = ("open", "start", "stop", "items", "fresh", "height", "_inner")
+    __slots__ = ("open", "start", "stop", "items", "fresh", "height", "made", "_inner")
     kind = text = ""
 
-    def __init__(self, open_: str, start: int, fresh: bool):
-        self.open, self.start, self.stop, self.items, self.fresh, self.height, self._inner = open_, start, start + 1, [], fresh, 1, None
+    def __init__(self, open_: str, start: int, fresh: bool, made: bool = False):
+        self.open, self.start, self.stop, self.items, self.fresh, self.height, self.made, self._inner = open_, start, start + 1, [], fresh, 1, made, None
 
     def inner(self) -> str:
         """Its code as a part of a longer one, marked; blocks are not written out, nor is what is nested very deep (it has nodes of its own)."""
@@ -160,7 +160,7 @@ def grouped(text: str, lang: str) -> Group:
     open_ = [root]
     for t in found:
         if t.kind in "ob" and t.text in ("(", "[", "{"):
-            g = Group(t.text, t.start, t.fresh)
+            g = Group(t.text, t.start, t.fresh, t.kind == "b")
             open_[-1].items.append(g)
             open_.append(g)
         elif t.kind in "ob" and t.text in _CLOSE:
@@ -245,6 +245,9 @@ class _Parser:
         self.put(kind or "statement", start, stop, self._name(part, k, kind), header if kind else code(part))
         if kind and any(x.text == "async" for x in part[:k]):
             self.put("async", start, stop, "", header)
+        if kind in ("if", "loop", "switch") and k + 1 < first:
+            inside = part[k + 1 : first - (part[first - 1].text == ":" and first > k + 2)]
+            self.put("condition", inside[0].start, inside[-1].stop, "", code(inside[0].items if len(inside) == 1 and isinstance(inside[0], Group) else inside))
         at = 0
         for n in blocks:  # parts of a chain: else, catch, finally
             words = [m for m in range(at, n) if part[m].kind == "w" and part[m].text in _FOLLOWS]
@@ -273,6 +276,7 @@ class _Parser:
         while inner:
             part, declares = inner.pop()
             chain = wait = made = None
+            self._runs(part)
             for k, x in enumerate(part):
                 before = part[k - 1] if k else None
                 joined = before is not None and before.kind == "o" and before.text in _JOINS and chain is not None
@@ -315,6 +319,20 @@ class _Parser:
             if wait is not None and len(part) > wait + 1:
                 self.put("await", part[wait].start, part[-1].stop, "", code(part[wait:]))
 
+    def _runs(self, part: list) -> None:
+        """Conjunctions and choices by ``?``: each from what stands in front of it to the next comma or the end."""
+        first, found = 0, {}
+        for k, x in enumerate([*part, None]):
+            if x is None or x.kind == "o" and (x.text in (",", ";", "=>") or _ASSIGN.fullmatch(x.text)) or x.kind == "w" and x.text in _KEYWORDS and x.text not in ("and", "or", "not", "is", "in", "new", "await", "of"):
+                for kind, at in found.items():
+                    if k - 1 > at:
+                        self.put(kind, part[first].start, part[k - 1].stop, "", code(part[first:at] if kind == "ternary" else part[first:k]))
+                first, found = k + 1, {}
+            elif x.text in ("&&", "and"):
+                found.setdefault("and", k)
+            elif x.kind == "o" and x.text == "?" and self.lang not in ("python", "rust", "golang", "elixir") and k > first and (part[k - 1].stop < x.start or isinstance(part[k - 1], Group)):
+                found.setdefault("ternary", k)
+
     def _closure(self, part: list, k: int) -> None:
         """A function without a name, from its parameters to the end of its body."""
         first = k
@@ -331,7 +349,7 @@ class _Parser:
         group, before = part[k], part[k - 1] if k else None
         head = part[max(0, k - 8) : k]
         kind = "block"
-        if before is None or before.text == "return" or before.kind == "o" and before.text in ("=", ",", "?", "(", "[", "&&", "||", "??", "+") or before.text == ":" and self.lang != "python":
+        if not group.made and (before is None or before.text == "return" or before.kind == "o" and before.text in ("=", ",", ":", "?", "(", "[", "&&", "||", "??", "+")):
             kind = "closure" if self.lang == "swift" else "object"
         elif self.lang in ("golang", "js") and isinstance(before, Group) and (first := next((n for n in range(k - 1, -1, -1) if part[n].text in ("func", "function")), -1)) >= 0 and (any(x.text not in _MODIFIERS for x in part[:first]) or isinstance(part[first + 1], Group) and not (part[first + 2].kind == "w" and part[first + 3] is not group)):
             self.put("closure", part[first].start, group.stop, "", code(part[first:k]))
@@ -348,29 +366,66 @@ class _Parser:
 
 
 def parse(text: str, lang: str) -> list[tuple]:
-    """``(pre, post, parent, kind, name, s_line, s_col, e_line, e_col, code)`` of each node, the file itself first.
+    """``(pre, post, parent, scope, kind, name, s_line, s_col, e_line, e_col, code, leaves)`` of each node, the file itself first.
 
     Any string has nodes: what is no code of the language gives statements. ``code`` is the tokens with blanks between;
     of what has blocks it is the part in front of them. Nodes that cover the same text lie in each other in the order
     statement, assignment, expression.
     """
-    order = {"assignment": 1, "await": 2, "new": 3, "call": 4}
+    order = {"assignment": 1, "condition": 1, "ternary": 2, "and": 3, "await": 4, "new": 5, "call": 6}
     found = [(0, -len(text) - 1, -1, "file", "", "")] + [(start, -stop, order.get(kind, 0), kind, name, text_) for kind, start, stop, name, text_ in _Parser(lang).run(grouped(text, lang))]
     found.sort(key=lambda x: x[:3])
-    lines, clock, out, open_ = Lines(text), 0, [], []
+    lines, clock, open_ = Lines(text), 0, []
+    rows: list[list] = []
     for start, minus, _, kind, name, text_ in found:
-        while open_ and out[open_[-1]][-1] <= start:
+        while open_ and rows[open_[-1]][-1] <= start:
             clock += 1
-            out[open_.pop()][1] = clock
+            rows[open_.pop()][1] = clock
         clock += 1
-        stop = min(-minus, out[open_[-1]][-1]) if open_ else -minus  # a node never reaches beyond the one around it
-        parent = out[open_[-1]][0] if open_ else None
-        out.append([clock, 0, parent, kind, name, *lines.at(start), *lines.at(max(start, min(stop, len(text)) - 1)), text_, stop])
-        open_.append(len(out) - 1)
+        stop = min(-minus, rows[open_[-1]][-1]) if open_ else -minus  # a node never reaches beyond the one around it
+        around = rows[open_[-1]] if open_ else None
+        scope = (around[0] if around[4] in ("function", "closure", "file") else around[3]) if around else None
+        rows.append([clock, 0, around[0] if around else None, scope, kind, name, *lines.at(start), *lines.at(max(start, min(stop, len(text)) - 1)), text_, False, stop])
+        open_.append(len(rows) - 1)
     while open_:
         clock += 1
-        out[open_.pop()][1] = clock
-    return [tuple(x[:-1]) for x in out]
+        rows[open_.pop()][1] = clock
+    _mark_leaving(rows)
+    return [tuple(x[:-1]) for x in rows]
+
+
+#: Calls that do not come back; fixed values.
+_STOPS = re.compile(r"(?:^|\.)(?:exit|abort|panic!|fatalError|preconditionFailure|todo!|unreachable!|unimplemented!|_exit|Fatal|Fatalf|Exit)$")
+
+
+def _mark_leaving(rows: list[list]) -> None:
+    """Set ``leaves``, from the innermost nodes outwards: a block leaves if one of its statements does, a branching one if all its branches do and one is always taken."""
+    by = {row[0]: row for row in rows}
+    blocks: dict[int, list[bool]] = {}
+    other: set[int] = set()
+    for row in reversed(rows):
+        kind, parent = row[4], row[2]
+        inside = blocks.pop(row[0], [])
+        if kind in ("return", "throw") or kind == "statement" and re.match(r"(?:break|continue)\b", row[10]):
+            row[11] = True
+        elif kind in ("block", "else", "catch", "statement", "with"):
+            row[11] = any(inside)
+        elif kind == "if":
+            row[11] = row[0] in other and bool(inside) and all(inside)
+        elif kind == "try":
+            row[11] = bool(inside) and all(inside)
+        elif kind == "call":
+            row[11] = bool(_STOPS.search(row[5]))
+        if parent is None:
+            continue
+        around = by[parent][4]
+        if kind == "else" and around == "if" and not re.match(r"(?:else if|elif|elsif)\b", row[10]):
+            other.add(parent)
+        if around in ("if", "try"):
+            if kind in ("block", "else", "catch"):
+                blocks.setdefault(parent, []).append(row[11])
+        elif row[11] and around not in ("closure", "loop", "switch", "function"):
+            blocks.setdefault(parent, []).append(True)
 
 
 def syntax_nodes(files: DataFrame) -> DataFrame:
@@ -379,6 +434,6 @@ def syntax_nodes(files: DataFrame) -> DataFrame:
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(path, lang, *node) for path, lang, text in zip(batch["path"], batch["lang"], batch["text"], strict=True) if isinstance(text, str) for node in parse(text, lang)]
-            yield pd.DataFrame(rows, columns=NODES.names).astype({"parent": "Int32"})
+            yield pd.DataFrame(rows, columns=NODES.names).astype({"parent": "Int32", "scope": "Int32"})
 
     return files.select("path", "lang", "text").mapInPandas(mapped, NODES)

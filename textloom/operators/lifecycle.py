@@ -1,4 +1,4 @@
-"""Named resources that are never released, values used in spite of a failed guard, asynchronous calls nobody waits for."""
+"""Named resources that are never released, asynchronous calls nobody waits for."""
 
 from __future__ import annotations
 
@@ -130,43 +130,6 @@ def _python_unreleased(text: str) -> list[tuple[int, str, str, str]]:
     return sorted(set(issues))
 
 
-#: (negative guard with the group name, leaving its block, unsafe use of that name), by language; fixed values.
-NARROWINGS: dict[str, list[tuple[str, str, str]]] = {
-    "java": [(r"if\s*\(\s*(?P<name>\w+)\s*==\s*null\s*\)\s*\{", r"\b(return|throw|break|continue)\b", r"\b{n}(!!|\.\w)")],
-    "js": [(r"if\s*\(\s*(?:!(?P<name>\w+)|(?P<other>\w+)\s*===?\s*(?:null|undefined))\s*\)\s*\{", r"\b(return|throw|break|continue)\b|process\.exit", r"\b{n}(\.\w|\[|!\.)")],
-    "csharp": [(r"if\s*\(\s*(?P<name>\w+)\s*(?:==|is)\s*null\s*\)\s*\{", r"\b(return|throw|break|continue)\b", r"\b{n}(\.\w|!\.|\[)"), (r"if\s*\(\s*!\w[\w.]*\.TryGetValue\([^,]+,\s*out\s+(?:var\s+)?(?P<name>\w+)\s*\)\s*\)\s*\{", r"\b(return|throw|break|continue)\b", r"\b{n}(\.\w|\[)")],
-    "swift": [(r"if\s+(?P<name>\w+)\s*==\s*nil\s*\{", r"\b(return|throw|break|continue|fatalError)\b", r"\b{n}!")],
-    "rust": [(r"if\s+(?P<name>\w+)\.is_(?:none|err)\(\)\s*\{", r"\b(return|break|continue|panic!)|\?;", r"\b{n}\.(?:unwrap|expect)\(")],
-}
-
-
-def unsafe_after_guard(text: str, lang: str) -> list[tuple[int, str, str, str]]:
-    """(line, kind, name, message) of the first unsafe use behind a guard whose block does not leave; an assignment in between ends the search."""
-    plain, lines, out = masked(text, lang), Lines(text), []
-    for guard, leaves, use in NARROWINGS.get(lang, ()):
-        for m in re.finditer(guard, plain):
-            name = m["name"] or m.groupdict().get("other")
-            depth, end = 1, m.end()
-            while end < len(plain) and depth:
-                depth += {"{": 1, "}": -1}.get(plain[end], 0)
-                end += 1
-            if re.search(leaves, plain[m.end() : end]) or re.search(rf"\b{name}\s*=(?!=)", plain[m.end() : end]) or re.match(r"\s*else\b", plain[end:]):
-                continue
-            depth = 0
-            for stop in range(end, len(plain)):  # the scope that the guard stands in
-                depth += {"{": 1, "}": -1}.get(plain[stop], 0)
-                if depth < 0:
-                    break
-            else:
-                stop = len(plain)
-            scope = plain[end:stop]
-            used = re.search(use.replace("{n}", name), scope)
-            given = re.search(rf"\b{name}\s*=(?!=)", scope)
-            if used and not (given and given.start() < used.start()):
-                out.append((lines.at(end + used.start())[0], "narrowing", name, f"{name} is used although a guard let it be empty"))
-    return sorted(set(out))
-
-
 #: Asynchronous calls whose result is dropped at the start of a statement; fixed values.
 DROPPED = {
     "csharp": r"^\s*(?!await\b|return\b|var\b)(?:[\w]+\.)*(?P<name>\w+Async)\s*\([^;]*\)\s*;",
@@ -189,7 +152,7 @@ def dropped_tasks(text: str, lang: str) -> list[tuple[int, str, str, str]]:
     return [(lines.at(m.start("name"))[0], "dropped", m["name"], f"the result of {m['name']} is dropped") for m in re.finditer(DROPPED[lang], plain, re.M)]
 
 
-def issues(files: DataFrame, checks: tuple = (unreleased, unsafe_after_guard, dropped_tasks)) -> DataFrame:
+def issues(files: DataFrame, checks: tuple = (unreleased, dropped_tasks)) -> DataFrame:
     """``(path, lang, line_no, kind, name, message)`` of all checks, file by file."""
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_IGNORES, EXTENSIONS, MARKERS, SUPPRESSION_MARKERS, ScanConfig, languages
 from ..functions.source import ingest_matches, mask_column, plist_settings, python_matches, regex_matches, regions
+from ..functions.syntax import syntax_nodes
 from ..functions.text import explode_lines, java_regex, line_of, matches, without_ansi
 from ..operators import aggregate as A
 from ..operators import correlate as C
 from ..operators import lines as L
 from ..operators import prune as P
 from ..operators.flow import FlowSpec, flow_specs, flows
-from ..operators.lifecycle import dropped_tasks, hooks, issues, unreleased, unsafe_after_guard
+from ..operators.ambiguity import exponential_patterns
+from ..operators.control import guard_then_use, guards, held_resources
+from ..operators.lifecycle import dropped_tasks, hooks, issues, unreleased
 from ..sources import sinks
 from ..sources.tree import changed_paths, listed_paths, manifest_lines, notebook_outputs, sarif_counts
 from .catalogue import Rule, rules, rules_frame, variants
@@ -483,12 +486,53 @@ def unreleased_resources(spark, sf):
 
 _GUARDS = [
     ("use.java", "java", "if (a == null) {\n log();\n}\na.go();\n"), ("leaves.java", "java", "if (a == null) {\n return;\n}\na.go();\n"), ("given.java", "java", "if (a == null) {\n log();\n}\na = b;\na.go();\n"),
-    ("other.java", "java", "if (a == null) {\n log();\n} else {\n a.go();\n}\n"), ("use.rs", "rust", "if x.is_none() {\n    log();\n}\nx.unwrap();\n"), ("use.swift", "swift", "if x == nil {\n  log()\n}\nprint(x!)\n"),
+    ("other.java", "java", "if (a == null) {\n log();\n} else {\n a.go();\n}\n"), ("nested.java", "java", "void f() {\n  if (@ == null) {\n    log();\n  }\n  if (b) {\n    @.go();\n  }\n  @.go();\n}\nvoid g() {\n  @.go();\n}\n"), ("all.js", "js", "if (!@) {\n  if (y) { return; } else { throw z; }\n}\n@.go();\n"), ("some.js", "js", "if (!@) {\n  if (y) { return; }\n}\n@.go();\n"),
+    ("set.py", "python", "if @ is None:\n    @ = 1\n@.go()\n"), ("use.py", "python", "def f(@):\n    if @ is None:\n        log()\n    return @.go()\n"), ("else.go", "golang", "func f() {\n  if @ == nil {\n    log()\n  } else {\n    @ = q\n  }\n  @.Go()\n}\n"), ("use.rb", "ruby", "if @.nil?\n  log\nend\n@.go\n"), ("use.cpp", "cpp", "if (@ == nullptr) {\n  log();\n}\n@->go();\n"),
+    ("use.rs", "rust", "if x.is_none() {\n    log();\n}\nx.unwrap();\n"), ("use.swift", "swift", "if x == nil {\n  log()\n}\nprint(x!)\n"),
 ]
 
 
 def narrowed_values(spark, sf):
-    return issues(_programs(spark, sf, _GUARDS), (unsafe_after_guard,)).select("path", "line_no", "name")
+    return guard_then_use(syntax_nodes(_programs(spark, sf, _GUARDS))).select("path", "line_no", "name")
+
+
+_SCOPED = [
+    ("a.py", "python", "def f():\n    @ = open(a)\n    def g():\n        @.close()\n    @ = open(b)\n    g()\n@ = open(c)\n@.close()\nk = open(d)\ndef z():\n    k = open(e)\n    k.close()\n    k.close()\n"),
+    ("a.js", "js", "const @ = setInterval(f, 1);\nfunction stop() { clearInterval(@); clearInterval(@); }\nfunction g() {\n  const @ = setInterval(f, 1);\n}\n"),
+    ("a.go", "golang", "func f() {\n  @, err := os.Open(a)\n  defer func() {\n    @.Close()\n  }()\n}\nfunc g() {\n  @, err := os.Open(a)\n}\n"),
+    ("a.cpp", "cpp", "void f() {\n  @ = malloc(1);\n  @ = malloc(2);\n  free(@);\n}\n"),
+]
+
+
+def scoped_resources(spark, sf):
+    """Resources that are not released, where a release ends the latest open one of its name in the nearest scope that has any."""
+    return held_resources(syntax_nodes(_programs(spark, sf, _SCOPED))).select("path", "line_no", "kind", "name")
+
+
+_FORMS = [
+    ("a.js", "js", "if (a.b && a.b.c) {\n  a.b.c.d;\n}\nif ('k' in o) { o.k.a.b; }\nlet v = a && a.b.c.d;\nlet w = Object.hasOwn(o, 'k') ? o.k.a.b : o.k.c.d;\nif (z) { y.a.b.c; }\n"),
+    ("a.rb", "ruby", "if h.key?(:k)\n  h.a.b\nend\nif k\n  h.c\nend\n"),
+]
+
+
+def guard_forms(spark, sf):
+    """Conditions by form, and the places that they protect."""
+    found = guards(syntax_nodes(_programs(spark, sf, _FORMS)))
+    return C.guard_regions(found.withColumn("path", F.concat_ws("|", "path", "form"))).select(F.split("path", r"\|")[0].alias("path"), F.split("path", r"\|")[1].alias("form"), "s_line", F.col("s_col").alias("col"), "e_line", F.col("e_col").alias("e_col"))
+
+
+_PATTERNS = [
+    ("a.py", "python", "import re\nre.compile(r'([@]+)+$')\nre.match('^[a-z]+@$', x)\nre.sub(r\"(\\w+\\s*)+:\", '', x)\nre.search(r'(?:a|b)*c', x)\nre.compile('(')\n"),
+    ("a.js", "js", "const a = /^(\\d+,?)+$/;\nconst b = x / 2 / y;\nnew RegExp('(a*)*@');\nif (/^[^@]+@[^@]+$/.test(x)) { }\n"),
+    ("a.java", "java", "Pattern.compile(\"(\\\\w+\\\\s?)*@\");\ns.matches(\"[a-z]+\");\n"),
+    ("a.rb", "ruby", "x =~ /(@|@@)+$/\ny =~ /^@+$/\n"),
+]
+
+
+def exponential_regexes(spark, sf):
+    """Patterns in programs with a loop that reads one text in two ways."""
+    lines = explode_lines(_programs(spark, sf, _PATTERNS))
+    return exponential_patterns(lines).select("path", "line_no", "pattern")
 
 
 _STARTED = [("a.cs", "csharp", "SaveAsync(x);\nawait SaveAsync(y);\nvar t = SaveAsync(z);\n"), ("a.js", "js", "fetch(u);\nawait fetch(u);\nconst r = fetch(u);\n"), ("a.rs", "rust", "tokio::spawn(f());\nlet h = tokio::spawn(f());\n")]
@@ -609,7 +653,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         catalogue_occurrences, catalogue_findings, catalogue_one_pass, catalogue_balances, catalogue_lacking, catalogue_ratios, catalogue_look_back, statement_suppression, whole_words, posix_classes, offset_lines, ansi_stripped, debt_totals,
         count_time_suppression, grouped_rule_counts, lenient_severity, foreign_severities, min_severity, exit_gate, merged_reports, guard_region_kinds, context_matches, risky_denominators, last_release, known_permalinks, pruned_files,
         default_ignores, test_directories, language_detection, target_union, changes_or_all, diff_statuses, project_guard, named_paths, chosen_languages, rule_selection, rule_listing, rule_variants, masked_code, block_regions, blocking_calls,
-        syntax_matches, request_flows, flow_rounds, unreleased_resources, narrowed_values, dropped_work, hook_dependencies, unpinned_manifests, match_stream, property_lists, notebooks, report_counts, text_totals, compact_report,
+        syntax_matches, request_flows, flow_rounds, unreleased_resources, narrowed_values, scoped_resources, guard_forms, exponential_regexes, dropped_work, hook_dependencies, unpinned_manifests, match_stream, property_lists, notebooks, report_counts, text_totals, compact_report,
         markdown_matrix, page_report, combined_report, shared_report, sarif_documents,
     )
 }
@@ -671,7 +715,10 @@ SQL: dict[str, str] = {
     "request_flows": _made(_FLOWING, [(f"{lang}.flow.{family}/bad", n) for lang, family, n, _, _ in _FLOWS], "path, line_no"),
     "flow_rounds": _made(_CHAINS, [("a.py", 1, "d>e>sink")], "path, line_no, trail"),
     "unreleased_resources": _made(_RESOURCES, [("a.py", 2, "file"), ("a.py", 11, "file"), ("a.py", 13, "file"), ("a.go", 1, "file"), ("a.cpp", 1, "thread"), ("a.cpp", 4, "memory"), ("a.cs", 1, "disposable")], "path, line_no, kind"),
-    "narrowed_values": _made(_GUARDS, [("use.java", 4, "a"), ("use.rs", 4, "x"), ("use.swift", 4, "x")], "path, line_no, name"),
+    "narrowed_values": _made(_GUARDS, [("use.java", 4, "a"), ("nested.java", 6, "@"), ("some.js", 4, "@"), ("use.py", 4, "@"), ("else.go", 7, "@"), ("use.rb", 4, "@"), ("use.cpp", 4, "@"), ("use.rs", 4, "x"), ("use.swift", 4, "x")], "path, line_no, name"),
+    "exponential_regexes": _made(_PATTERNS, [("a.py", 2, "([@]+)+$"), ("a.py", 4, "(\\w+\\s*)+:"), ("a.js", 1, "^(\\d+,?)+$"), ("a.js", 3, "(a*)*@"), ("a.java", 1, "(\\w+\\s?)*@"), ("a.rb", 1, "(@|@@)+$")], "path, line_no, pattern"),
+    "scoped_resources": _made(_SCOPED, [("a.py", 5, "file", "@"), ("a.js", 4, "interval", "@"), ("a.go", 8, "file", "@"), ("a.cpp", 2, "memory", "@")], "path, line_no, kind, name"),
+    "guard_forms": _made(_FORMS, [("a.js", "and", 1, 4, 1, 17), ("a.js", "and", 1, 5, 1, 16), ("a.js", "membership", 4, 1, 4, 26), ("a.js", "and", 5, 9, 5, 20), ("a.js", "ternary", 6, 9, 6, 49), ("a.js", "plain", 7, 8, 7, 19), ("a.rb", "membership", 1, 1, 3, 4), ("a.rb", "plain", 5, 3, 6, 4)], "path, form, s_line, col, e_line, e_col"),
     "dropped_work": _made(_STARTED, [("a.cs", 1, "SaveAsync"), ("a.js", 1, "fetch"), ("a.rs", 1, "tokio::spawn")], "path, line_no, name"),
     "hook_dependencies": _made(_HOOKED, [("a.jsx", "@", "other"), ("b.jsx", "", "")], "path, missing, unused"),
     "unpinned_manifests": _made(_MANIFESTS, [("requirements.txt", "python", 1, "flask"), ("requirements.txt", "python", 2, "@==1"), ("requirements.txt", "python", 3, "# c"), ("requirements.txt", "python", 4, "y>=2"), ("src/go.mod", "golang", 1, "module m"), ("src/go.mod", "golang", 2, "require @ v1.2.3")], "path, lang, line_no, line"),

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions.source import plist_settings, python_matches, regex_matches, regions, statements
+from ..functions.syntax import syntax_nodes
 from ..functions.text import explode_lines
 from ..operators.aggregate import at_least, counts, difference, exit_code, findings, matrix, samples, summary, totals
-from ..operators.correlate import dependency_gaps, in_context, outside, risky_divisions
+from ..operators.correlate import dependency_gaps, guard_regions, in_context, outside, risky_divisions
 from ..operators.dataflow import FAMILIES, python_flows
 from ..operators.flow import flow_specs, flows
-from ..operators.lifecycle import DROPPED, NARROWINGS, hooks, issues
+from ..operators.ambiguity import PLACES, exponential_patterns
+from ..operators.control import GUARD_WORDS, NARROWINGS, guard_then_use, guards
+from ..operators.lifecycle import DROPPED, hooks, issues
 from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
 from ..operators.prune import before_tests, detected_languages, module_edges, outside_test_directories, prune, test_only_modules, without
 from ..sources import sinks
@@ -69,6 +72,7 @@ SQL_TEXTS: list[Rule] = [
     Rule("python.sql_text.tainted", "python", 7, "sql_text", "", "", ALWAYS_CRITICAL, "SQL is put together from values", "Pass them as parameters"),
     Rule("python.sql_text.unknown", "python", 7, "sql_text", "", "", ALWAYS_WARNING, "SQL is put together from parts of unknown origin", "Pass them as parameters"),
 ]
+PATTERNS: list[Rule] = [Rule(f"{lang}.regex.exponential", lang, 7, "pattern", "", "", ALWAYS_WARNING, "A pattern can take exponential time", "Let its loops read a text in one way only") for lang in PLACES]
 HOOKS: list[Rule] = [
     Rule("js.hooks.missing", "js", 4, "hook", "", "", ALWAYS_WARNING, "A hook uses what its dependencies lack", "Add the names"),
     Rule("js.hooks.unused", "js", 4, "hook", "", "", ALWAYS_INFO, "A hook depends on what it does not use", "Remove the names"),
@@ -80,7 +84,7 @@ def _issue_rules() -> list[Rule]:
     out = []
     for lang, category in _LIFECYCLE.items():
         out.append(Rule(f"{lang}.lifecycle.named", lang, category, "issue", "", "", ALWAYS_WARNING, "A resource is not released", "Release it in all paths"))
-        if lang in NARROWINGS:
+        if lang in {n.lang for n in NARROWINGS}:
             out.append(Rule(f"{lang}.narrowing", lang, 1, "issue", "", "", ALWAYS_WARNING, "A value is used in spite of a failed check", "Leave the block, or use another value"))
         if lang in DROPPED or lang == "python":  # Python's by its syntax, as tasks that nothing takes over
             out.append(Rule(f"{lang}.async.dropped", lang, 3, "issue", "", "", ALWAYS_WARNING, "Asynchronous work is started and dropped", "Keep the handle"))
@@ -90,7 +94,7 @@ def _issue_rules() -> list[Rule]:
 def all_rules(config: ScanConfig, extra: list[Rule] | None = None) -> list[Rule]:
     """Rules of every kind that take part in a scan."""
     flow = [Rule(s.rule_id, s.lang, s.category, "flow", "", "", ALWAYS_CRITICAL, s.title, "Validate the value before it is used") for s in flow_specs()]
-    more = [*STRUCTURAL, *(p[0] for p in PATTERNED), *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules(), *ORDERED, *SQL_TEXTS, *HOOKS, *(s[0] for s in SETTINGS)]
+    more = [*STRUCTURAL, *(p[0] for p in PATTERNED), *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules(), *ORDERED, *SQL_TEXTS, *PATTERNS, *HOOKS, *(s[0] for s in SETTINGS)]
     more += [Rule(f"{lang}.unreachable", lang, 10, "next_line", "", "", ((5, "info"),), "Code behind a jump", "Delete it") for lang in ("js", "python", "golang", "java", "csharp")]
     return rules(config, extra) + [r for r in more if config.runs(r.lang, r.category, r.rule_id)]
 
@@ -178,10 +182,12 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
             more = regex_matches(texts, {r.rule_id: (r.lang, p) for r, p, _ in wanted})
             divided = F.col("rule_id").endswith(".division")
             found = found.unionByName(risky_divisions(more.where(divided)))
-            guards = {r.rule_id: (r.lang, g) for r, _, g in wanted if g}
-            if guards:
+            tests = {r.rule_id: (r.lang, g) for r, _, g in wanted if g}
+            if tests:
                 places = ["path", "s_line", "s_col", "e_line", "e_col"]
-                excused = regex_matches(texts, guards).select(*places).unionByName(regions(texts).where("kind = 'if'").select(*places))
+                langs = sorted({lang for lang, _ in tests.values()})
+                protected = guard_regions(guards(syntax_nodes(texts.where(F.col("lang").isin(*langs) & F.col("text").rlike(r"\bif\b|\bunless\b|&&|\?")))))
+                excused = regex_matches(texts, tests).select(*places).unionByName(protected.select(*places))
                 found = found.unionByName(outside(more.where(~divided), excused))
         add(placed(found.select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule_id for r in by["match"]})
     if by.get("context"):
@@ -195,13 +201,18 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         found = flows(texts, [s for s in flow_specs() if s.rule_id in ids], config.markers)
         add(placed(found.select("rule_id", "path", "line_no", F.concat_ws("  # ", "code", F.array_join("trail", " -> ")).alias("code"))), ids)
     if by.get("issue"):
-        found = issues(texts).withColumnRenamed("lang", "_lang")
+        guarded = texts.where(F.col("lang").isin(*sorted({n.lang for n in NARROWINGS})) & F.col("text").rlike(GUARD_WORDS))
+        empty = guard_then_use(step(syntax_nodes(guarded))).select("path", "lang", "line_no", F.lit("narrowing").alias("kind"), "name", F.concat("name", F.lit(" is used although a guard let it be empty")).alias("message"))
+        found = issues(texts).unionByName(empty).withColumnRenamed("lang", "_lang")
         name = F.when(F.col("kind") == "narrowing", ".narrowing").when((F.col("kind") == "dropped") | (F.col("_lang") == "python") & (F.col("kind") == "task"), ".async.dropped").otherwise(".lifecycle.named")
         add(placed(found.select(F.concat("_lang", name).alias("rule_id"), "path", "line_no", F.col("message").alias("code"))), {r.rule_id for r in by["issue"]})
     if ids := {r.rule_id for kind in ("ordered", "sql_text") for r in by.get(kind, [])}:
         # Markers are looked at below, as for all kinds.
         found = python_flows(texts, ()).select("rule_id", "path", "line_no", F.concat_ws("  # ", "code", F.array_join("trail", " -> ")).alias("code"))
         add(placed(found), ids)
+    if by.get("pattern"):
+        found = exponential_patterns(lines.select("path", "lang", "line_no", "line")).withColumnRenamed("lang", "_lang")
+        add(placed(found.select(F.concat("_lang", F.lit(".regex.exponential")).alias("rule_id"), "path", "line_no", F.col("pattern").alias("code"))), {r.rule_id for r in by["pattern"]})
     if by.get("hook"):
         gaps = dependency_gaps(hooks(texts))
         each = F.explode(F.array(*[F.struct(F.lit(f"js.hooks.{k}").alias("rule_id"), F.array_join(k, ", ").alias("code")) for k in ("missing", "unused")])).alias("x")

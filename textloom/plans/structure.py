@@ -17,6 +17,7 @@ from ..operators import prune as P
 from ..operators.dataflow import python_flows
 from ..operators.structural import axis_counts
 from ..sources import sinks
+from ..sources.steps import scratch_dir
 from ..sources.versions import ignore_rules, version_ignored
 from .checks import _COUNTED, _PATHS, _corpora, _made, _of_kind, _paths, _programs, _sums, _values
 from .queries import _ALL, _SUMMARY, _read
@@ -234,6 +235,17 @@ def scanned_languages(spark, sf):
     return scan(_programs(spark, sf, _SMALL, each=True).select("path", "text"), ScanConfig(rule_globs=("none",))).languages
 
 
+def sarif_parts(spark, sf):
+    """A log written in parts: what the files of results hold, by language, and what the log says of them."""
+    found = scan(_named(spark, sf), ScanConfig(rule_globs=tuple(r.rule_id for r in _of_kind("line"))))
+    spark_dir = scratch_dir(spark, "sarif")
+    sinks.write_sarif(found.occurrences, found.findings, spark_dir, per_file=50)
+    each = spark.read.text(f"{spark_dir}/results", wholetext=True).select(F.get_json_object("value", "$.properties.language").alias("lang"), F.explode(F.from_json(F.get_json_object("value", "$.results"), "array<struct<ruleId:string>>")).alias("r"))
+    log = spark.read.text(f"{spark_dir}/log", wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.runs"), "array<struct<tool:struct<driver:struct<name:string>>,externalPropertyFileReferences:struct<results:array<struct<itemCount:long>>>>>")).alias("x"))
+    said = log.select(F.substring_index("x.tool.driver.name", "-", -1).alias("lang"), F.aggregate("x.externalPropertyFileReferences.results", F.lit(0).cast("long"), lambda a, y: a + y["itemCount"]).alias("said"))
+    return each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("r.ruleId").alias("rules")).join(said, "lang")
+
+
 def module_report_counts(spark, sf):
     found, sums, _ = _sums(spark, sf)
     schema = "language string, files bigint, critical bigint, findings array<struct<rule_id:string,count:bigint>>"
@@ -244,7 +256,7 @@ def module_report_counts(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ordered_request_flows, dataflow_families, related_syntax_rules, axis_totals, graded_sql_texts, statement_lines, declared_modules, modules_for_tests, user_syntax_rules, ignored_by_version_control, language_excludes, whole_scan, small_scan, scanned_languages, module_report_counts,
+        ordered_request_flows, dataflow_families, related_syntax_rules, axis_totals, graded_sql_texts, statement_lines, declared_modules, modules_for_tests, user_syntax_rules, ignored_by_version_control, language_excludes, whole_scan, small_scan, scanned_languages, sarif_parts, module_report_counts,
     )
 }
 
@@ -262,6 +274,7 @@ SQL: dict[str, str] = {
     "ignored_by_version_control": f"WITH {_PATHS}, x AS (SELECT *, split_part(path, '/', 1) AS top, lower(regexp_extract(path, '[^.]*$')) AS ext FROM paths) SELECT top, ext, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM x WHERE top <> 'x' AND path NOT LIKE '.venv/x/%' AND (path NOT LIKE '%.md' OR path LIKE '%/f1%') AND path NOT LIKE 'a/b/%.py' GROUP BY top, ext",
     "language_excludes": f"WITH {_PATHS}, x AS (SELECT p.doc_id, e.lang, ['{"', '".join(_FOLDERS)}'][(doc_id % {len(_FOLDERS)} + 1)::INT] AS folder FROM paths p JOIN exts e ON e.e = lower(regexp_extract(path, '[^.]*$'))), o AS {_values([(lang, d) for lang, v in EXCLUDED.items() for d in v if '*' not in d], 'lang, folder')} SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM x ANTI JOIN o USING (lang, folder) GROUP BY lang",
     "whole_scan": f"{_COUNTED}, graded AS (SELECT lang, category, rule_id, coalesce((SELECT severity FROM tiers t WHERE t.rule_id = c.rule_id AND c.n > t.min_n ORDER BY k LIMIT 1), 'good') AS severity, n FROM counted c) SELECT lang, category, rule_id, CASE WHEN severity = 'warning' AND contains(rule_id, 'async') THEN 'info' ELSE severity END AS severity, n FROM graded",
+    "sarif_parts": f"{_COUNTED}, graded AS (SELECT lang, category, rule_id, coalesce((SELECT severity FROM tiers t WHERE t.rule_id = c.rule_id AND c.n > t.min_n ORDER BY k LIMIT 1), 'good') AS severity, n FROM counted c) SELECT lang, sum(n)::BIGINT AS n, count(*) AS rules, sum(n)::BIGINT AS said FROM graded WHERE severity <> 'good' GROUP BY lang",
     "small_scan": _made(_SMALL, [("Info.plist", "swift.plist.any_transport", 0, False), ("src/a.jsx", "js.hooks.missing", 1, False), ("src/a.jsx", "js.hooks.unused", 1, False), ("src/a.py", "python.ordered.redirect", 2, False), ("src/a.py", "python.ordered.redirect", 4, True), ("src/a.py", "python.sql_text.unknown", 7, False)], "path, rule_id, line_no, suppressed", each=True),
     "scanned_languages": "SELECT lang, (n * (SELECT count(*) FROM documents))::BIGINT AS n_files FROM (VALUES ('js', 2), ('python', 2), ('rust', 2)) AS t(lang, n)",
     "module_report_counts": f"{_ALL}, {_SUMMARY} SELECT lang AS language, files, critical, (SELECT count(*) FROM found f WHERE f.lang = s.lang AND severity <> 'good')::INT AS n_findings, critical + warning + info AS n FROM summary s",

@@ -28,11 +28,11 @@ NODE_KINDS = {
     "function_declaration": "function", "function_definition": "function", "function_item": "function", "method_definition": "function", "method_declaration": "function", "arrow_function": "closure", "closure_expression": "closure", "lambda": "closure", "lambda_expression": "closure", "func_literal": "closure",
     "if_statement": "if", "if_expression": "if", "try_statement": "try", "try_expression": "try", "catch_clause": "catch", "except_clause": "catch", "finally_clause": "finally", "with_statement": "with", "with_item": "with", "using_statement": "with", "class_definition": "class", "class_declaration": "class", "impl_item": "class", "async_block": "async", "unsafe_block": "unsafe",
     "call_expression": "call", "method_invocation": "call", "invocation_expression": "call", "new_expression": "new", "object_creation_expression": "new", "await_expression": "await", "return_statement": "return", "throw_statement": "throw", "raise_statement": "throw", "defer_statement": "defer", "expression_statement": "statement",
-    "assignment_expression": "assignment", "assignment_statement": "assignment", "switch_statement": "switch", "switch_expression": "switch", "match_expression": "switch", "object": "object",
+    "assignment_expression": "assignment", "assignment_statement": "assignment", "conditional_expression": "ternary", "ternary_expression": "ternary", "switch_statement": "switch", "switch_expression": "switch", "match_expression": "switch", "object": "object",
 }
-KINDS = frozenset(HEADS.values()) | frozenset("file statement closure block object call new await assignment".split())
+KINDS = frozenset(HEADS.values()) | frozenset("file statement closure block object call new await assignment condition and ternary".split())
 #: Kinds whose code is all that stands in a statement, apart from blocks.
-STATEMENTS = tuple(sorted(KINDS - frozenset("file async closure block object call new await assignment".split())))
+STATEMENTS = tuple(sorted(KINDS - frozenset("file async closure block object call new await assignment condition and ternary".split())))
 _SEVERITY = {"error": "critical", "warning": "warning", "info": "info", "hint": "info"}
 _HOLE = re.compile(r"\$(\$\$)?([A-Za-z_]\w*)?")
 

@@ -16,8 +16,9 @@ LINES = _struct(path=TEXT, lang=TEXT, line_no=INT, line=TEXT)
 CAPTURE = _struct(text=TEXT, s_line=INT, s_col=INT)
 MATCHES = _struct(rule_id=TEXT, path=TEXT, s_line=INT, s_col=INT, e_line=INT, e_col=INT, code=TEXT, captures=MapType(TEXT, CAPTURE))
 REGIONS = _struct(path=TEXT, kind=TEXT, s_line=INT, s_col=INT, e_line=INT, e_col=INT, header=TEXT)
-#: A node lies in another of its file if ``pre`` and ``post`` lie between the other's.
-NODES = _struct(path=TEXT, lang=TEXT, pre=INT, post=INT, parent=INT, kind=TEXT, name=TEXT, s_line=INT, s_col=INT, e_line=INT, e_col=INT, code=TEXT)
+#: A node lies in another of its file if ``pre`` and ``post`` lie between the other's; ``scope`` is the ``pre`` of the innermost function around it, ``leaves``
+#: whether what follows it in its block is never reached (of a block: its end).
+NODES = _struct(path=TEXT, lang=TEXT, pre=INT, post=INT, parent=INT, scope=INT, kind=TEXT, name=TEXT, s_line=INT, s_col=INT, e_line=INT, e_col=INT, code=TEXT, leaves=BOOL)
 OCCURRENCES = _struct(lang=TEXT, category=INT, rule_id=TEXT, path=TEXT, line_no=INT, code=TEXT)
 FLOW = _struct(rule_id=TEXT, path=TEXT, line_no=INT, code=TEXT, trail=ArrayType(TEXT))
 FINDINGS = _struct(lang=TEXT, category=INT, rule_id=TEXT, severity=TEXT, n=LONG, title=TEXT, description=TEXT, samples=ArrayType(SAMPLE))

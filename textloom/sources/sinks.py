@@ -85,6 +85,32 @@ def sarif_results(occurrences: DataFrame, findings: DataFrame) -> DataFrame:
     return named.select("lang", F.col("path").alias("uri"), F.col("line_no").alias("line"), "rule_id", result.alias("result"))
 
 
+def write_sarif(occurrences: DataFrame, findings: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Write a SARIF log below ``path`` in parts: ``log`` holds a run for each language, which names the files of its results in ``results``.
+
+    A results file is an external property file of the format with ``per_file`` results at most, so no row and no task holds a
+    language. Results are in the order of file and line, over all files. ``log`` has a reference for each file of results.
+    """
+    spark = occurrences.sparkSession
+    results = sarif_results(occurrences, findings).repartitionByRange("lang", "uri", "line", "rule_id").sortWithinPartitions("lang", "uri", "line", "rule_id")
+    part = F.floor(F.monotonically_increasing_id() / per_file)  # some of a partition's rows, in their order
+    numbered = results.select("lang", part.alias("part"), F.struct("uri", "line", "rule_id", "result").alias("r"))
+    files = numbered.groupBy("lang", "part").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    guid = F.regexp_replace(F.md5(F.concat_ws("/", "lang", F.col("part").cast("string")).cast("binary")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    document = F.to_json(F.struct(F.lit("2.1.0").alias("version"), guid.alias("guid"), F.struct(F.col("lang").alias("language")).alias("properties"), F.transform("r", lambda x: x["result"]).alias("results")))
+    # A row is a whole file of results; each goes to a file of its own.
+    files.select(document.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{path}/results")
+    written = spark.read.text(f"{path}/results", wholetext=True)
+    where = F.concat(F.lit("results/"), F.element_at(F.split(F.input_file_name(), "/"), -1))
+    found = written.select(F.get_json_object("value", "$.properties.language").alias("lang"), where.alias("uri"), F.get_json_object("value", "$.guid").alias("guid"), F.size(F.from_json(F.get_json_object("value", "$.results"), "array<string>")).alias("n"))
+    reference = F.struct(F.struct("uri").alias("location"), "guid", F.col("n").alias("itemCount"))
+    runs = found.groupBy("lang").agg(F.array_sort(F.collect_list(reference)).alias("files"))
+    tool = F.struct(F.struct(F.concat(F.lit("textloom-"), F.col("lang")).alias("name"), F.lit(VERSION).alias("version")).alias("driver")).alias("tool")
+    run = F.struct(tool, F.struct(F.col("files").alias("results")).alias("externalPropertyFileReferences"))
+    log = runs.agg(F.array_sort(F.collect_list(F.struct("lang", run.alias("run")))).alias("all"))
+    log.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.transform("all", lambda x: x["run"]).alias("runs"))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/log")
+
+
 def merged_sarif(documents: DataFrame, value: str = "value") -> DataFrame:
     """One row, value: a document with the runs of all valid ``documents``; invalid ones are skipped."""
     runs = documents.select(F.get_json_object(value, "$.runs").alias("r")).where("r IS NOT NULL AND startswith(r, '[') AND r <> '[]'")

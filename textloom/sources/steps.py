@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_dir(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the folder that driver and executors share."""
+    _share(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def step(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``: later rounds start from files that outlive executors."""
-    spark = df.sparkSession
+    _share(df.sparkSession)
+    return df.checkpoint()
+
+
+def _share(spark: SparkSession) -> None:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(where or "/tmp/textloom-checkpoints")
-    return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..config import EXTENSIONS, MARKERS, ScanConfig
 from ..functions.text import glob_regex
 from ..schemas import FILES
+from .steps import step
 
 #: Manifests and settings that are read whatever their extension; fixed values.
 MANIFESTS = ("requirements.txt", "Cargo.toml", "go.mod", "mix.lock", "CMakeLists.txt", "package.json", "pyproject.toml", "Gemfile")
@@ -99,6 +101,58 @@ class _Reader(DataSourceReader):
             yield path, self.languages.get(ext), ext, len(data), data.decode("utf-8", "replace")
 
 
+def listed_tree(spark: SparkSession, root: str, config: ScanConfig | None = None, most_levels: int = 10_000) -> DataFrame:
+    """``(path, n_bytes)`` of a tree's files, listed by tasks: a level of directories after another, each dealt over the cluster.
+
+    Rules are those of ``sourcetree``, whose listing is the driver's alone; links to directories are not followed.
+    """
+    config = config or ScanConfig()
+    guard_root(root)
+    options = {"path": root, "ignores": ",".join(config.ignores), "extensions": ",".join(e for exts in config.extensions.values() for e in exts), "maxFileBytes": str(config.max_file_bytes)}
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _Reader(options)
+        for batch in batches:
+            rows = []
+            for below in batch["path"]:
+                for entry in os.scandir(os.path.join(reader.root, below)):
+                    at = f"{below}/{entry.name}" if below else entry.name
+                    if reader._out(at):
+                        continue
+                    if entry.is_dir(follow_symlinks=False):
+                        rows.append((at, 0, True))
+                    elif reader._wanted(entry.name) and entry.is_file() and entry.stat().st_size <= reader.most:
+                        rows.append((at, entry.stat().st_size, False))
+            yield pd.DataFrame(rows, columns=["path", "n_bytes", "folder"])
+
+    level = spark.createDataFrame([("",)], "path string")
+    files = spark.createDataFrame([], "path string, n_bytes long")
+    for _ in range(most_levels):
+        found = step(level.mapInPandas(listed, "path string, n_bytes long, folder boolean"))
+        files = files.unionByName(found.where("NOT folder").drop("folder"))
+        folders = found.where("folder").select("path")
+        n = folders.count()
+        if not n:
+            return files
+        level = folders.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+    raise ValueError(f"{root} is deeper than {most_levels} levels")
+
+
+def read_listed(files: DataFrame, root: str) -> DataFrame:
+    """FILES of ``files(path, n_bytes)`` below ``root``, read by tasks; large files are spread by their size."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _Reader({"path": root})
+        for batch in batches:
+            for path in batch["path"]:  # one file at a time
+                yield pd.DataFrame(reader.read(FileGroup((path,))), columns=FILES.names)
+
+    spark = files.sparkSession
+    total = files.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // (32 << 20)))
+    return files.repartition(parts, F.xxhash64("path")).select("path").mapInPandas(read, FILES)
+
+
 _MARKED = frozenset(m for names in MARKERS.values() for m in names)
 
 
