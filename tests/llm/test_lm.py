@@ -2,9 +2,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from textloom.llm.lm_scoring import score_documents
+from textloom.llm.lm_scoring import _cuts, score_documents
 
 
 def brute(texts, order, alpha=0.4):
@@ -47,3 +48,15 @@ def test_odd_tables(spark):
     assert len(score_documents(docs).collect()) == 3
     assert score_documents(docs.limit(0)).count() == 0
     assert score_documents(docs.where("doc_id IS NULL")).first()["log_score"] == pytest.approx(math.log(0.4) + 2 * math.log(0.4))
+
+
+def test_shards_are_ranges_of_the_hash():
+    rng = np.random.default_rng(1)
+    for shards in (1, 2, 7, 1000, 2**30):
+        grams = np.unique(rng.integers(0, 2**64 - 1, 500, dtype=np.uint64, endpoint=True))
+        want = {0: []}
+        for x in grams.tolist():
+            want.setdefault(x * shards >> 64, []).append(x)
+        to, begin, end = _cuts(grams, shards)
+        assert {int(t): grams[a:b].tolist() for t, a, b in zip(to, begin, end)} == want
+    assert [x.tolist() for x in _cuts(np.zeros(0, np.uint64), 5)] == [[0], [0], [0]]

@@ -52,10 +52,19 @@ def _table(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
 
 
-def _cuts(distinct: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of sorted n-grams begins: shards are ranges of the hash."""
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
+def _cuts(distinct: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shards that sorted n-grams belong to, shard 0 in any case, and where the part of each begins and ends.
+
+    Shards are ranges of the hash: its product with their number, over 2^64. Only shards with n-grams are looked at.
+    """
+    low = np.uint64(32)
+    n = np.uint64(shards)
+    shard = ((distinct >> low) * n + (((distinct & np.uint64(0xFFFFFFFF)) * n) >> low)) >> low
+    to, begin = np.unique(shard, return_index=True)
+    end = np.append(begin[1:], len(distinct))
+    if not len(to) or to[0]:
+        to, begin, end = np.insert(to, 0, 0), np.insert(begin, 0, 0), np.insert(end[: len(to)], 0, 0)
+    return to.astype(np.int64), begin, end
 
 
 def score_block(sizes: np.ndarray, grams: list[np.ndarray], inverse: np.ndarray, counts: np.ndarray, total: int, alpha: float = ALPHA) -> np.ndarray:
@@ -99,10 +108,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sent(key: tuple, part: pa.Table) -> pa.Table:
         sizes, grams = _grams(part["t"].to_pylist(), order)
         distinct, _, counts = _table(grams)
-        cuts = _cuts(distinct, shards)
         # A shard that the block has nothing for gets no row, so there are never more rows than n-grams.
-        to = np.union1d([0], np.flatnonzero(np.diff(cuts)))
-        blobs = [_planes(np.concatenate([np.diff(distinct[a:b], prepend=np.uint64(0)), counts[a:b].astype(np.uint64)])) for a, b in zip(cuts[to], cuts[to + 1], strict=True)]
+        to, begin, end = _cuts(distinct, shards)
+        blobs = [_planes(np.concatenate([np.diff(distinct[a:b], prepend=np.uint64(0)), counts[a:b].astype(np.uint64)])) for a, b in zip(begin, end, strict=True)]
         words = [int(sizes.sum())] + [0] * (len(to) - 1)
         return pa.table({"block": pa.array([key[0].as_py()] * len(to), pa.int64()), "shard": pa.array(to, pa.int32()), "words": pa.array(words, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 

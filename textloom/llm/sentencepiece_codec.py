@@ -107,11 +107,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield number, ids, texts
 
 
-def _dealt(chunks: set[str], shards: int) -> list[list[str]]:
-    """Chunks in order, by shard."""
-    out = [[] for _ in range(shards)]
+def _dealt(chunks: set[str], shards: int) -> dict[int, list[str]]:
+    """Chunks in order, by shard; shards without any are not there, so the work is the chunks', however many shards there are."""
+    out: dict[int, list[str]] = {}
     for c in sorted(chunks):
-        out[zlib.crc32(c.encode()) % shards].append(c)
+        out.setdefault(zlib.crc32(c.encode()) % shards, []).append(c)
     return out
 
 
@@ -139,10 +139,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             chunks = set()
             for t in texts:
                 chunks.update(codec.chunks(t))
-            # A shard that the block has nothing for gets no row, so there are never more rows than chunks.
-            parts = [(k, BETWEEN.join(c)) for k, c in enumerate(_dealt(chunks, shards)) if c]
-            for shard, part in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([part], pa.string())], names=["block", "shard", "chunks"])
+            for shard, part in _dealt(chunks, shards).items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([BETWEEN.join(part)], pa.string())], names=["block", "shard", "chunks"])
 
     def answered(part: pa.Table) -> pa.Table:
         lists = [x.as_py() for x in part["chunks"]]
@@ -173,7 +171,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         parts = _dealt(chunks, shards)
         table = {}
         for a in answers.to_pylist():
-            part = parts[a["shard"]]
+            part = parts.get(a["shard"], [])
             if a["digest"] == _digest(BETWEEN.join(part)):
                 table.update(zip(part, _slices(unpack(a["ids"]), array("i", unpack(a["sizes"]))), strict=True))
         lacking = list(chunks - table.keys())
