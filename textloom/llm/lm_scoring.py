@@ -60,8 +60,8 @@ def _cuts(distinct: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np
     low = np.uint64(32)
     n = np.uint64(shards)
     shard = ((distinct >> low) * n + (((distinct & np.uint64(0xFFFFFFFF)) * n) >> low)) >> low
-    to, begin = np.unique(shard, return_index=True)
-    end = np.append(begin[1:], len(distinct))
+    begin = np.flatnonzero(np.diff(shard, prepend=np.uint64(2**64 - 1)))
+    to, end = shard[begin], np.append(begin[1:], len(distinct))
     if not len(to) or to[0]:
         to, begin, end = np.insert(to, 0, 0), np.insert(begin, 0, 0), np.insert(end[: len(to)], 0, 0)
     return to.astype(np.int64), begin, end
