@@ -370,7 +370,7 @@ def test_families_have_an_implementation(spark):
     from textloom.plans.scan import all_rules
 
     ids = {r.rule_id for r in all_rules(ScanConfig())}
-    assert {x for x in ids if x.endswith(".narrowing")} == {f"{x}.narrowing" for x in ("java", "js", "csharp", "swift", "rust")}
+    assert {x for x in ids if x.endswith(".narrowing")} == {f"{x}.narrowing" for x in ("java", "js", "csharp", "swift", "rust", "golang", "cpp", "python", "ruby")}
     assert {x for x in ids if x.endswith(".async.dropped")} == {f"{x}.async.dropped" for x in ("csharp", "js", "rust", "elixir", "java", "swift", "golang", "cpp", "ruby", "python")}
     files = [
         ("a.js", "x = a / b;\ny = a / 2; // c / d\nz = a / Math.PI;\nw = p.q.r.s;\nif (p.q.r.s) {\n  v(p.q.r.s);\n}\n"),

@@ -85,7 +85,7 @@ def brace_regions(text: str, lang: str) -> list[tuple]:
     found = []
     for a, header, b in sorted(out):
         kind = next((k for k, p in _KINDS if p.search(header)), "block")
-        found.append((kind, *lines.at(a), *lines.at(b), " ".join(header.split())[-200:]))
+        found.append((kind, *lines.at(a), *lines.at(b), " ".join(header.split())))
     return found
 
 
@@ -97,7 +97,7 @@ def python_regions(text: str) -> list[tuple]:
         return []
     kinds = {ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.If: "if", ast.Try: "try", ast.ExceptHandler: "catch", ast.FunctionDef: "function", ast.AsyncFunctionDef: "async", ast.Lambda: "closure", ast.With: "with", ast.AsyncWith: "with", ast.ClassDef: "class"}
     lines = text.splitlines()
-    return sorted((kinds[type(n)], n.lineno, n.col_offset + 1, n.end_lineno, n.end_col_offset, lines[n.lineno - 1].strip()[:200]) for n in ast.walk(tree) if type(n) in kinds)
+    return sorted((kinds[type(n)], n.lineno, n.col_offset + 1, n.end_lineno, n.end_col_offset, lines[n.lineno - 1].strip()) for n in ast.walk(tree) if type(n) in kinds)
 
 
 def regions(files: DataFrame) -> DataFrame:
@@ -165,7 +165,8 @@ def regex_matches(files: DataFrame, patterns: dict[str, tuple[str, str]]) -> Dat
                         rows.append((rule, path, *lines.at(m.start()), *lines.at(max(m.start(), m.end() - 1)), text[m.start() : m.end()], captures))
             yield pd.DataFrame(rows, columns=MATCHES.names)
 
-    return files.select("path", "lang", "text").mapInPandas(mapped, MATCHES)
+    # Texts of other languages do not leave the JVM.
+    return files.where(F.col("lang").isin(*sorted({lang for lang, _ in patterns.values()}))).select("path", "lang", "text").mapInPandas(mapped, MATCHES)
 
 
 def _dotted(node: ast.AST) -> str:
@@ -181,10 +182,10 @@ def python_matches(files: DataFrame, depth: int = 4) -> DataFrame:
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(rule, path, *where) for path, lang, text in zip(batch["path"], batch["lang"], batch["text"], strict=True) if lang == "python" and isinstance(text, str) for rule, *where in _python_rows(text, depth)]
+            rows = [(rule, path, *where) for path, text in zip(batch["path"], batch["text"], strict=True) if isinstance(text, str) for rule, *where in _python_rows(text, depth)]
             yield pd.DataFrame(rows, columns=MATCHES.names)
 
-    return files.select("path", "lang", "text").mapInPandas(mapped, MATCHES)
+    return files.where("lang = 'python'").select("path", "lang", "text").mapInPandas(mapped, MATCHES)
 
 
 def _python_rows(text: str, depth: int) -> Iterator[tuple]:
@@ -193,10 +194,17 @@ def _python_rows(text: str, depth: int) -> Iterator[tuple]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
 
+    raw = [x.encode() for x in re.split(r"\r\n|\n|\r", text)]  # split once: offsets of the syntax tree are bytes of a line
+
+    def segment(node: ast.AST) -> str:
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            return raw[first][node.col_offset : node.end_col_offset].decode("utf-8", "replace")
+        return b"\n".join([raw[first][node.col_offset :], *raw[first + 1 : last], raw[last][: node.end_col_offset]]).decode("utf-8", "replace")
+
     def row(rule: str, node: ast.AST, **captures: ast.AST) -> tuple:
-        code = ast.get_source_segment(text, node) or ""
-        found = {k: {"text": ast.get_source_segment(text, v) or "", "s_line": v.lineno, "s_col": v.col_offset + 1} for k, v in captures.items()}
-        return (rule, node.lineno, node.col_offset + 1, node.end_lineno, node.end_col_offset, code[:400], found)
+        found = {k: {"text": segment(v), "s_line": v.lineno, "s_col": v.col_offset + 1} for k, v in captures.items()}
+        return (rule, node.lineno, node.col_offset + 1, node.end_lineno, node.end_col_offset, segment(node), found)
 
     inner: set[int] = set()
     guarded: set[int] = set()

@@ -114,7 +114,7 @@ class _Reader:
     def __init__(self, text: str, tree: ast.AST):
         self.lines = re.split(LINE_BREAK, text)
         self.plain = text.isascii()
-        self.raw = text.split("\n") if self.plain else [x.encode() for x in text.split("\n")]
+        self.raw = self.lines if self.plain else [x.encode() for x in self.lines]
         self.nodes: list[list] = []  # bits, want, rule, name, line
         self.edges: dict[tuple[int, int], int] = {}
         self.values: dict[int, ast.AST] = {}

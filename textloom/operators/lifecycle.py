@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.source import Lines, masked
 
@@ -176,7 +177,7 @@ def hooks(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, lang, text in zip(batch["path"], batch["lang"], batch["text"], strict=True):
-                if lang != "js" or not isinstance(text, str):
+                if not isinstance(text, str):
                     continue
                 plain, lines = masked(text, lang), Lines(text)
                 for m in _HOOK.finditer(plain):
@@ -195,4 +196,5 @@ def hooks(files: DataFrame) -> DataFrame:
                     rows.append((path, lines.at(m.start())[0], m[1], sorted(used), sorted(local), sorted(declared)))
             yield pd.DataFrame(rows, columns=["path", "line_no", "hook", "used", "local", "declared"])
 
-    return files.select("path", "lang", "text").mapInPandas(mapped, "path string, line_no int, hook string, used array<string>, local array<string>, declared array<string>")
+    some = files.where((F.col("lang") == "js") & F.col("text").rlike(r"\buse(?:Effect|Callback|Memo|LayoutEffect)\s*\("))
+    return some.select("path", "lang", "text").mapInPandas(mapped, "path string, line_no int, hook string, used array<string>, local array<string>, declared array<string>")

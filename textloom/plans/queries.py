@@ -401,6 +401,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c""",
     "last_metrics": "SELECT conv_id, max(turn) FILTER (role = 'user')::VARCHAR AS last_user, max(turn) FILTER (role = 'assistant')::VARCHAR AS last_assistant FROM conversations GROUP BY conv_id",
     "permalinks": f"{_HITS} SELECT DISTINCT path::BIGINT AS path, line_no, 'https://host/blob/main/' || path || '#L' || line_no AS url FROM hits WHERE rule_id LIKE 'insult%'",
     "report_lines": f"{_ALL}, {_SUMMARY} SELECT 'finding' AS type, lang AS language, rule_id, n AS count, NULL::BIGINT AS files, NULL::BIGINT AS critical FROM found WHERE severity <> 'good' UNION ALL SELECT 'scanner', lang, NULL, NULL, files, critical FROM summary UNION ALL SELECT 'totals', NULL, NULL, NULL, sum(files)::BIGINT, sum(critical)::BIGINT FROM summary",
+    "page_flows": r"WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1)::INTEGER AS line_no FROM pages) SELECT page_id AS path, line_no, 2 AS steps FROM l WHERE regexp_matches(line, '\btrack\s*\([^)]*\b[0-9]+\b')",
     "sarif_levels": f"{_ALL} SELECT h.rule_id, CASE f.severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, count(*) AS n, count(DISTINCT h.path) AS files FROM hits h JOIN found f ON f.rule_id = h.rule_id AND f.severity <> 'good' WHERE NOT h.suppressed GROUP BY 1, 2",
     "masked_lengths": "SELECT doc_id AS path, length(text) AS n_chars, length(text) - length(replace(text, chr(10), '')) AS n_breaks FROM documents",
 }

@@ -193,7 +193,7 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
     if by.get("context"):
         wanted = [c for c in CONTEXTUAL if c[0] in by["context"]]
         # Written once: each rule's join reads rows, and does not match the texts again.
-        found, blocks = step(regex_matches(texts, {r.rule_id: (r.lang, p) for r, p, *_ in wanted})), step(regions(texts))
+        found, blocks = step(regex_matches(texts, {r.rule_id: (r.lang, p) for r, p, *_ in wanted})), step(regions(texts.where(F.col("lang").isin(*sorted({r.lang for r, *_ in wanted})))))
         parts = [in_context(found.where(F.col("rule_id") == r.rule_id), blocks, kinds, cold, header) for r, _, kinds, cold, header in wanted]
         add(placed(reduce(DataFrame.unionByName, parts).select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule_id for r in by["context"]})
     if by.get("flow"):
