@@ -15,10 +15,13 @@ from pyspark.sql.window import Window
 AROUND, WITHIN = "around", "within"
 
 
-def labelled(nodes: DataFrame, tests: dict[int, Column], name: str) -> DataFrame:
-    """A row of ``nodes`` for each of ``tests`` that it passes, with the test's number in column ``name``."""
-    passed = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in tests.items()])) if tests else F.array().cast("array<int>")
-    return nodes.withColumn(name, F.explode(passed))
+def labelled(nodes: DataFrame, tests: dict[int, tuple[str, Column]], name: str) -> DataFrame:
+    """A row of ``nodes`` for each of ``tests`` (a language and a condition) that it passes, with the test's number in column ``name``; a node is asked its language's tests only."""
+    passed = None
+    for lang in dict.fromkeys(of for of, _ in tests.values()):
+        mine = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, (of, test) in tests.items() if of == lang]))
+        passed = F.when(F.col("lang") == lang, mine) if passed is None else passed.when(F.col("lang") == lang, mine)
+    return nodes.withColumn(name, F.explode(passed if passed is not None else F.array().cast("array<int>")))
 
 
 def axis_counts(questions: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,6 +26,7 @@ from ..sources.steps import spread, step
 from ..sources.tree import manifest_lines
 from ..sources.versions import ignore_rules, version_ignored
 from .catalogue import ALWAYS_CRITICAL, ALWAYS_INFO, ALWAYS_WARNING, Rule, rules
+from .trees import WORDS, tree_rules
 from .userrules import SyntaxRule, syntax_rule_matches
 
 #: Rules of the structural checks: (rule_id, language, category, tiers, title, remediation).
@@ -94,7 +95,7 @@ def _issue_rules() -> list[Rule]:
 def all_rules(config: ScanConfig, extra: list[Rule] | None = None) -> list[Rule]:
     """Rules of every kind that take part in a scan."""
     flow = [Rule(s.rule_id, s.lang, s.category, "flow", "", "", ALWAYS_CRITICAL, s.title, "Validate the value before it is used") for s in flow_specs()]
-    more = [*STRUCTURAL, *(p[0] for p in PATTERNED), *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules(), *ORDERED, *SQL_TEXTS, *PATTERNS, *HOOKS, *(s[0] for s in SETTINGS)]
+    more = [*STRUCTURAL, *(p[0] for p in PATTERNED), *(c[0] for c in CONTEXTUAL), *flow, *_issue_rules(), *ORDERED, *SQL_TEXTS, *PATTERNS, *HOOKS, *(s[0] for s in SETTINGS), *(r.rule for r in tree_rules())]
     more += [Rule(f"{lang}.unreachable", lang, 10, "next_line", "", "", ((5, "info"),), "Code behind a jump", "Delete it") for lang in ("js", "python", "golang", "java", "csharp")]
     return rules(config, extra) + [r for r in more if config.runs(r.lang, r.category, r.rule_id)]
 
@@ -221,8 +222,12 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         kinds = [F.when(F.col("key").rlike(p) & (F.col("value") == v), F.lit(r.rule_id)) for r, p, v in SETTINGS]
         settings = plist_settings(files.select("path", "text")).select(F.coalesce(*kinds).alias("rule_id"), "path", F.lit(0).alias("line_no"), F.concat_ws(" = ", "key", "value").alias("code"))
         add(placed(settings.where("rule_id IS NOT NULL")), {r.rule_id for r in by["setting"]})
-    if own:
-        add(placed(syntax_rule_matches(texts, own).select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule.rule_id for r in own})
+    ids = {r.rule_id for r in by.get("syntax", [])}
+    trees = [r for r in tree_rules() if r.rule.rule_id in ids] + own
+    if trees:
+        asked = {r.rule.lang for r in own}  # a user's rules may hold anywhere
+        found = syntax_rule_matches(texts, trees, {lang: words for lang, words in WORDS.items() if lang not in asked})
+        add(placed(found.select("rule_id", "path", F.col("s_line").alias("line_no"), "code")), {r.rule.rule_id for r in trees})
     if by.get("next_line"):
         dead = unreachable(lines)
         seen.append(placed(dead.withColumnRenamed("lang", "_of").select(F.concat("_of", F.lit(".unreachable")).alias("rule_id"), "path", "line_no", F.col("line").alias("code"), "suppressed")).select("lang", "category", "rule_id", "path", "line_no", "code", "suppressed"))

@@ -22,6 +22,7 @@ from ..sources.versions import ignore_rules, version_ignored
 from .checks import _COUNTED, _PATHS, _corpora, _made, _of_kind, _paths, _programs, _sums, _values
 from .queries import _ALL, _SUMMARY, _read
 from .scan import scan
+from .trees import TREES, tree_rules
 from .userrules import syntax_rule, syntax_rule_matches
 
 # --- Flows and origins
@@ -167,6 +168,16 @@ def related_syntax_rules(spark, sf):
     return found.where(F.col("rule_id") == F.element_at(F.split("path", "/"), -1)).select("path", "s_line")
 
 
+_EXAMPLES = [(f"t{k}", lang, text) for k, (lang, _, _, _, _, text, _) in enumerate(TREES)]
+
+
+def syntax_catalogue(spark, sf):
+    """The catalogue's syntax rules over programs that are their examples."""
+    found = syntax_rule_matches(_programs(spark, sf, _EXAMPLES), list(tree_rules()))
+    names = F.create_map(*[F.lit(x) for k, (lang, name, *_) in enumerate(TREES) for x in (f"t{k}", f"{lang}.tree.{name}")])
+    return found.where(F.col("rule_id") == names[F.element_at(F.split("path", "/"), -1)]).select("path", "rule_id", "s_line")
+
+
 def axis_totals(spark, sf):
     """Documents as nodes of trees, four levels deep, in the order of their ids: how many are around each and in it."""
     level = F.col("doc_id") % 4
@@ -256,7 +267,7 @@ def module_report_counts(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ordered_request_flows, dataflow_families, related_syntax_rules, axis_totals, graded_sql_texts, statement_lines, declared_modules, modules_for_tests, user_syntax_rules, ignored_by_version_control, language_excludes, whole_scan, small_scan, scanned_languages, sarif_parts, module_report_counts,
+        ordered_request_flows, dataflow_families, related_syntax_rules, syntax_catalogue, axis_totals, graded_sql_texts, statement_lines, declared_modules, modules_for_tests, user_syntax_rules, ignored_by_version_control, language_excludes, whole_scan, small_scan, scanned_languages, sarif_parts, module_report_counts,
     )
 }
 
@@ -265,6 +276,7 @@ SQL: dict[str, str] = {
     "ordered_request_flows": _made(_ORDER, [(path, f"python.ordered.{rule}", n, trail) for rule, path, n, trail in (("redirect", "flow.py", 4, "request.args>u>v>redirect"), ("redirect", "far.py", 15, "request.args>u>redirect"), ("redirect", "named.py", 1, "request.args>redirect"), ("outbound", "get.py", 3, "request.args>r>requests.get"))], "path, rule_id, line_no, trail"),
     "dataflow_families": _made(_SPREAD, [(f"{family}/bad.py", f"python.ordered.{family}", n) for family, n, _, _ in _FAMILY], "path, rule_id, line_no"),
     "related_syntax_rules": _made(_RELATED_FILES, [(f"r{k}", n) for k, (_, _, _, lines) in enumerate(_RELATED) for n in lines], "path, s_line"),
+    "syntax_catalogue": _made(_EXAMPLES, [(f"t{k}", f"{lang}.tree.{name}", n) for k, (lang, name, _, _, _, _, lines) in enumerate(TREES) for n in lines], "path, rule_id, s_line"),
     "axis_totals": "WITH x AS (SELECT doc_id, lang IS NOT NULL AND lang = 'en' AS label, doc_id % 4 AS level, (4 ** (doc_id % 4))::BIGINT AS width FROM documents), n AS (SELECT doc_id, label, (doc_id - doc_id % width) * 10 + 3 - level AS pre, (doc_id - doc_id % width + width) * 10 - 4 + level AS post FROM x) SELECT q.doc_id, (SELECT count(*) FROM n m WHERE m.label = q.label AND m.pre < q.pre AND m.post > q.post) AS n_around, (SELECT count(*) FROM n m WHERE m.label = q.label AND m.pre > q.pre AND m.post < q.post) AS n_within FROM n q",
     "graded_sql_texts": _made(_EXECUTED, [(path, f"python.sql_text.{grade}", n) for grade, path, n in (("tainted", "a.py", 2), ("unknown", "b.py", 4), ("tainted", "b.py", 6), ("tainted", "c.py", 2), ("tainted", "c.py", 3), ("tainted", "d.py", 2), ("tainted", "d.py", 6))], "path, rule_id, line_no"),
     "statement_lines": _made(_SPANS, [("a.py", 1, 3), ("a.py", 6, 7), ("a.js", 1, 3), ("a.js", 5, 6)], "path, s_line, e_line"),

@@ -123,6 +123,8 @@ def _leaf(spec: dict, where: str, lang: str) -> tuple[Test, ...]:
     if not isinstance(spec, dict) or set(spec) - known or not set(spec) & (known - {"stopBy"}):
         raise ValueError(f"{where}: one of any, kind, pattern and regex is missing, or something else is there")
     if "any" in spec:
+        if set(spec) - {"any", "stopBy"}:
+            raise ValueError(f"{where}: any stands beside other tests")
         return tuple(t for x in spec["any"] for t in _leaf(x, where, lang))
     kind = spec.get("kind")
     if kind is not None and NODE_KINDS.get(kind, kind) not in KINDS:
@@ -136,8 +138,12 @@ def _leaf(spec: dict, where: str, lang: str) -> tuple[Test, ...]:
 def _read(rule: SyntaxRule, spec: dict, where: str, wanted: bool = True) -> None:
     lang = rule.rule.lang
     itself = {k: v for k, v in spec.items() if k in ("any", "kind", "pattern", "regex")}
-    if itself:
-        rule.itself.append((_leaf(itself, where, lang), wanted))
+    parts = [{"any": itself["any"]}] if "any" in itself else []
+    parts += [rest] if (rest := {k: v for k, v in itself.items() if k != "any"}) else []
+    if len(parts) > 1 and not wanted:
+        raise ValueError(f"{where}: not cannot hold any beside other tests of a node")
+    for part in parts:
+        rule.itself.append((_leaf(part, where, lang), wanted))
     for key, value in spec.items():
         if key in ("has", "inside"):
             if not isinstance(value, dict) or not set(value) & {"any", "kind", "pattern", "regex"}:
@@ -185,7 +191,7 @@ def _either(tests: tuple[Test, ...]) -> Column:
 
 def _itself(rule: SyntaxRule) -> Column:
     """The condition on a node alone. Unless a test names kinds, a rule is about statements, so that each place is found once."""
-    out = F.col("lang") == rule.rule.lang
+    out = F.lit(True)
     if not any(t.kinds for tests, wanted in rule.itself if wanted for t in tests):
         out &= F.col("kind").isin(*STATEMENTS)
     for tests, wanted in rule.itself:
@@ -201,20 +207,23 @@ def match_nodes(nodes: DataFrame, rules: list[SyntaxRule]) -> DataFrame:
     for k, r in enumerate(rules):
         for tests, axis, wanted in r.related:
             wants.append((k, labels.setdefault((r.rule.lang, tests), len(labels)), axis, wanted))
-    hits = labelled(nodes, {k: _itself(r) for k, r in enumerate(rules)}, "rule")
+    hits = labelled(nodes, {k: (r.rule.lang, _itself(r)) for k, r in enumerate(rules)}, "rule")
     # What a node has may be in its own code, where names and the like are no nodes.
     own = reduce(lambda a, b: a & b, [F.when(F.col("rule") == k, _either(tests) == wanted).otherwise(True) for k, r in enumerate(rules) for tests, axis, wanted in r.related if axis == WITHIN and not wanted], F.lit(True))
     if wants:
-        marks = labelled(nodes, {n: (F.col("lang") == lang) & _either(tests) for (lang, tests), n in labels.items()}, "label").select("path", "label", "pre", "post")
+        marks = labelled(nodes, {n: (lang, _either(tests)) for (lang, tests), n in labels.items()}, "label").select("path", "label", "pre", "post")
         hits = structural_filter(hits.where(own), marks, spark.createDataFrame(wants, "rule int, label int, axis string, wanted boolean"))
     names = F.array(*[F.lit(r.rule.rule_id) for r in rules])
     return hits.withColumn("rule_id", names[F.col("rule")]).drop("rule")
 
 
-def syntax_rule_matches(files: DataFrame, rules: list[SyntaxRule]) -> DataFrame:
+def syntax_rule_matches(files: DataFrame, rules: list[SyntaxRule], some: dict[str, str] | None = None) -> DataFrame:
     """``(rule_id, path, s_line, s_col, e_line, e_col, code)`` of the rules in ``files(path, lang, text)``.
 
-    The files are parsed once, whatever the number of rules: nodes are written, and all else is joins of them.
+    The files are parsed once, whatever the number of rules: nodes are written, and all else is joins of them. Texts of a language in
+    which its pattern of ``some`` is not found are not parsed.
     """
-    nodes = step(syntax_nodes(files.where(F.col("lang").isin(*sorted({r.rule.lang for r in rules})))))
+    langs = sorted({r.rule.lang for r in rules})
+    kept = reduce(lambda a, b: a | b, [(F.col("lang") == lang) & (F.col("text").rlike((some or {})[lang]) if lang in (some or {}) else F.lit(True)) for lang in langs])
+    nodes = step(syntax_nodes(files.where(kept)))
     return match_nodes(nodes, rules).select("rule_id", "path", "s_line", "s_col", "e_line", "e_col", F.translate("code", MARKS, SIGNS).alias("code"))
