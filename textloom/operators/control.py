@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.syntax import MARKS, SIGNS
+from ..sources.steps import step
 
 
 def plain_code(code: str | Column = "code") -> Column:
@@ -118,7 +119,7 @@ def scoped_open(events: DataFrame, scopes: DataFrame, most: int = 64) -> DataFra
     depth = scopes.where("up IS NULL").select("path", "scope", F.lit(0).alias("depth"))
     levels = [depth]
     for d in range(1, most + 1):
-        levels.append(scopes.join(levels[-1].select("path", F.col("scope").alias("up")), ["path", "up"]).select("path", "scope", F.lit(d).alias("depth")))
+        levels.append(step(scopes.join(levels[-1].select("path", F.col("scope").alias("up")), ["path", "up"]).select("path", "scope", F.lit(d).alias("depth"))))
         if levels[-1].isEmpty():
             levels.pop()
             break

@@ -26,6 +26,7 @@ from ..operators.ambiguity import exponential_patterns
 from ..operators.control import guard_then_use, guards, held_resources
 from ..operators.lifecycle import dropped_tasks, hooks, issues, unreleased
 from ..sources import sinks
+from ..sources.steps import step
 from ..sources.tree import changed_paths, listed_paths, manifest_lines, notebook_outputs, sarif_counts
 from .catalogue import Rule, rules, rules_frame, variants
 from .queries import _ALL, _HITS, _PLAIN, _SPANS, _SUMMARY, LANGS, RULES, _events, _files, _found, _lines, _marked, _read, _spans, _text
@@ -493,7 +494,7 @@ _GUARDS = [
 
 
 def narrowed_values(spark, sf):
-    return guard_then_use(syntax_nodes(_programs(spark, sf, _GUARDS))).select("path", "line_no", "name")
+    return guard_then_use(step(syntax_nodes(_programs(spark, sf, _GUARDS)))).select("path", "line_no", "name")
 
 
 _SCOPED = [
@@ -506,7 +507,7 @@ _SCOPED = [
 
 def scoped_resources(spark, sf):
     """Resources that are not released, where a release ends the latest open one of its name in the nearest scope that has any."""
-    return held_resources(syntax_nodes(_programs(spark, sf, _SCOPED))).select("path", "line_no", "kind", "name")
+    return held_resources(step(syntax_nodes(_programs(spark, sf, _SCOPED)))).select("path", "line_no", "kind", "name")
 
 
 _FORMS = [
@@ -517,7 +518,7 @@ _FORMS = [
 
 def guard_forms(spark, sf):
     """Conditions by form, and the places that they protect."""
-    found = guards(syntax_nodes(_programs(spark, sf, _FORMS)))
+    found = guards(step(syntax_nodes(_programs(spark, sf, _FORMS))))
     return C.guard_regions(found.withColumn("path", F.concat_ws("|", "path", "form"))).select(F.split("path", r"\|")[0].alias("path"), F.split("path", r"\|")[1].alias("form"), "s_line", F.col("s_col").alias("col"), "e_line", F.col("e_col").alias("e_col"))
 
 
