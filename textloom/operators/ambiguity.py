@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import step
+
 _parser = re._parser  # the standard library's own reading of a pattern
 _OTHER = 1 << 128  # all characters beyond ASCII are alike
 _EVERY = (1 << 129) - 1
@@ -28,6 +31,8 @@ PLACES = {
     "csharp": r"""\bRegex(?:\.\w+)?\([^"]*@?"((?:\\.|[^"\\])*)\"""",
     "ruby": r"""(?:=~\s*|\(|=\s*)/((?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\[])+)/""",
 }
+#: What a text has in which one may stand.
+HINTS = {"python": r"\bre\.", "js": r"RegExp|(?m)(?:^|[=(,:\[!&|?{};])\s*/[^/*\s]", "java": r"Pattern|matches\(|replaceAll|replaceFirst|split\(", "csharp": r"Regex", "ruby": r"[=(~]\s*/"}
 _CATEGORIES = {"digit": "0123456789", "space": " \t\n\r\f\v", "word": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"}
 
 
@@ -196,9 +201,14 @@ def pattern_literals(lines: DataFrame) -> DataFrame:
     return found.select("path", "lang", "line_no", F.when(doubled, F.replace("raw", F.lit("\\\\"), F.lit("\\"))).otherwise(F.col("raw")).alias("pattern"))
 
 
+def with_patterns(files: DataFrame) -> DataFrame:
+    """Files of ``files(path, lang, text)`` in which a pattern may be written."""
+    return files.where(reduce(lambda a, b: a | b, [(F.col("lang") == lang) & F.col("text").rlike(hint) for lang, hint in HINTS.items()]))
+
+
 def exponential_patterns(lines: DataFrame) -> DataFrame:
     """``(path, lang, line_no, pattern)`` of those that a backtracking matcher may take exponential time for; each distinct one is judged once."""
-    found = pattern_literals(lines)
+    found = step(pattern_literals(lines))  # read twice
 
     @F.pandas_udf("boolean")
     def judged(patterns: pd.Series) -> pd.Series:

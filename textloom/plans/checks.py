@@ -22,7 +22,7 @@ from ..operators import correlate as C
 from ..operators import lines as L
 from ..operators import prune as P
 from ..operators.flow import FlowSpec, flow_specs, flows
-from ..operators.ambiguity import exponential_patterns
+from ..operators.ambiguity import exponential_patterns, with_patterns
 from ..operators.control import guard_then_use, guards, held_resources
 from ..operators.lifecycle import dropped_tasks, hooks, issues, unreleased
 from ..sources import sinks
@@ -532,7 +532,7 @@ _PATTERNS = [
 
 def exponential_regexes(spark, sf):
     """Patterns in programs with a loop that reads one text in two ways."""
-    lines = explode_lines(_programs(spark, sf, _PATTERNS))
+    lines = explode_lines(with_patterns(_programs(spark, sf, _PATTERNS)))
     return exponential_patterns(lines).select("path", "line_no", "pattern")
 
 

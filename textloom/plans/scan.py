@@ -16,7 +16,7 @@ from ..operators.aggregate import at_least, counts, difference, exit_code, findi
 from ..operators.correlate import dependency_gaps, guard_regions, in_context, outside, risky_divisions
 from ..operators.dataflow import FAMILIES, python_flows
 from ..operators.flow import flow_specs, flows
-from ..operators.ambiguity import PLACES, exponential_patterns
+from ..operators.ambiguity import PLACES, exponential_patterns, with_patterns
 from ..operators.control import GUARD_WORDS, NARROWINGS, guard_then_use, guards
 from ..operators.lifecycle import DROPPED, hooks, issues
 from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
@@ -212,7 +212,7 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         found = python_flows(texts, ()).select("rule_id", "path", "line_no", F.concat_ws("  # ", "code", F.array_join("trail", " -> ")).alias("code"))
         add(placed(found), ids)
     if by.get("pattern"):
-        found = exponential_patterns(lines.select("path", "lang", "line_no", "line")).withColumnRenamed("lang", "_lang")
+        found = exponential_patterns(explode_lines(with_patterns(texts))).withColumnRenamed("lang", "_lang")
         add(placed(found.select(F.concat("_lang", F.lit(".regex.exponential")).alias("rule_id"), "path", "line_no", F.col("pattern").alias("code"))), {r.rule_id for r in by["pattern"]})
     if by.get("hook"):
         gaps = dependency_gaps(hooks(texts))

@@ -48,11 +48,10 @@ class Test:
     def column(self) -> Column:
         out = F.col("kind").isin(*self.kinds) if self.kinds else F.lit(True)
         if self.pattern is not None:
-            out &= F.concat("code", F.lit(" ")).rlike(self.pattern)
+            out &= F.col("_ended").rlike(self.pattern)
         if self.regex is not None:
             # As it is usually written, and with all blanks.
-            text = F.translate("code", MARKS, SIGNS)
-            out &= F.regexp_replace(text, r"(?<!\w) | (?!\w)", "").rlike(self.regex) | text.rlike(self.regex)
+            out &= F.col("_plain").rlike(self.regex) | F.col("_text").rlike(self.regex)
         return out
 
 
@@ -202,6 +201,9 @@ def _itself(rule: SyntaxRule) -> Column:
 def match_nodes(nodes: DataFrame, rules: list[SyntaxRule]) -> DataFrame:
     """Nodes that fulfil a rule, with rule_id: every test is an expression over NODES, every relation a part of one structural join."""
     spark = nodes.sparkSession
+    # The forms of the code that tests look at are made once a node.
+    nodes = nodes.withColumn("_text", F.translate("code", MARKS, SIGNS)).withColumn("_ended", F.concat("code", F.lit(" ")))
+    nodes = nodes.withColumn("_plain", F.regexp_replace("_text", r"(?<!\w) | (?!\w)", ""))
     labels: dict[tuple, int] = {}
     wants = []
     for k, r in enumerate(rules):
@@ -214,7 +216,7 @@ def match_nodes(nodes: DataFrame, rules: list[SyntaxRule]) -> DataFrame:
         marks = labelled(nodes, {n: (lang, _either(tests)) for (lang, tests), n in labels.items()}, "label").select("path", "label", "pre", "post")
         hits = structural_filter(hits.where(own), marks, spark.createDataFrame(wants, "rule int, label int, axis string, wanted boolean"))
     names = F.array(*[F.lit(r.rule.rule_id) for r in rules])
-    return hits.withColumn("rule_id", names[F.col("rule")]).drop("rule")
+    return hits.withColumn("rule_id", names[F.col("rule")]).drop("rule", "_text", "_ended", "_plain")
 
 
 def syntax_rule_matches(files: DataFrame, rules: list[SyntaxRule], some: dict[str, str] | None = None) -> DataFrame:
