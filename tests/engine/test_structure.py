@@ -3,6 +3,8 @@ import subprocess
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from textloom.config import ScanConfig
 from textloom.operators import prune as P
 from textloom.functions.syntax import parse
@@ -285,3 +287,27 @@ def test_resources_by_scope(spark):
     want = {(s, name, off) for (s, name), offs in left.items() for off in offs}
     got = scoped_open(spark.createDataFrame(events, "path string, scope int, name string, off int, opens boolean"), spark.createDataFrame(scopes, "path string, scope int, up int"))
     assert {(r.scope, r.name, r.off) for r in got.collect()} == want
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from textloom.functions.source import regions, statements
+    from textloom.functions.syntax import syntax_nodes
+    from textloom.operators.flow import flows
+    from textloom.sources.steps import ARROW_ROWS, by_file
+
+    def sized(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    text = "if (a.b) {\n  eval(req.query.a,\n    1);\n}\n"
+    files = spark.range(0, 3000, 1, 1).selectExpr("concat(id, '.js') AS path", "'js' AS lang").withColumn("text", F.lit(text))
+    for stage in (syntax_nodes, regions, statements, flows):
+        for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+            spark.conf.unset(key)
+        rows = stage(files)
+        sizes = [r["n"] for r in rows.mapInArrow(sized, "n long").collect()]
+        assert sum(sizes) == rows.count() >= 3000 and max(sizes) <= ARROW_ROWS
+    many = by_file(spark.range(0, 3, 1, 1), ["id"], lambda k: ((k, x) for x in range(5001)), "id long, x int")
+    assert many.distinct().count() == many.count() == 3 * 5001

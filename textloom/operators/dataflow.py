@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from ..config import SUPPRESSION_MARKERS
 from ..functions.source import _dotted
 from ..functions.text import LINE_BREAK
 from ..schemas import FLOW
-from ..sources.steps import step
+from ..sources.steps import by_file, step
 from .flow import SOURCES
 
 
@@ -443,14 +442,12 @@ def program_facts(text: str | None, markers: tuple[str, ...] = SUPPRESSION_MARKE
 def dataflow_facts(files: DataFrame, markers: tuple[str, ...] = SUPPRESSION_MARKERS) -> DataFrame:
     """FACTS of the Python files of ``files(path, lang, text)``; texts without a source and an executed text are let go on the JVM."""
 
-    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(path, *fact) for path, text in zip(batch["path"], batch["text"], strict=True) for fact in program_facts(text, markers)]
-            frame = pd.DataFrame(rows, columns=[x.split()[0] for x in FACTS.split(", ")])
-            yield frame.astype({"src": "Int32", "keep": "Int64", "bits": "Int64", "want": "Int64", "line_no": "Int32"})
+    def facts(path: str, text: str) -> Iterator[tuple]:
+        return ((path, *fact) for fact in program_facts(text, markers))
 
     some = "|".join([*(f"(?:{p.pattern})" for p, _ in _SOURCE), r"\b(?:" + "|".join(sorted(_EXECUTES)) + r")\s*\("])
-    return files.where((F.col("lang") == "python") & F.col("text").rlike(some)).select("path", "text").mapInPandas(mapped, FACTS)
+    types = {"src": "Int32", "keep": "Int64", "bits": "Int64", "want": "Int64", "line_no": "Int32"}
+    return by_file(files.where((F.col("lang") == "python") & F.col("text").rlike(some)), ["path", "text"], facts, FACTS, types)
 
 
 def spread_bits(facts: DataFrame, steps: int = 5) -> DataFrame:

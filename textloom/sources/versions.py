@@ -6,10 +6,10 @@ import re
 import subprocess
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .steps import by_file
 from .tree import changed_paths
 
 IGNORE_FILE = ".gitignore"
@@ -57,12 +57,10 @@ def ignore_pattern(line: str) -> tuple[str, bool, bool] | None:
 def ignore_rules(files: DataFrame) -> DataFrame:
     """``(base, k, pattern, keeps, directories)``: rules of all ignore files of ``files(path, text)`` with their folder (empty at the root) and order."""
 
-    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(path.rpartition("/")[0], k, *rule) for path, text in zip(batch["path"], batch["text"], strict=True) if isinstance(text, str) for k, line in enumerate(text.splitlines()) if (rule := ignore_pattern(line))]
-            yield pd.DataFrame(rows, columns=["base", "k", "pattern", "keeps", "directories"])
+    def listed(path: str, text: str | None) -> Iterator[tuple]:
+        return ((path.rpartition("/")[0], k, *rule) for k, line in enumerate(text.splitlines() if isinstance(text, str) else ()) if (rule := ignore_pattern(line)))
 
-    return files.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select("path", "text").mapInPandas(mapped, _RULES)
+    return by_file(files.where(F.col("path").rlike(r"(^|/)\.gitignore$")), ["path", "text"], listed, _RULES)
 
 
 def version_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
