@@ -311,3 +311,12 @@ def test_texts_go_to_python_in_small_batches(spark):
         assert sum(sizes) == rows.count() >= 3000 and max(sizes) <= ARROW_ROWS
     many = by_file(spark.range(0, 3, 1, 1), ["id"], lambda k: ((k, x) for x in range(5001)), "id long, x int")
     assert many.distinct().count() == many.count() == 3 * 5001
+
+
+def test_reports_do_not_read_texts_again(spark):
+    from textloom.plans import checks, queries
+
+    found, sums, _ = checks._sums(spark, "/root/testdata/sf0.001")
+    every, _ = queries._occurred(spark, "/root/testdata/sf0.001")
+    for frame in (found, sums, every):
+        assert "parquet" not in frame._jdf.queryExecution().analyzed().toString()
