@@ -320,3 +320,14 @@ def test_reports_do_not_read_texts_again(spark):
     every, _ = queries._occurred(spark, "/root/testdata/sf0.001")
     for frame in (found, sums, every):
         assert "parquet" not in frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_texts_that_matches_hold():
+    from textloom.functions.text import literal_of, texts_of
+    from textloom.plans.checks import _of_kind
+
+    assert texts_of(r"(?i)\b\w*(pass|Secret)\w*\s*[:=]") == {"pass", "secret"}
+    assert texts_of(r"(ab)?cde|fgh+") == {"cde", "fg"} or texts_of(r"(ab)?cde|fgh+") == {"cde", "fgh"}
+    assert not texts_of(r"a|bcd") and not texts_of(r"(?:abc)*x") and not texts_of(r"[a[bc]]def]") and not texts_of(r"(?=abc)\w")
+    loose = [r for r in _of_kind("line") if r.ignore_case or not literal_of(r.pattern)]
+    assert sum(bool(texts_of(r.pattern)) for r in loose) > 100
