@@ -76,6 +76,31 @@ FACTS = "path string, id int, src int, keep long, bits long, want long, rule_id
 _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 
 
+#: Nodes that name an operator or how a name is used; nothing is below them.
+_WORDLESS = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+
+
+def _below(node: ast.AST) -> list[ast.AST]:
+    """A node's children in order without the wordless ones: a loop over fields, since a program's expressions are read several times."""
+    out: list[ast.AST] = []
+    for field in node._fields:
+        x = getattr(node, field, None)
+        if isinstance(x, list):
+            out.extend(y for y in x if isinstance(y, ast.AST) and not isinstance(y, _WORDLESS))
+        elif isinstance(x, ast.AST) and not isinstance(x, _WORDLESS):
+            out.append(x)
+    return out
+
+
+def _walk(node: ast.AST) -> list[ast.AST]:
+    """A node and all below it but the wordless ones, level by level."""
+    out = [node]
+    for x in out:
+        if not isinstance(x, (ast.Name, ast.Constant)):
+            out += _below(x)
+    return out
+
+
 class _State:
     """What holds at a point: the node in force of each name, and the rules that a name is checked for; of a branch, what it changes."""
 
@@ -182,7 +207,7 @@ class _Reader:
                 self.nodes[into].append(m[0].strip(" (")) if len(self.nodes[into]) == 5 else None
         if texts:
             self.nodes[into][0] |= self.level(node, state)
-        for x in ast.walk(node):
+        for x in _walk(node):
             name = x.id if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load) else _dotted(x) if isinstance(x, ast.Attribute) else ""
             if name and (src := self.lookup(name, state)) is not None:
                 self.edge(src, into, (_ALL & ~clean & ~state.checks_of(name)) | RUNTIME | UNKNOWN)
@@ -217,6 +242,8 @@ class _Reader:
         todo = [node]
         while todo:
             x = todo.pop()
+            if isinstance(x, (ast.Name, ast.Constant)):
+                continue
             if isinstance(x, ast.Lambda):
                 self.later.append((x, []))
                 continue
@@ -227,7 +254,7 @@ class _Reader:
                 self.bind(x.target, x.value, state)
             elif isinstance(x, ast.Call):
                 self.call(x, state)
-            todo.extend(reversed(list(ast.iter_child_nodes(x))))
+            todo.extend(reversed(_below(x)))
 
     def call(self, node: ast.Call, state: _State) -> None:
         called = _dotted(node.func) or getattr(node.func, "attr", "")

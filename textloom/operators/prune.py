@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from ..config import EXTENSIONS, MARKERS, ScanConfig, languages
 from ..functions.text import extension, ignored, language_of
 
+#: What the tests in a file begin with.
+TEST_MARKER = r"^\s*#\[cfg\(test\)\]|^\s*mod\s+tests\b"
+
 
 def classify(files: DataFrame, extensions: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``files`` with ext and lang from the path."""
@@ -23,10 +26,14 @@ def prune(files: DataFrame, config: ScanConfig) -> DataFrame:
     if "n_bytes" in files.columns:
         kept = kept.where(F.col("n_bytes") <= config.max_file_bytes)
     wanted = languages(list(config.extensions), list(config.only), list(config.exclude))
-    for lang, globs in config.excluded.items():
-        if globs and lang in wanted:
-            kept = kept.where((F.col("lang") != lang) | ~ignored(F.regexp_replace("path", "/?[^/]*$", ""), globs))
-    return kept.where(F.col("lang").isin(wanted))
+    kept = kept.where(F.col("lang").isin(wanted))
+    excluded = {lang: globs for lang, globs in config.excluded.items() if globs and lang in wanted}
+    if excluded:
+        folder = F.left("path", F.length("path") - F.length(F.substring_index("path", "/", -1)) - 1)
+        each = reduce(lambda a, b: a & b, ((F.col("lang") != lang) | ~ignored(folder, globs) for lang, globs in excluded.items()))
+        # One test for all languages' directories lets most files pass without a look at their language.
+        kept = kept.where(~ignored(folder, sorted(set().union(*excluded.values()))) | each)
+    return kept
 
 
 def targets(directories: DataFrame, explicit: DataFrame, config: ScanConfig) -> DataFrame:
@@ -77,7 +84,7 @@ def suggested_ignores(files: DataFrame, config: ScanConfig, more_than: int = 200
     return counted.where((F.col("n_files") > more_than) & ~ignored(F.col("top_dir"), config.ignores))
 
 
-def before_tests(lines: DataFrame, marker: str = r"^\s*#\[cfg\(test\)\]|^\s*mod\s+tests\b") -> DataFrame:
+def before_tests(lines: DataFrame, marker: str = TEST_MARKER) -> DataFrame:
     """Lines before the first test marker of their file."""
     first = F.min(F.when(F.col("line").rlike(marker), F.col("line_no"))).over(Window.partitionBy("path"))
     return lines.withColumn("_first", first).where("_first IS NULL OR line_no < _first").drop("_first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,10 +20,10 @@ from ..operators.flow import flow_specs, flows
 from ..operators.ambiguity import PLACES, exponential_patterns, with_patterns
 from ..operators.control import GUARD_WORDS, NARROWINGS, guard_then_use, guards
 from ..operators.lifecycle import DROPPED, hooks, issues
-from ..operators.lines import balances, lacking, mark_suppressed, occurrences, ratios, unreachable
-from ..operators.prune import before_tests, detected_languages, module_edges, outside_test_directories, prune, test_only_modules, without
+from ..operators.lines import balances, has_marker, lacking, mark_suppressed, occurrences, ratios, unreachable
+from ..operators.prune import TEST_MARKER, detected_languages, module_edges, outside_test_directories, prune, test_only_modules, without
 from ..sources import sinks
-from ..sources.steps import spread, step
+from ..sources.steps import by_key, spread, step
 from ..sources.tree import manifest_lines
 from ..sources.versions import ignore_rules, version_ignored
 from .catalogue import ALWAYS_CRITICAL, ALWAYS_INFO, ALWAYS_WARNING, Rule, rules
@@ -138,6 +139,38 @@ class ScanResult:
         return spark.createDataFrame([(text,)], "value string")
 
 
+def _taking_part(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """The files that are scanned. Where that takes joins, as ignore rules and modules for tests do, they are written once: every kind of rule reads them."""
+    kept = prune(files, config)
+    if config.exclude_tests:
+        kept = outside_test_directories(kept)
+    gone = [step(version_ignored(kept, ignore_rules(files)))] if config.respect_ignore_files else []
+    if config.exclude_tests:
+        edges = module_edges(kept)
+        for end in ("src", "dst") if gone else ():
+            edges = edges.join(gone[0].withColumnRenamed("path", end), end, "left_anti")
+        gone.append(test_only_modules(edges))
+    return step(without(by_key(kept, "path"), reduce(DataFrame.unionByName, gone))) if gone else spread(kept)
+
+
+def _suppressed(seen: list[DataFrame], others: list[DataFrame], texts: DataFrame, lines_of: Callable[[DataFrame], DataFrame], config: ScanConfig) -> DataFrame:
+    """Occurrences of all kinds, ``seen`` with and ``others`` without suppressed, with what the markers cover; only texts that hold a marker are looked at for that."""
+    marked = texts.where(has_marker("text", config.markers))
+    marks = lines_of(marked).where("suppressed").select(F.col("path").alias("_p"), F.col("line_no").alias("_l"))
+    if config.statement_suppression:
+        # A marker anywhere in a statement, or on the line above it, holds for all its lines.
+        marks = step(marks)
+        spans = statements(marked).join(marks, (F.col("path") == F.col("_p")) & F.col("_l").between(F.col("s_line"), F.col("e_line"))).select("_p", F.explode(F.sequence("s_line", "e_line")).alias("_l"))
+        marks = marks.unionByName(spans)
+        seen, others = [], [*(s.withColumn("_here", F.col("suppressed")).drop("suppressed") for s in seen), *others]
+    if others:
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others)
+        here = F.coalesce("_here", F.lit(False)) if "_here" in rows.columns else F.lit(False)
+        found = rows.join(marks.distinct(), (F.col("path") == F.col("_p")) & (F.col("line_no") == F.col("_l")), "left")
+        seen = [*seen, found.select("lang", "category", "rule_id", "path", "line_no", "code", (here | F.col("_p").isNotNull()).alias("suppressed"))]
+    return reduce(DataFrame.unionByName, seen)
+
+
 def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] | None = None, own: list[SyntaxRule] | None = None) -> ScanResult:
     """Scan ``files`` (FILES, or path and text at least) by the catalogue, ``extra`` rules and a user's ``own`` syntax rules.
 
@@ -147,30 +180,26 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
     """
     config = config or ScanConfig()
     spark = files.sparkSession
-    kept = spread(prune(files, config))
-    if config.respect_ignore_files:
-        kept = without(kept, version_ignored(files, ignore_rules(files)))
-    if config.exclude_tests:
-        kept = outside_test_directories(kept)
-        kept = without(kept, test_only_modules(module_edges(kept)))
+    kept = _taking_part(files, config)
     texts = kept.select("path", "lang", "text")
     own = [r for r in own or [] if config.runs(r.rule.lang, r.rule.category, r.rule.rule_id)]
     chosen = all_rules(config, extra) + [r.rule for r in own]
     by = {kind: [r for r in chosen if r.kind == kind] for kind in {r.kind for r in chosen}}
-    lines = mark_suppressed(explode_lines(texts, previous=True), config.markers, config.suppress_previous_line)
-    if config.exclude_tests:
-        lines = before_tests(lines)
+
+    def lines_of(some: DataFrame) -> DataFrame:
+        return mark_suppressed(explode_lines(some, previous=True, until=TEST_MARKER if config.exclude_tests else None), config.markers, config.suppress_previous_line)
+
+    lines = lines_of(texts)
     seen = [occurrences(lines, by.get("line", []))]
-    marks = lines.where("suppressed").select(F.col("path").alias("_p"), F.col("line_no").alias("_l"))
+    #: Rows of the other kinds; which of them a marker covers is looked up at once.
+    others: list[DataFrame] = []
 
     def add(rows: DataFrame, ids: set[str]) -> None:
-        found = rows.where(F.col("rule_id").isin(sorted(ids))).join(marks, (F.col("path") == F.col("_p")) & (F.col("line_no") == F.col("_l")), "left")
-        seen.append(found.select("lang", "category", "rule_id", "path", "line_no", "code", F.col("_p").isNotNull().alias("suppressed")))
+        others.append(rows.where(F.col("rule_id").isin(sorted(ids))).select("lang", "category", "rule_id", "path", "line_no", "code"))
 
-    category = {r.rule_id: (r.lang, r.category) for r in chosen}
+    known = spark.createDataFrame(list({r.rule_id: (r.rule_id, r.lang, r.category) for r in chosen}.values()), "_id string, lang string, category int")
 
     def placed(rows: DataFrame) -> DataFrame:
-        known = spark.createDataFrame([(k, *v) for k, v in category.items()], "_id string, lang string, category int")
         return rows.join(F.broadcast(known), F.col("rule_id") == F.col("_id"))
 
     if by.get("manifest"):
@@ -232,12 +261,7 @@ def scan(files: DataFrame, config: ScanConfig | None = None, extra: list[Rule] |
         dead = unreachable(lines)
         seen.append(placed(dead.withColumnRenamed("lang", "_of").select(F.concat("_of", F.lit(".unreachable")).alias("rule_id"), "path", "line_no", F.col("line").alias("code"), "suppressed")).select("lang", "category", "rule_id", "path", "line_no", "code", "suppressed"))
     # Written once: counts, samples and every report start from here, and not from the texts.
-    every = reduce(DataFrame.unionByName, seen)
-    if config.statement_suppression:
-        # A marker anywhere in a statement, or on the line above it, holds for all its lines.
-        spans = statements(texts).join(marks, (F.col("path") == F.col("_p")) & F.col("_l").between(F.col("s_line"), F.col("e_line"))).select(F.col("path").alias("_q"), F.explode(F.sequence("s_line", "e_line")).alias("_n")).distinct()
-        every = every.join(spans, (F.col("path") == F.col("_q")) & (F.col("line_no") == F.col("_n")), "left").withColumn("suppressed", F.col("suppressed") | F.col("_q").isNotNull()).drop("_q", "_n")
-    every = step(every)
+    every = step(_suppressed(seen, others, texts, lines_of, config))
     counted = [counts(every)]
     open_lines = lines.where("NOT suppressed")
     if by.get("balance"):
