@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import EXTENSIONS, MARKERS, ScanConfig, languages
-from ..functions.text import extension, ignored, language_of
+from ..functions.text import extension, ignored, language_of, perhaps_ignored
 
 #: What the tests in a file begin with.
 TEST_MARKER = r"^\s*#\[cfg\(test\)\]|^\s*mod\s+tests\b"
@@ -22,18 +22,16 @@ def classify(files: DataFrame, extensions: dict[str, tuple[str, ...]] | None = N
 
 def prune(files: DataFrame, config: ScanConfig) -> DataFrame:
     """Files within the ignores, the size limit, the wanted languages and outside the directories that their language leaves out."""
-    kept = classify(files, config.extensions).where(~ignored(F.col("path"), config.ignores) & F.col("lang").isNotNull())
+    kept = classify(files, config.extensions)
     if "n_bytes" in files.columns:
         kept = kept.where(F.col("n_bytes") <= config.max_file_bytes)
     wanted = languages(list(config.extensions), list(config.only), list(config.exclude))
     kept = kept.where(F.col("lang").isin(wanted))
     excluded = {lang: globs for lang, globs in config.excluded.items() if globs and lang in wanted}
-    if excluded:
-        folder = F.left("path", F.length("path") - F.length(F.substring_index("path", "/", -1)) - 1)
-        each = reduce(lambda a, b: a & b, ((F.col("lang") != lang) | ~ignored(folder, globs) for lang, globs in excluded.items()))
-        # One test for all languages' directories lets most files pass without a look at their language.
-        kept = kept.where(~ignored(folder, sorted(set().union(*excluded.values()))) | each)
-    return kept
+    folder = F.left("path", F.length("path") - F.length(F.substring_index("path", "/", -1)) - 1)
+    each = [~ignored(F.col("path"), config.ignores), *((F.col("lang") != lang) | ~ignored(folder, globs) for lang, globs in excluded.items())]
+    # One test of all names lets most files pass; the others are looked at name by name and language by language.
+    return kept.where(~perhaps_ignored(F.col("path"), sorted({*config.ignores}.union(*excluded.values()))) | reduce(lambda a, b: a & b, each))
 
 
 def targets(directories: DataFrame, explicit: DataFrame, config: ScanConfig) -> DataFrame:
@@ -102,7 +100,7 @@ def module_edges(files: DataFrame) -> DataFrame:
     folder, name = F.regexp_replace("path", "[^/]*$", ""), F.regexp_extract("path", r"([^/]*)\.rs$", 1)
     below = F.when(name.isin("mod", "lib", "main"), folder).otherwise(F.concat(folder, name, F.lit("/")))
     rust = files.where("endswith(path, '.rs')")
-    modules = rust.select(F.col("path").alias("src"), below.alias("_below"), F.explode(F.arrays_zip(found(1).alias("gate"), found(2).alias("module"))).alias("d"))
+    modules = rust.where(F.col("text").contains("mod")).select(F.col("path").alias("src"), below.alias("_below"), F.explode(F.arrays_zip(found(1).alias("gate"), found(2).alias("module"))).alias("d"))
     places = F.array(F.concat("_below", "d.module", F.lit(".rs")), F.concat("_below", "d.module", F.lit("/mod.rs")))
     return modules.select("src", (F.col("d.gate") != "").alias("gated"), F.explode(places).alias("dst")).join(rust.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst", "gated")
 

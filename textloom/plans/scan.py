@@ -141,12 +141,14 @@ class ScanResult:
 
 def _taking_part(files: DataFrame, config: ScanConfig) -> DataFrame:
     """The files that are scanned. Where that takes joins, as ignore rules and modules for tests do, they are written once: every kind of rule reads them."""
-    kept = prune(files, config)
-    if config.exclude_tests:
-        kept = outside_test_directories(kept)
+
+    def pruned(some: DataFrame) -> DataFrame:
+        return outside_test_directories(prune(some, config)) if config.exclude_tests else prune(some, config)
+
+    kept = pruned(files)
     gone = [step(version_ignored(kept, ignore_rules(files)))] if config.respect_ignore_files else []
     if config.exclude_tests:
-        edges = module_edges(kept)
+        edges = module_edges(pruned(files.where("endswith(path, '.rs')")))
         for end in ("src", "dst") if gone else ():
             edges = edges.join(gone[0].withColumnRenamed("path", end), end, "left_anti")
         gone.append(test_only_modules(edges))
